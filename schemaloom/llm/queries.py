@@ -7,24 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import quality_rules, simhash
+from schemaloom.llm import bpe, mixing, quality_rules, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the box keeps a public vocabulary file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(spark, docs, model, ("doc_id",)).withColumn("kept", ~F.col("toxic"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(spark, table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(spark, table(spark, sf_dir, "documents"), vocabulary(), keep=("doc_id",), full=False)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(spark, table(spark, sf_dir, "documents"))
+    return mix.rows().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op5_simhash)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_substring_dedup, op5_simhash, op6_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that the numpy code looks at in one go; a longer single text is looked at whole.
@@ -82,3 +83,77 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of each text."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed byte planes; unpack() needs the length and their types."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays if len(a)), 1)
+
+
+def unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    data, at, out = np.frombuffer(zstandard.decompress(blob) if n else b"", np.uint8), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
+
+
+def rises(values: np.ndarray) -> np.ndarray:
+    """Differences of sorted values, which pack well; np.cumsum undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+class Marks:
+    """A Bloom filter of 64-bit keys in a fixed number of bytes, in segments by the keys' high bits, so that each task can fill its own."""
+
+    PROBES = 3
+
+    def __init__(self, segments: int, segment_bytes: int, bits: np.ndarray | None = None):
+        self.segments, self.size = segments, segment_bytes
+        self.bits = np.zeros(segments * segment_bytes, np.uint8) if bits is None else bits
+
+    @staticmethod
+    def range_of(keys: np.ndarray, segments: int) -> np.ndarray:
+        """The segment of each key, in the order of keys."""
+        return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+    @classmethod
+    def places(cls, keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Bits of each key within a segment of so many bytes."""
+        h = keys * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+        step = (keys * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        for _ in range(cls.PROBES):
+            yield ((h >> np.uint64(32)) * np.uint64(size * 8) >> np.uint64(32)).astype(np.int64)
+            h = h + step
+
+    @classmethod
+    def segment(cls, keys: np.ndarray, size: int) -> bytes:
+        flags = np.zeros(size * 8, bool)
+        for at in cls.places(keys, size):
+            flags[at] = True
+        return np.packbits(flags, bitorder="little").tobytes()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        base = self.range_of(keys, self.segments) * self.size
+        out = np.ones(len(keys), bool)
+        for at in self.places(keys, self.size):
+            out &= (self.bits[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def gathered_marks(segments: DataFrame, many: int, size: int) -> Marks:
+    """The filter of rows (r int, bits binary). Its size is fixed: many * size bytes, whatever the input."""
+    marks = Marks(many, size)
+    for row in segments.select("r", "bits").collect():
+        marks.bits[row["r"] * size : (row["r"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return marks
+
+
+def by_range(keys: np.ndarray, many: int) -> Iterator[tuple[int, slice]]:
+    """For sorted keys, the runs that belong to each of so many ranges, empty ones left out."""
+    of = Marks.range_of(keys, many)
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    for at, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        yield int(of[at]), slice(int(at), int(end))
