@@ -26,42 +26,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected
+from schemaloom.llm.words import mixed
 from schemaloom.llm.work import Tables, as_bytes
 
 LEAST_TILE, MOST_TILE, TILES = 4096, 65536, 24
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The fingerprint of UTF-8 text, unsigned."""
+def fingerprint(text: bytes | None, width: int = 4, parts: int = 1) -> list[int]:
+    """The fingerprint of UTF-8 text, as so many unsigned 64-bit parts; further parts take the bits of the remixed hashes."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return [0] * parts
     whole = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return [int(remixed(np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64), k)[0]) for k in range(parts)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = [0, *(ends[: len(words) - width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], 42) for a, b in zip(first, ends[width - 1 :].tolist(), strict=True)], dtype=">u8")
+    hashes = np.array([digest(whole[a:b], 42) for a, b in zip(first, ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return [majority(remixed(hashes, k)) for k in range(parts)]
+
+
+def remixed(hashes: np.ndarray, part: int) -> np.ndarray:
+    return mixed(hashes + np.uint64(part * 0x9E3779B97F4A7C15 % (1 << 64))) if part else hashes
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     n, held = len(hashes), np.zeros(64, np.int64)
+    hashes = hashes.astype(">u8")
     for at in range(0, n, 4096):
         held += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(held * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp long): one row for each row of docs."""
+def columns(parts: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, parts))]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1) -> DataFrame:
+    """(id, fp long, fp1 ...): one row for each row of docs."""
+    names = columns(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, width) for x in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            fp = np.array([fingerprint(x, width, parts) for x in as_bytes(batch.column(1))], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts))], names=["id", *names])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
+def near(a: np.ndarray, b: np.ndarray | None, radius: int, more=None, most: int = 0, rows: int = 128, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i in a, j in b) of fingerprints that differ in at most radius bits; with b None, pairs within a. Blocks are kept small enough for the CPU's cache.
 
-def near(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 128, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i in a, j in b) of fingerprints that differ in at most radius bits; with b None, pairs within a. Blocks are kept small enough for the CPU's cache."""
+    more: pairs of arrays that belong to a and b, which must differ in at most `most` bits together.
+    """
     quarters = lambda x: np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (48, 32, 16, 0)]).astype(np.int16)
     order = lambda q: np.lexsort((q[3], q[2], q[1], q[0]))
 
@@ -86,15 +105,21 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 128, cols
                 i, j = ao[i + k * rows], bo[j + c * cols]
                 if b is None:
                     i, j = i[i != j], j[i != j]
+                if len(i) and more is not None:
+                    far = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in more)
+                    i, j = i[far <= most], j[far <= most]
                 if len(i):
                     yield i, j
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fp long, component_id): the smallest id that each row reaches by links of at most radius differing bits."""
-    tables = Tables(spark, "simhash")
-    rows = tables.cut(fingerprints(docs, id_col, text_col, width))
-    classes = tables.cut(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")).withColumn("ones", F.bit_count("fp").cast("int")))
+def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int = 1, most: int = 0) -> DataFrame:
+    """(id, fp long, component_id): the smallest id that each row reaches by links of at most radius differing bits.
+
+    With more than one part, links differ in at most radius bits of the first part and `most` bits of all parts.
+    """
+    tables, names = Tables(spark, "simhash"), columns(parts)
+    rows = tables.cut(fingerprints(docs, id_col, text_col, width, parts))
+    classes = tables.cut(rows.where("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("node")).withColumn("ones", F.bit_count("fp").cast("int")))
     counts = dict(classes.groupBy("ones").count().collect())  # 65 rows at most
     total = sum(counts.values())
     aim = min(MOST_TILE, max(LEAST_TILE, total // TILES))
@@ -102,9 +127,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     for ones in sorted(counts):
         first[ones] = len(tiles)
         tiles += [ones] * math.ceil(counts[ones] / aim)
-    parts = F.create_map(*[F.lit(x) for o, f in first.items() for x in (o, f)]) if first else F.create_map(F.lit(0), F.lit(0))
+    starts = F.create_map(*[F.lit(x) for o, f in first.items() for x in (o, f)]) if first else F.create_map(F.lit(0), F.lit(0))
     many = F.create_map(*[F.lit(x) for o, n in counts.items() for x in (o, math.ceil(n / aim))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = classes.withColumn("tile", (parts[F.col("ones")] + F.pmod(F.xxhash64("fp"), many[F.col("ones")].cast("long"))).cast("int"))
+    dealt = classes.withColumn("tile", (starts[F.col("ones")] + F.pmod(F.xxhash64(*names), many[F.col("ones")].cast("long"))).cast("int"))
     # Tiles are numbered by population count, so what a tile is compared with is one run of tiles.
     ends = sorted(first)
     last = {o: max((first[p] + math.ceil(counts[p] / aim) - 1 for p in ends if p <= o + radius)) for o in ends}
@@ -112,17 +137,19 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     lows = F.create_map(*[F.lit(x) for o in ends for x in (o, least[o])]) if ends else F.create_map(F.lit(0), F.lit(0))
     highs = F.create_map(*[F.lit(x) for o in ends for x in (o, last[o])]) if ends else F.create_map(F.lit(0), F.lit(0))
     other = F.explode(F.sequence(lows[F.col("ones")], highs[F.col("ones")])).alias("other")
-    pairs = dealt.select("fp", "node", "tile", other).select("fp", "node", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    pairs = dealt.select(*names, "node", "tile", other).select(*names, "node", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, node, tile = (table.column(c).to_numpy() for c in ("fp", "node", "tile"))
+        node, tile = (table.column(c).to_numpy() for c in ("node", "tile"))
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        fp, groups = fp.view(np.uint64), Groups(len(fp))
+        fps = [table.column(c).to_numpy().view(np.uint64) for c in names]
+        fp, groups = fps[0], Groups(len(node))
         a, b = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
         order = np.argsort(node)
         rank = np.empty(len(node), np.int64)
         rank[order] = np.arange(len(node))
-        for i, j in near(fp[a], None if p == q else fp[b], radius):
+        more = [(x[a], x[a if p == q else b]) for x in fps] if parts > 1 else None
+        for i, j in near(fp[a], None if p == q else fp[b], radius, more, most):
             groups.link(rank[a[i]], rank[(a if p == q else b)[j]])
         tops = groups.tops()
         led = np.flatnonzero(tops != np.arange(len(tops)))
@@ -130,11 +157,16 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     links = pairs.groupBy("p", "q").applyInArrow(compare, "u long, v long")
     found = connected(tables, links)
-    classes = classes.join(found, classes["node"] == found["node"], "left").select(classes["fp"], F.coalesce("component", classes["node"]).alias("component_id"))
-    return rows.join(classes, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes = classes.join(found, classes["node"] == found["node"], "left").select(*(classes[c] for c in names), F.coalesce("component", classes["node"]).alias("component_id"))
+    return rows.join(classes, names, "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: For documents alike in four fifths of their shingles: angles of SimHash bits say that such pairs differ in about 39 of
+#: 256 bits, give or take 6, and in 10 of 64, give or take 3; unrelated ones differ in about half.
+ALIKE = {"width": 5, "parts": 4, "radius": 18, "most": 46}
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """docs without the rows whose id is not the smallest of its group of near-copies. Rows with a null id stay."""
-    lose = simhash_components(spark, docs, id_col, text_col, width, radius).where("component_id <> id").select(F.col("id").alias("__lose"))
-    return docs.join(lose, docs[id_col] == lose["__lose"], "left_anti")
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows whose id is not the smallest of its group of near-copies; `how` is that of simhash_components, ALIKE if none is given. Rows with a null id stay."""
+    lose = simhash_components(spark, docs, id_col, text_col, **(how or ALIKE)).where("component_id <> id").select(F.col("id").alias("__lose"))
+    return docs.join(lose, docs[id_col].cast("long") == lose["__lose"], "left_anti")
