@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.words import span_hashes, window_hashes, word_places
+from schemaloom.llm.words import mixed, span_hashes, window_hashes, word_places
 from schemaloom.llm.work import Marks, Tables, as_bytes, buffers, by_range, gathered_marks, pack, partitions, rises, slices, unpack
 
 WIDTH = 50
@@ -151,15 +151,27 @@ def repeats(rows: DataFrame, marks, width: int, many: int) -> DataFrame:
         at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
         least = np.repeat(np.minimum.reduceat(ids, at), np.diff(at, append=len(keys)))
         order = order[ids > least]
-        all_ids = np.concatenate([p[1] for p in parts])
-        order = order[np.lexsort((place[order], tags[order], all_ids[order]))]
-        ids, tags, place = all_ids[order], tags[order], place[order]
+        ids, tags, place = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3))
+        # Places go on by a hash of their document, packed, so that a document's places of all ranges meet.
+        of = Marks.range_of(mixed(ids.view(np.uint64)), many)
+        order = np.lexsort((place, tags, ids, of))
+        of, ids, tags, place = of[order], ids[order], tags[order], place[order]
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = [*cuts[1:], len(of)]
+        blobs = [pack(ids[a:b], tags[a:b], place[a:b]) for a, b in zip(cuts, ends, strict=True)]
+        return pa.table({"to": pa.array(of[cuts], pa.int32()), "n": pa.array([b - a for a, b in zip(cuts, ends, strict=True)], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py(), n.as_py(), "i8", "i8", "i4") for b, n in zip(table.column("blob"), table.column("n"), strict=True)]
+        ids, tags, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((place, tags, ids))
+        ids, tags, place = ids[order], tags[order], place[order]
         new = np.flatnonzero((np.diff(ids, prepend=0) != 0) | (np.diff(tags, prepend=0) != 0) | (np.arange(len(ids)) == 0))
         lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)), pa.int32()), pa.array(place, pa.int32()))
         return pa.table({"id": ids[new], "tag": tags[new], "places": lists})
 
-    found = rows.mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(answer, "id long, tag long, places array<int>")
-    return found.groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = rows.mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(answer, "to int, n int, blob binary")
+    return found.groupBy("to").applyInArrow(meet, "id long, tag long, places array<int>")
 
 
 def covered(n: int, places, width: int) -> np.ndarray:
