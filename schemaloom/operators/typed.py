@@ -154,7 +154,7 @@ class Compiler:
             source = m.source.fields[i]
             value = self.convert(m.parts[i], c[source.name])
             if f.has_default and f.default is not None:
-                value = F.coalesce(value, default_object(f.type, f.default))
+                value = F.when(c[source.name].isNull(), default_object(f.type, f.default)).otherwise(value)
             elif self.strict and not f.type.nullable and f.type.kind not in ("null", "union"):
                 value = self.refuse(c[source.name].isNull(), f'Key missing: "{source.name}"', value, object_type(f.type))
             yield f, value

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -13,3 +14,12 @@ def run_available(frame: DataFrame, work: Callable[[DataFrame], DataFrame], path
     if not frame.isStreaming:
         raise ValueError("a streaming frame is needed")
     return work(frame).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a local one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
