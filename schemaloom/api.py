@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +120,12 @@ def get_types(schema: Schema, service_fields: list[str] = ()) -> list[str]:
     return _schema(schema).types(service_fields)
 
 
+def place_of(t: Type) -> Callable[[str], Column]:
+    """The way from a root field's name to its column in a staged frame."""
+    number = {f.name: i for i, f in enumerate(t.fields)}
+    return lambda name: F.col(f"__f{number[name]}")
+
+
 @dataclass
 class Compiled:
     """Converters of one schema, or from one to another.
@@ -136,39 +143,49 @@ class Compiled:
 
     # Typed columns
 
-    def _object(self, df: DataFrame) -> Column:
-        """The source object of a frame whose columns are the root record's fields, converted along all maps."""
+    def _staged(self, df: DataFrame, kept: list[Column] = ()) -> tuple[DataFrame, Type, Callable[[str], Column]]:
+        """kept as __k0, __k1 ... and the root's fields converted along all maps; their type, and a way to a field's column.
+
+        Each step is a projection of its own over the root's columns, so expressions grow with the schema's width only;
+        Catalyst folds the steps into one and prunes the fields that nothing asks for.
+        """
         check_typed(self.source.type)
         check_typed(self.target.type)
-        if self.source.type.kind != "record":
+        if self.source.type.kind != "record" or self.target.type.kind != "record":
             raise SchemaError("The columns of a frame are the fields of a record; the root isn't one")
-        c = F.struct(*[F.col(f"`{f.name}`") for f in self.source.type.fields])
+        names = [f"__k{i}" for i in range(len(kept))]
+        df = df.select(*[c.alias(n) for c, n in zip(kept, names, strict=True)], *[F.col(f"`{f.name}`").alias(f"__f{i}") for i, f in enumerate(self.source.type.fields)])
+        now = self.source.type
         for m in self.maps:
-            c = Compiler(self.strict).convert(m, c)
-        return c
+            df = df.select(*names, *[x.alias(f"__f{o}") for o, (_, x) in enumerate(Compiler(self.strict).fields(m, place_of(now)))])
+            now = m.target
+        return df, now, place_of(now)
 
     def convert(self, df: DataFrame) -> DataFrame:
         """Fields of the source to fields of the target: evolution without flattening."""
-        return df.select(self._object(df).alias("__o")).select(*[F.col("__o")[f.name].alias(f.name) for f in self.target.type.fields if not f.hidden])
+        out, t, at = self._staged(df)
+        return out.select(*[at(f.name).alias(f.name) for f in t.fields if not f.hidden])
 
     def flatten(self, df: DataFrame, service: list[str | Column] = ()) -> DataFrame:
         """Service columns, then a column for each cell, named as names() says but for the service ones, which keep theirs."""
         if len(service) != len(self.service):
             raise SchemaError(f"Expecting {len(self.service)} service fields, got {len(service)}")
         kept = [F.col(s) if isinstance(s, str) else s for s in service]
-        c = self._object(df)
-        cells = Compiler(self.strict).cells(self.target.type, c) if not self.target.type.nullable else [Compiler(self.strict).cell(self.target.type, c)]
-        return df.select(*kept, *[x.alias(n) for x, n in zip(cells, self.target.names(), strict=True)])
+        called = df.select(*kept).columns if kept else []
+        out, t, at = self._staged(df, kept)
+        cells, names = Compiler(self.strict).cells(t, at), [n for n, _ in layout.cells(replace(t, nullable=False))]
+        return out.select(*[F.col(f"__k{i}").alias(n) for i, n in enumerate(called)], *[x.alias(n) for x, n in zip(cells, names, strict=True)])
 
     def unflatten(self, df: DataFrame, service: list[str] = ()) -> DataFrame:
         """Service columns, then the target's fields, from a frame with the source's cells under their names."""
         s = self.source.type
         check_typed(s)
         compiler = Compiler(self.strict)
-        c = compiler.uncells(s, [F.col(f"`{n}`") for n in self.source.names()])
+        df = df.select(*service, *[x.alias(f"__f{i}") for i, x in enumerate(compiler.uncells(s, [F.col(f"`{n}`") for n in self.source.names()]))])
         for m in self.maps:
-            c = compiler.convert(m, c)
-        return df.select(*service, c.alias("__o")).select(*service, *[F.col("__o")[f.name].alias(f.name) for f in self._target_order() if not f.hidden])
+            df = df.select(*service, *[x.alias(f"__f{o}") for o, (_, x) in enumerate(compiler.fields(m, place_of(m.source)))])
+        at = place_of(self.target.type)
+        return df.select(*service, *[at(f.name).alias(f.name) for f in self._target_order() if not f.hidden])
 
     def _target_order(self) -> list:
         """Target fields as objects show them: those of the source in its order, then the new ones."""
@@ -181,8 +198,7 @@ class Compiled:
     def xflatten(self, df: DataFrame, keep: list[str | Column] = ()) -> DataFrame:
         """The columns `keep` and updates, array<struct<op, pos, value variant>>: an entry for each cell that is present (not NULL) in the row."""
         check_typed(self.source.type)
-        c = F.struct(*[F.col(f"`{f.name}`") for f in self.source.type.fields])
-        ops = Compiler(self.strict).updates(self._one_map(), c, 1 + len(self.service), self.nullable_records)
+        ops = Compiler(self.strict).updates(self._one_map(), lambda name: F.col(f"`{name}`"), 1 + len(self.service), self.nullable_records)
         return df.select(*keep, F.filter(F.array(*ops), lambda x: x.isNotNull()).alias("updates"))
 
     def xflatten_rows(self, df: DataFrame, keep: list[str]) -> DataFrame:

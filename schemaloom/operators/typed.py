@@ -9,6 +9,7 @@ aren't checked either, unless strict expressions are kept in the result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -140,11 +141,11 @@ class Compiler:
             return F.transform(c, lambda x: self.convert(m.parts[0], x))
         if s.kind == "map":
             return F.transform_values(c, lambda _, x: self.convert(m.parts[0], x))
-        out = F.struct(*[x.alias(f.name) for f, x in self.fields(m, c)])
+        out = F.struct(*[x.alias(f.name) for f, x in self.fields(m, c.__getitem__)])
         return F.when(c.isNotNull(), out) if s.nullable or t.nullable else out
 
-    def fields(self, m: Map, c: Column):
-        """(target field, Column) for the fields of a record, defaults filled in."""
+    def fields(self, m: Map, at: Callable[[str], Column]):
+        """(target field, Column) for the fields of a record, defaults filled in; `at` gives the source's field of a name."""
         back = {p: i for i, p in enumerate(m.places) if p is not None}
         for o, f in enumerate(m.target.fields):
             if o not in back:
@@ -152,11 +153,12 @@ class Compiler:
                 continue
             i = back[o]
             source = m.source.fields[i]
-            value = self.convert(m.parts[i], c[source.name])
+            given = at(source.name)
+            value = self.convert(m.parts[i], given)
             if f.has_default and f.default is not None:
-                value = F.when(c[source.name].isNull(), default_object(f.type, f.default)).otherwise(value)
+                value = F.when(given.isNull(), default_object(f.type, f.default)).otherwise(value)
             elif self.strict and not f.type.nullable and f.type.kind not in ("null", "union"):
-                value = self.refuse(c[source.name].isNull(), f'Key missing: "{source.name}"', value, object_type(f.type))
+                value = self.refuse(given.isNull(), f'Key missing: "{source.name}"', value, object_type(f.type))
             yield f, value
 
     def _convert_union(self, m: Map, c: Column) -> Column:
@@ -203,21 +205,21 @@ class Compiler:
             tag, value = self.union_cells(t, c)
             return F.struct(tag.alias(TAG), value.alias("value"))
         if t.kind == "record":
-            return F.when(c.isNotNull(), F.struct(*[x.alias(f"c{i}") for i, x in enumerate(self.cells(t, c))]))
+            return F.when(c.isNotNull(), F.struct(*[x.alias(f"c{i}") for i, x in enumerate(self.cells(t, c.__getitem__))]))
         return c
 
     def union_cells(self, t: Type, c: Column) -> tuple[Column, Column]:
         return c[TAG], F.struct(*[self.cell(b, c[b.tag]).alias(b.tag) for b in t.branches if b.kind != "null"])
 
-    def cells(self, t: Type, c: Column) -> list[Column]:
-        """The cells of an inlined record."""
+    def cells(self, t: Type, at: Callable[[str], Column]) -> list[Column]:
+        """The cells of an inlined record, `at` giving its field of a name."""
         out: list[Column] = []
         for f in t.fields:
-            x = c[f.name]
+            x = at(f.name)
             if f.type.kind == "union":
                 out += self.union_cells(f.type, x)
             elif f.type.kind == "record" and not f.type.nullable:
-                out += self.cells(f.type, x)
+                out += self.cells(f.type, x.__getitem__)
             else:
                 out.append(self.cell(f.type, x))
         return out
@@ -236,15 +238,15 @@ class Compiler:
             return self.ununion(t, c[TAG], c["value"])
         if t.kind == "record":
             many = len(cell_types(t))
-            return F.when(c.isNotNull(), self.uncells(t, [c[f"c{i}"] for i in range(many)]))
+            return F.when(c.isNotNull(), F.struct(*self.uncells(t, [c[f"c{i}"] for i in range(many)])))
         return c
 
     def ununion(self, t: Type, tag: Column, value: Column) -> Column:
         tag = self.refuse(~tag.between(0, len(t.branches) - 1), F.concat(F.lit("Bad value: "), tag.cast("string")), tag, "int")
         return F.struct(tag.alias(TAG), *[self.uncell(b, value[b.tag]).alias(b.tag) for b in t.branches if b.kind != "null"])
 
-    def uncells(self, t: Type, columns: list[Column]) -> Column:
-        """The object of an inlined record from its cells."""
+    def uncells(self, t: Type, columns: list[Column]) -> list[Column]:
+        """The fields of an inlined record from its cells."""
         out, at = [], 0
         for f in t.fields:
             n = width(f.type)
@@ -252,16 +254,16 @@ class Compiler:
             if f.type.kind == "union":
                 made = self.ununion(f.type, own[0], own[1])
             elif f.type.kind == "record" and not f.type.nullable:
-                made = self.uncells(f.type, own)
+                made = F.struct(*self.uncells(f.type, own))
             else:
                 made = self.uncell(f.type, own[0])
             out.append(made.alias(f.name))
             at += n
-        return F.struct(*out)
+        return out
 
     # Update lists
 
-    def updates(self, m: Map, c: Column, first: int, nullable_records: bool) -> list[Column]:
+    def updates(self, m: Map, get: Callable[[str], Column], first: int, nullable_records: bool) -> list[Column]:
         """For each cell that may be present a Column: struct(op, pos, value variant), NULL if it isn't. Source order."""
         s, t = m.source, m.target
         starts, at = [], first
@@ -272,14 +274,14 @@ class Compiler:
         for i, f in enumerate(s.fields):
             if m.places[i] is None:
                 continue
-            to, x, start = t.fields[m.places[i]].type, c[f.name], starts[m.places[i]]
+            to, x, start = t.fields[m.places[i]].type, get(f.name), starts[m.places[i]]
             if to.kind == "union":
                 tag, value = self.union_cells(to, self.convert(m.parts[i], x))
                 present = x.isNotNull() & (x[TAG].isNotNull() if f.type.kind == "union" else F.lit(True))
                 named = F.coalesce(*[variant(b, value[b.tag]) for b in to.branches if b.kind != "null"])
                 out += [F.when(present, update(start, tag.cast("variant"))), F.when(present, update(start + 1, named))]
             elif to.kind == "record" and not to.nullable:
-                out += self.updates(m.parts[i], x, start, nullable_records)
+                out += self.updates(m.parts[i], x.__getitem__, start, nullable_records)
             else:
                 if to.kind == "record" and not nullable_records:
                     raise SchemaError("Nullable record xflatten needs alpha_nullable_record_xflatten")

@@ -18,7 +18,7 @@ VALIDATED = [
     ("long", -(2**63), None), ("long", 42.1, "Not a long: 42.1"), ("float", 1.5, None), ("double", "Hello!", "Not a double: Hello!"), ("string", "", None), ("string", 42, "Not a string: 42"), ("bytes", 42, "Not a bytes: 42"),
     (ARRAY("int"), [1, 2, 3, 4, 5, "XXX"], "6: Not a int: XXX"), (ARRAY("int"), 42, "Not a array: 42"), (MAP("int"), 42, "Not a map: 42"), (MAP("int"), {"a": "b"}, "a: Not a int: b"),
     (["string", "null"], None, None), (["string"], None, "Unexpected type in union: null"), (["string"], {"string": 42}, "string: Not a string: 42"), (["string"], {"XXX": 42}, "XXX: Unexpected key in union"),
-    (["string", "int"], {"string": "a", "int": 1}, "int: Unexpected key in union"), ({"type": "fixed", "name": "fixed16", "size": 16}, "Hello, world!", "Not a fixed16: Hello, world!"),
+    (["string", "int"], {"int": 1, "string": "a"}, "string: Unexpected key in union"), ({"type": "fixed", "name": "fixed16", "size": 16}, "Hello, world!", "Not a fixed16: Hello, world!"),
     ({"type": "enum", "name": "foo", "symbols": ["A"]}, "X", "Not a foo: X"), (FOO, {"X": 42}, "X: Not a string: 42"), (FOO, {}, "Field X missing"), (FOO, 42, "Not a foo: 42"), (FOO, {"X": "a", "Y": 1}, "Y: Unknown field"), ("any", {"a": [1, None]}, None), ("int*", None, None),
 ]
 
