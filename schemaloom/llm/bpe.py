@@ -178,12 +178,13 @@ def read_file(path: str) -> dict:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, full: bool = True) -> DataFrame:
-    """The columns `keep` of docs (None: all) with n_tokens long, ids_sha256, decoded_sha256 and, if full, ids array<int> and decoded string.
+    """The columns `keep` of docs (None: all that aren't called like the output) with n_tokens long, ids_sha256, decoded_sha256 and, if full, ids array<int> and decoded string.
 
     The vocabulary file is read once, by the driver; its tables go to the executors, a size that the vocabulary bounds.
     """
     file = spark.sparkContext.broadcast(json.dumps(read_file(path)))
-    keep = tuple(docs.columns) if keep is None else keep
+    made = ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if full else ()))
+    keep = tuple(c for c in docs.columns if c not in made) if keep is None else keep
     extra = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())] + ([pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if full else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

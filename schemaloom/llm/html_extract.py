@@ -226,6 +226,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_
 
 def extracted(spark: SparkSession, pages: DataFrame, weights: Weights, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """The columns `keep` of pages with text string and n_chars long, its code points."""
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,7 +91,7 @@ def fill(table: pa.Table) -> pa.Table:
     over = [(w, i) for i, w in enumerate(words) if w > left and w < 2 * left and i not in set(taken)]
     if part > 0 and over:
         taken.append(min(over)[1])
-    out = table.take(sorted(taken))
+    out = table.take(pa.array(sorted(taken), pa.int64()))
     return pa.table({"__s": out.column("source"), "__i": out.column("id"), "__z": out.column("size")})
 
 
@@ -157,23 +157,27 @@ class Mix:
         """docs as the mix takes them, a row for each copy, with shard int and place long, the row's order within the shard."""
         quota = np.array([self.blocks[s] * max(1, math.ceil(self.targets[s] / self.sizes[s])) if self.sizes[s] else 0 for s in self.order], np.int64)
         ends = np.cumsum(split_tree(quota, shards, self.seed), axis=0)
-        bounds = self.spark.createDataFrame([(s, [int(e) for e in ends[:, i]], self.blocks[s]) for i, s in enumerate(self.order)], "b_source string, ends array<long>, b_blocks long")
-        lot = F.xxhash64(F.lit(self.seed), F.col(id_col).cast("string"), F.col(source_col).cast("string"), size_of(F.col(text_col)))
-        picks = self.chosen.where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "block", "lot", "copies").distinct()
+        bounds = self.spark.createDataFrame([(s, [int(e) for e in ends[:, i]], self.blocks[s]) for i, s in enumerate(self.order)], "__source string, __ends array<long>, __blocks long")
+        picks = self._picks()
         sized = docs.withColumn("__size", size_of(F.col(text_col)))
         taken = sized.join(picks, sized[id_col].eqNullSafe(picks["__i"]) & sized[source_col].cast("string").eqNullSafe(picks["__s"]) & (sized["__size"] == picks["__z"]))
-        taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        taken = taken.join(bounds, taken["__s"].eqNullSafe(bounds["b_source"]))
+        taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        taken = taken.join(bounds, taken["__s"].eqNullSafe(bounds["__source"]))
         # The drawn blocks of a source are its permuted blocks, once more for each further copy; shard k has those between the k-th ends.
-        place = (F.col("copy") - 1) * F.col("b_blocks") + F.col("block")
-        out = taken.withColumn("shard", F.size(F.filter("ends", lambda e: e <= place)).cast("int")).withColumn("__lot", F.xxhash64(F.lit(self.seed + 1), "lot", "copy"))
-        return out.select(*[docs[c] for c in docs.columns], "copy", "shard", F.col("__lot").alias("place")).repartition(shards, "shard").sortWithinPartitions("shard", "place", "copy")
+        place = (F.col("__copy") - 1) * F.col("__blocks") + F.col("__block")
+        out = taken.withColumn("__shard", F.size(F.filter("__ends", lambda e: e <= place)).cast("int")).withColumn("__place", F.xxhash64(F.lit(self.seed + 1), "__lot", "__copy"))
+        out = out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__place", "__copy")
+        return out.select(*[docs[c] for c in docs.columns if c not in ("copy", "shard", "place")], F.col("__copy").alias("copy"), F.col("__shard").alias("shard"), F.col("__place").alias("place"))
+
+    def _picks(self) -> DataFrame:
+        """What is taken, and how often, under names that documents' columns don't have."""
+        return self.chosen.where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("block").alias("__block"), F.col("lot").alias("__lot"), F.col("copies").alias("__copies")).distinct()
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **named) -> DataFrame:
     """docs as the mix takes them: a row for each copy, in docs' own columns."""
     mix = Mix(spark, docs, **named)
-    picks = mix.chosen.where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies").distinct()
+    picks = mix._picks()
     sized = docs.withColumn("__size", size_of(F.col(named.get("text_col", "text"))))
     on = sized[named.get("id_col", "doc_id")].eqNullSafe(picks["__i"]) & sized[named.get("source_col", "source")].cast("string").eqNullSafe(picks["__s"]) & (sized["__size"] == picks["__z"])
-    return sized.join(picks, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return sized.join(picks, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

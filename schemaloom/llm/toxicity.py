@@ -67,20 +67,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x - self.thresholds, -60, 60)))
 
 
-def select(texts: list[set[str]], toxic: np.ndarray, features: int, least: int = 4) -> dict[str, int]:
-    """The features whose share among toxic texts differs from that among the clean, most telling first."""
+def select(texts: list[set[str]], toxic: np.ndarray, features: int, least: int = 4, share: float = 0.015, gain: float = 20.0) -> dict[str, int]:
+    """The features that toxic texts have more often than clean ones, most telling first.
+
+    A feature needs a likelihood ratio of `gain` and a share of the toxic texts, so that a few copies of one text don't
+    make all its words telling.
+    """
     has, rest = Counter(), Counter()
     for words, y in zip(texts, toxic, strict=True):
         (has if y else rest).update({p for w in words for p in parts(w)})
     n1, n0, found = int(toxic.sum()), int((~toxic).sum()), []
+    n = n1 + n0
     for p, k in has.items():
-        if k < least:
+        m = rest[p]
+        if k < max(least, share * n1) or k * n0 <= 4 * m * n1:
             continue
-        a, b = (k + 0.5) / (n1 + 1), (rest[p] + 0.5) / (n0 + 1)
-        odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
-        error = np.sqrt(1 / (k + 0.5) + 1 / (n1 - k + 0.5) + 1 / (rest[p] + 0.5) + 1 / (n0 - rest[p] + 0.5))
-        if odds > 1.5 and odds / error > 4:
-            found.append((-odds / error, p))
+        cells = ((k, n1 * (k + m)), (m, n0 * (k + m)), (n1 - k, n1 * (n - k - m)), (n0 - m, n0 * (n - k - m)))
+        ratio = 2 * sum(o * np.log(o * n / e) for o, e in cells if o)
+        if ratio >= gain:
+            found.append((-ratio, p))
     return {p: i for i, (_, p) in enumerate(sorted(found)[:features])}
 
 
@@ -90,6 +95,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, features: int = 4096, rounds
     none = Model({}, np.zeros(0), np.array([60.0]))
     if not toxic.any() or toxic.all():
         return none
+    once = sorted({(t or "", bool(y)) for t, y in zip(texts, toxic, strict=True)})  # a copy says nothing new
+    texts, toxic = [t for t, _ in once], np.array([y for _, y in once])
     sets = [words_of(t) for t in texts]
     model = Model(select(sets, toxic, features), np.zeros(0), np.zeros(0))
     if not model.index:
@@ -132,9 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     return fit([r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs (None: all) with expected_severity double, severity_grade int and toxic boolean."""
-    keep = tuple(docs.columns) if keep is None else keep
+OUTPUT = ("expected_severity", "severity_grade", "toxic")
+
+
+def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None, text_col: str = "text", names: tuple[str, str, str] = OUTPUT) -> DataFrame:
+    """The columns `keep` of docs (None: all that aren't called like the output) with expected_severity double, severity_grade int and toxic boolean."""
+    keep = tuple(c for c in docs.columns if c not in names) if keep is None else keep
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +152,13 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str,
         for batch in batches:
             above = [m.above(m.counts(words_of(t), kept)) for t in batch.column("__text").to_pylist()]
             made = [pa.array([float(a.sum()) for a in above], pa.float64()), pa.array([int((a > 0.5).sum()) for a in above], pa.int32()), pa.array([bool(a[0] > 0.5) for a in above], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, "expected_severity", "severity_grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "expected_severity double, severity_grade int, toxic boolean"])
+    kinds = ("double", "int", "boolean")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects."""
-    columns = [c for c in docs.columns if c not in ("expected_severity", "severity_grade", "toxic")]
-    if len(columns) < len(docs.columns):
-        raise ValueError("docs has columns with the names of the model's output")
-    return scored(spark, docs, model, None, text_col).where("NOT toxic").select(*columns)
+    """docs without the rows that the model rejects, with the columns of docs whatever they are called."""
+    return scored(spark, docs, model, None, text_col, ("__severity", "__grade", "__toxic")).where("NOT __toxic").select(*docs.columns)
