@@ -33,7 +33,7 @@ RULES = (
     Rule("mean_word_chars", least=2, most=15),
     Rule("symbol_ratio", most=0.1),
     Rule("stop_word_ratio", least=0.02),
-    Rule("dup_line_ratio", most=0.3),
+    Rule("dup_line_ratio", most=0.5),
     Rule("repeat_word_ratio", most=0.2),
     Rule("bullet_line_ratio", most=0.9),
     Rule("ellipsis_line_ratio", most=0.3),
