@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, embedding_dedup, html_extract, line_dedup, lm_score, mixing, quality_rules, simhash, substring_dedup, toxicity
+from schemaloom.llm import bpe, embedding_dedup, html_extract, line_dedup, lm_score, mixing, oracles, quality_rules, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

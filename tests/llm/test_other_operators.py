@@ -2,11 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from schemaloom.llm import embedding_dedup, html_extract
+from schemaloom.llm import embedding_dedup, html_extract, oracles
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.queries import queries, table
 from schemaloom.llm.work import Marks, Tables, pack, rises, unpack
@@ -119,3 +120,15 @@ def test_pipeline(spark):
         for name, stage in corpus_pipeline.STAGES:
             rows = Tables(spark, "stage").cut(stage(spark, rows, SF))
             rows.count()
+
+
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(oracles.SQL[name])
+    names = [d[0] for d in found.description]
+    out = queries()[name](spark, SF)
+    assert sorted(out.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in out.collect()) == sorted(found.fetchall())
