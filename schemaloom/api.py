@@ -14,7 +14,7 @@ from schemaloom.operators import exact, variant
 from schemaloom.operators.typed import Compiler, check_typed, object_type
 from schemaloom.plans import layout, objects
 from schemaloom.plans.ast import DataError, SchemaError, Type, shown
-from schemaloom.plans.mapping import Map, map_schemas
+from schemaloom.plans.mapping import Map, describe, map_schemas
 from schemaloom.plans.parse import parse, scalars_of
 from schemaloom.sources import msgpack
 
@@ -268,6 +268,10 @@ class Compiled:
     def xflatten_msgpack(self, df: DataFrame, column: str, keep: list[str] | None = None, source: str = "msgpack") -> DataFrame:
         return self._apply(df, column, "xflatten", source, "msgpack", keep)
 
+    def describe(self) -> str:
+        """What the converters do, as text: the mapping between each pair of revisions."""
+        return "\n\n".join("\n".join(describe(m)) for m in self.maps)
+
     def names(self) -> list[str]:
         return self.target.names([t.kind + "*" * t.nullable for t in self.service])
 

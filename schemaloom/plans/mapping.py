@@ -154,3 +154,29 @@ class Matcher:
 
 def map_schemas(source: Type, target: Type, downgrade: bool = False) -> Map:
     return Matcher(downgrade).map(source, target)
+
+
+def describe(m: Map, name: str = "", depth: int = 0, seen: frozenset[int] = frozenset()) -> list[str]:
+    """A mapping as indented lines: what becomes of each field, branch and symbol."""
+    s, t = m.source, m.target
+    star = lambda x: x.label + "*" * x.nullable
+    out = ["  " * depth + f"{name + ': ' if name else ''}{star(s)} -> {star(t)}"]
+    if id(m) in seen:
+        return [out[0] + " (as above)"]
+    seen = seen | {id(m)}
+    deeper = "  " * (depth + 1)
+    if s.kind == "enum" and not m.union:
+        out += [f"{deeper}{symbol}: {i} -> {p if p is not None else 'refused'}" for i, (symbol, p) in enumerate(zip(s.body.symbols, m.places, strict=True))]
+    elif s.kind == "record" and not m.union:
+        for f, part, p in zip(s.fields, m.parts, m.places, strict=True):
+            out += describe(part, f.name if p is None else Matcher.called(f.name, t.fields[p].name), depth + 1, seen)
+            if p is None:
+                out.append(f"{deeper}  (checked and dropped)")
+        out += [f"{deeper}{f.name}: default" for o, f in enumerate(t.fields) if o not in m.places]
+    elif m.union:
+        left = s.branches if s.kind == "union" else [s]
+        for i, (b, part, p) in enumerate(zip(left, m.parts, m.places, strict=True)):
+            out += [f"{deeper}branch {i} {star(b)}: refused"] if part is None else describe(part, f"branch {i} -> {p}", depth + 1, seen)
+    elif m.parts:
+        out += describe(m.parts[0], "items", depth + 1, seen)
+    return out

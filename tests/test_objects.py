@@ -204,3 +204,11 @@ def test_unflatten_undoes_flatten(x):
     cells = c.flatten_object(x)
     assert len(cells) == len(c.names()) and c.unflatten_object(cells)[0] == s.validate(x)
     assert c.unflatten_object(msgpack.decode(msgpack.encode(cells)))[0] == x
+
+
+def test_descriptions():
+    old, new = rec(f("A"), f("E", CARD), f("U", ["null", "int"]), f("gone"), f("n", ["null", "foo"]), name="foo"), rec(f("B", "long", aliases=["A"]), f("E", CARD | {"symbols": ["HEARTS"]}), f("U", ["int", "string"]), f("new", "string", default=""), f("n", ["null", "foo"]), name="foo")
+    text = api.compile(Schema(old), Schema(new)).describe()
+    for line in ("foo -> foo", "  (A aka B): int -> long", "    SPADES: 0 -> refused", "    HEARTS: 1 -> 0", "    branch 0 null: refused", "    branch 1 -> 0: int -> int", "    (checked and dropped)", "  new: default", "(as above)"):
+        assert line in text
+    assert msgpack.dump(msgpack.encode({"a": [1, None, "x"]})) == [". MAP 1", "a ARRAY 3", "a/1 LONG 1", "a/2 NIL null", "a/3 STR x"]
