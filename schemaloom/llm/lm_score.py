@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from schemaloom.llm.words import mixed, span_hashes, word_places
 from schemaloom.llm.work import Tables, buffers, by_range, pack, partitions, rises, slices, unpack
 
-FILTER_BYTES, PROBES, MOST_LEVEL = 64 << 20, 2, 40
+FILTER_BYTES, PROBES, MOST_LEVEL = 32 << 20, 2, 40
 #: Tokens of a run, about.
-RUN_TOKENS = 2 << 20
+RUN_TOKENS = 1 << 20
+#: Tokens that are scored together.
+PIECE = 1 << 17
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TRUST, FLOOR = 0.7, 0.1
 LOWER = np.arange(256, dtype=np.uint8)
@@ -77,6 +79,10 @@ def pairs_of(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     before = np.empty_like(toks)
     before[1:] = toks[:-1]
     before[first[:-1]] = START
+    return pair_hash(before, toks)
+
+
+def pair_hash(before: np.ndarray, toks: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) ^ (toks + np.uint64(0x632BE59BD9B4E019)))
 
 
@@ -198,7 +204,7 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     for found in (lists.where("run = -1").select("r", "blob"), pairs):  # many segments of a fixed total size
         for row in found.toLocalIterator():
             bits[row["r"] * size : (row["r"] + 1) * size] |= np.frombuffer(row["blob"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits.tobytes())
+    sent = spark.sparkContext.broadcast(bits)
     base = n_train + FLOOR * (v_train + 1)
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -210,21 +216,26 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         counts = np.concatenate([p[1] for p in parts])
         first = np.concatenate([[0], np.cumsum(lengths)])
-        levels = Levels(many, size, np.frombuffer(sent.value, np.uint8))
-        share = (levels.count(keys) + FLOOR) / base  # of each word in the run's list
-        pair, place = np.unique(pairs_of(keys[number], first) >> np.uint64(20), return_inverse=True)
-        both = levels.count(pair << np.uint64(20))[place]
-        before = np.empty(n, np.float64)
-        word_counts = levels.count(keys)
-        before[1:] = word_counts[number[:-1]]
+        levels = Levels(many, size, sent.value)
+        word_counts = levels.count(keys)  # of each word in the run's list
         starts = float(levels.count(np.array([END]))[0])  # texts begin as often as they end
-        before[first[:-1]] = starts
-        p = share[number]
-        p = np.where(before > 0, TRUST * np.minimum(1.0, both / np.maximum(before, 1)) + (1 - TRUST) * p, p)
+        toks, opens, score_ = keys[number], np.zeros(n, bool), np.empty(n, np.float64)
+        opens[first[:-1]] = True
+        for at in range(0, n, PIECE):
+            own = slice(at, min(n, at + PIECE))
+            previous = np.arange(at - 1, own.stop - 1)
+            opening = opens[own]
+            before = np.where(opening, START, toks[previous])
+            pair, place = np.unique(pair_hash(before, toks[own]) >> np.uint64(20), return_inverse=True)
+            both = levels.count(pair << np.uint64(20))[place]
+            seen = np.where(opening, starts, word_counts[number[previous]])
+            p = (word_counts[number[own]] + FLOOR) / base
+            p = np.where(seen > 0, TRUST * np.minimum(1.0, both / np.maximum(seen, 1)) + (1 - TRUST) * p, p)
+            score_[own] = np.log10(np.minimum(p, 1.0))
         add = lambda x: np.add.reduceat(x, first[:-1])
         table = {
             "id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": lengths.astype(np.int64), "n_known": add((counts > 0).astype(np.int64)[number]), "train_tokens": np.full(docs_, n_train, np.int64),
-            "base_score": add(np.log10((counts + FLOOR) / base)[number]), "score": add(np.log10(np.minimum(p, 1.0))),
+            "base_score": add(np.log10((counts + FLOOR) / base)[number]), "score": add(score_),
         }
         return pa.table(table)
 
