@@ -175,7 +175,7 @@ class Compiler:
             i = next(i for i, p in enumerate(m.places) if p is not None)
             value = self.convert(m.parts[i], c[s.branches[i].tag]) if s.branches[i].kind != "null" else F.lit(None)
             return self.refuse(left, self.versioning(s, tag), value, object_type(t)) if lost else value
-        places = F.element_at(F.array(*[F.lit(p).cast("int") for p in m.places]), tag + 1)
+        places = F.get(F.array(*[F.lit(p).cast("int") for p in m.places]), tag)
         places = self.refuse(left, self.versioning(s, tag), places, "int") if lost else places
         made: dict[int, list[Column]] = {}
         for i, p in enumerate(m.places):
@@ -189,7 +189,7 @@ class Compiler:
 
     @staticmethod
     def versioning(s: Type, tag: Column) -> Column:
-        return F.concat(F.lit('Unknown key: "'), F.element_at(F.array(*[F.lit(b.tag) for b in s.branches]), tag + 1), F.lit('" (schema versioning)'))
+        return F.concat(F.lit('Unknown key: "'), F.get(F.array(*[F.lit(b.tag) for b in s.branches]), tag), F.lit('" (schema versioning)'))
 
     # Objects of the target to tuples
 
