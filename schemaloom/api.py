@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions import canonical
@@ -16,7 +16,6 @@ from schemaloom.plans import layout, objects
 from schemaloom.plans.ast import DataError, SchemaError, Type, shown
 from schemaloom.plans.mapping import Map, describe, map_schemas
 from schemaloom.plans.parse import parse, scalars_of
-from schemaloom.sources import msgpack
 
 
 class Schema:
@@ -297,9 +296,4 @@ def compile(*schemas: Schema, downgrade: bool = False, service_fields: list[str]
     return Compiled(schemas[0], schemas[-1], [map_schemas(a, b, downgrade) for a, b in pairs], scalars_of(list(service_fields)), strict, alpha_nullable_record_xflatten)
 
 
-def frame_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small frame of facts about schemas."""
-    return spark.createDataFrame(rows, schema)
-
-
-__all__ = ["Compiled", "DataError", "Schema", "SchemaError", "are_compatible", "compile", "create", "export", "fingerprint", "get_names", "get_types", "is_schema", "msgpack", "validate"]
+__all__ = ["Compiled", "DataError", "Schema", "SchemaError", "are_compatible", "compile", "create", "export", "fingerprint", "get_names", "get_types", "is_schema", "validate"]

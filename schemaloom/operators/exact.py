@@ -74,6 +74,3 @@ def apply(df: DataFrame, column: str, work: Callable[[Any], Any], source: str, s
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "ok boolean, error string", f"value {'string' if sink == 'json' else 'binary'}"])
     raw = F.col(column).cast("string" if source == "json" else "binary")
     return df.select(*keep, raw.alias("__raw")).mapInArrow(run, schema)
-
-
-__all__ = ["apply", "dumps", "loads"]

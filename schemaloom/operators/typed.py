@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from schemaloom.plans.ast import SchemaError, Type
-from schemaloom.plans.layout import TAG, cells, holds_any, recursive, width
+from schemaloom.plans.layout import TAG, holds_any, recursive, width
 from schemaloom.plans.mapping import Map
 
 SCALAR_TYPES = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
@@ -301,6 +301,3 @@ def variant(t: Type, c: Column) -> Column:
 def same_cells(t: Type) -> bool:
     """Whether a type's cells are its objects."""
     return t.is_scalar or t.kind == "fixed" or t.kind in ("array", "map") and same_cells(t.items)
-
-
-__all__ = ["Compiler", "cell_type", "cell_types", "cells", "check_typed", "object_type"]

@@ -15,8 +15,6 @@ from schemaloom.plans.ast import Type
 from schemaloom.plans.layout import TAG
 from schemaloom.plans.objects import INT, LONG, takes_null
 
-NOTHING = None
-
 
 def kind_of(v: Column) -> Column:
     """VOID, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, STRING, OBJECT<..>, ARRAY<..>."""
@@ -131,7 +129,7 @@ def value(t: Type, v: Column) -> Column:
     """The normalised value, in the schema's object type; only meaningful where error() is NULL."""
     kind = object_type(t)
     if t.kind in ("int", "long"):
-        out = F.try_cast(number(v), kind) if hasattr(F, "try_cast") else number(v).try_cast(kind)
+        out = number(v).try_cast(kind)
     elif t.kind == "float" or t.kind == "double" or t.kind == "boolean":
         out = F.try_variant_get(v, "$", kind.simpleString())
     elif t.kind in ("bytes", "fixed"):
