@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.words import mixed, span_hashes, word_places
-from schemaloom.llm.work import Tables, buffers, by_range, pack, partitions, rises, slices, unpack
+from schemaloom.llm.work import Tables, buffers, by_range, give_back, pack, partitions, rises, slices, unpack
 
 FILTER_BYTES, PROBES, MOST_LEVEL = 32 << 20, 2, 40
 #: Tokens of a run, about.
@@ -205,6 +205,7 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         for row in found.toLocalIterator():
             bits[row["r"] * size : (row["r"] + 1) * size] |= np.frombuffer(row["blob"], np.uint8)
     sent = spark.sparkContext.broadcast(bits)
+    give_back()
     base = n_train + FLOOR * (v_train + 1)
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.llm.work import give_back
+
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 SHORTEST, LONGEST = 3, 8
 #: A feature's value is the number of distinct words that have it, up to this.
@@ -67,20 +69,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x - self.thresholds, -60, 60)))
 
 
-def select(texts: list[set[str]], toxic: np.ndarray, features: int, least: int = 4, share: float = 0.015, gain: float = 20.0) -> dict[str, int]:
+def tally(texts: list[str], index: dict[str, int]) -> tuple[list[Counter], list[int]]:
+    """For each text, how many distinct words have each feature of the index, and how many have any."""
+    kept: dict[str, tuple[int, ...]] = {}
+    counts, marked = [], []
+    for t in texts:
+        out, n = Counter(), 0
+        for w in words_of(t):
+            if (ids := kept.get(w)) is None:
+                if len(kept) > 200_000:
+                    kept.clear()
+                ids = kept[w] = tuple(index[p] for p in parts(w) if p in index)
+            if ids:
+                out.update(ids)
+                n += 1
+        counts.append(out)
+        marked.append(n)
+    return counts, marked
+
+
+def select(texts: list[str], toxic: np.ndarray, features: int, least: int = 4, share: float = 0.015, gain: float = 20.0) -> dict[str, int]:
     """The features that toxic texts have more often than clean ones, most telling first.
 
     A feature needs a likelihood ratio of `gain` and a share of the toxic texts, so that a few copies of one text don't
-    make all its words telling.
+    make all its words telling. Only features that enough toxic texts have are counted among the clean ones.
     """
-    has, rest = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        (has if y else rest).update({p for w in words for p in parts(w)})
-    n1, n0, found = int(toxic.sum()), int((~toxic).sum()), []
-    n = n1 + n0
-    for p, k in has.items():
-        m = rest[p]
-        if k < max(least, share * n1) or k * n0 <= 4 * m * n1:
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    has: Counter = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            has.update({p for w in words_of(t) for p in parts(w)})
+    often = {p: k for p, k in has.items() if k >= max(least, share * n1)}
+    names = sorted(often)
+    rest: Counter = Counter()
+    for c in tally([t for t, y in zip(texts, toxic, strict=True) if not y], {p: i for i, p in enumerate(names)})[0]:
+        rest.update(c.keys())
+    found, n = [], n1 + n0
+    for i, p in enumerate(names):
+        k, m = often[p], rest[i]
+        if k * n0 <= 4 * m * n1:
             continue
         cells = ((k, n1 * (k + m)), (m, n0 * (k + m)), (n1 - k, n1 * (n - k - m)), (n0 - m, n0 * (n - k - m)))
         ratio = 2 * sum(o * np.log(o * n / e) for o, e in cells if o)
@@ -97,16 +124,14 @@ def fit(texts: list[str | None], toxic: np.ndarray, features: int = 4096, rounds
         return none
     once = sorted({(t or "", bool(y)) for t, y in zip(texts, toxic, strict=True)})  # a copy says nothing new
     texts, toxic = [t for t, _ in once], np.array([y for _, y in once])
-    sets = [words_of(t) for t in texts]
-    model = Model(select(sets, toxic, features), np.zeros(0), np.zeros(0))
+    model = Model(select(texts, toxic, features), np.zeros(0), np.zeros(0))
     if not model.index:
         return none
-    kept: dict[str, tuple[int, ...]] = {}
-    counts = [model.counts(s, kept) for s in sets]
+    counts, marked = tally(texts, model.index)
+    marks = np.array(marked)
     row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
     col = np.array([i for c in counts for i in c], np.int64)
     val = np.minimum(np.array([n for c in counts for n in c.values()], float), MOST)
-    marks = np.array([sum(bool(kept.get(w) or any(p in model.index for p in parts(w))) for w in s) for s in sets])
     grade = np.where(toxic, np.where(marks > np.median(marks[toxic]), 2, 1), 0)
     levels = np.arange(grade.max())
     y = grade[:, None] > levels  # n x K
@@ -136,7 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool))
+    texts, toxic = [r["text"] for r in rows], np.array([r["toxic"] > 0 for r in rows], bool)
+    del rows
+    model = fit(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 OUTPUT = ("expected_severity", "severity_grade", "toxic")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +47,15 @@ class Tables:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Hands memory that Python no longer uses back to the system, as the driver has little to spare; without glibc it stays."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -148,6 +159,7 @@ def gathered_marks(segments: DataFrame, many: int, size: int) -> Marks:
     marks = Marks(many, size)
     for row in segments.select("r", "bits").collect():
         marks.bits[row["r"] * size : (row["r"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    give_back()
     return marks
 
 
