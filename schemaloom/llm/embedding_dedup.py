@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.work import Tables, partitions
@@ -186,7 +187,9 @@ def components(spark: SparkSession, table: DataFrame, least: float = COSINE, pas
     tables, many = Tables(spark, "vectors"), partitions(spark)
     v = F.col(vector_col)
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    read = table.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v.cast("array<double>")).alias("v"))
+    # Floats travel as floats; cosines are in double precision all the same.
+    kind = "array<float>" if isinstance(table.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
+    read = table.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v.cast(kind)).alias("v"))
     null_ids = read.where("id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     rows = tables.cut(read.where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v")))
     # -0.0 and 0.0 are one component value in a group's key.
