@@ -10,11 +10,32 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+class Kept(dict):
+    """What a process worked out; it doesn't travel with the functions that use it."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+#: Powers that were worked out before, by base; a task uses them slice after slice.
+KNOWN = Kept()
+#: So many are worked out at once and kept; a longer run's are worked out for that run only.
+MOST_KNOWN = (2 << 20) + 1
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    if n > MOST_KNOWN:
+        return raised(base, n)
+    if int(base) not in KNOWN:
+        KNOWN[int(base)] = raised(base, MOST_KNOWN)
+    return KNOWN[int(base)][: max(n, 1)]
+
+
+def raised(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    return np.multiply.accumulate(out, out=out)
 
 
 def inverse(base: np.uint64) -> np.uint64:
