@@ -22,7 +22,9 @@ Extra columns are ignored, clashing names included. Empty tables give empty resu
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, combinations, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +33,47 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.substring_dedup import named
-from schemaloom.llm.words import mixed, powers, span_hashes, sums, inverse, word_places
+from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
 from schemaloom.llm.work import Marks, Tables, buffers, by_range, gathered_marks, pack, partitions, slices, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 4, 0.8
-TILE, SMALL = 512, 64
+TILE, SMALL = 1024, 64
+#: Lines of a component that are compared without numbering their shingles.
+FEW = 6
+#: Shingles that are signed together.
+BLOCK = 1 << 16
 GATHER, FILTER_BYTES = 1 << 16, 8 << 20
 CHAR_BASE = np.uint64(0xA24BAED4963EE407)
 
 
 def line_places(data: np.ndarray, offsets: np.ndarray):
-    """Of the lines with a word: first and last byte, document and number within the document, counting all lines."""
-    starts, ends, _ = word_places(data, offsets)
-    if not len(starts):
-        none = np.empty(0, np.int64)
-        return none, none, none, none
+    """Of the lines with a word: first and last byte without white space at the ends, document and number within the document, counting all lines."""
+    n_docs = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
-    doc = np.searchsorted(offsets[1:], starts, side="right")
-    before = np.searchsorted(breaks, starts)
-    number = before - np.searchsorted(breaks, offsets[doc])
-    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
-    last = np.append(first[1:], len(starts)) - 1
-    return starts[first], ends[last], doc[first], number[first]
+    doc_of = np.searchsorted(offsets[1:], breaks, side="right")
+    # A document has a line more than it has breaks: its first begins with it, the others after a break.
+    many = np.bincount(doc_of, minlength=n_docs) + 1
+    doc = np.repeat(np.arange(n_docs), many)
+    firsts = np.cumsum(many) - many
+    number = np.arange(len(doc)) - firsts[doc]
+    starts, ends = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    opening = number == 0
+    starts[opening], starts[~opening] = offsets[:-1], breaks + 1
+    ends[:-1] = starts[1:] - 1
+    last = firsts + many - 1
+    ends[last] = offsets[1:]
+    # Ends are moved inwards over white space, a byte a round for the lines that still have some.
+    left = np.flatnonzero(starts < ends)
+    while len(left):
+        left = left[IS_SPACE[data[starts[left]]]]
+        starts[left] += 1
+        left = left[starts[left] < ends[left]]
+    left = np.flatnonzero(starts < ends)
+    while len(left):
+        left = left[IS_SPACE[data[ends[left] - 1]]]
+        ends[left] -= 1
+    worded = starts < ends
+    return starts[worded], ends[worded], doc[worded], number[worded]
 
 
 def signatures(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -66,12 +87,23 @@ def signatures(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     x = (mixed((c[until] - c[place]) * back[place]) >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(7)
     a, b = rng.integers(0, 1 << 31, (2, BANDS * ROWS), dtype=np.uint32)
+    least = np.empty((BANDS * ROWS, len(starts)), np.uint32)
+    ends_at = at + many
+    first = 0
+    while first < len(starts):  # runs of lines whose shingles stay in the CPU's cache
+        last = max(first + 1, int(np.searchsorted(ends_at, at[first] + BLOCK, side="right")))
+        own, cuts = x[at[first] : ends_at[last - 1]], at[first:last] - at[first]
+        y = np.empty_like(own)
+        for k in range(BANDS * ROWS):
+            np.multiply(own, a[k] * np.uint32(2) + np.uint32(1), out=y)
+            y += b[k]
+            least[k, first:last] = np.minimum.reduceat(y, cuts)
+        first = last
     keys = np.empty((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat(x * (a[k] * np.uint32(2) + np.uint32(1)) + b[k], at)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[k])
         keys[:, band] = key
     return keys
 
@@ -120,12 +152,13 @@ def candidates(rows: DataFrame, many: int) -> DataFrame:
                 new = np.array([h not in seen for h in hashes.tolist()])
                 if not new.any():
                     continue
-                hashes, first = hashes[new], np.sort(first[new])
+                order = np.argsort(first[new])
+                hashes, first = hashes[new][order], first[new][order]
                 if len(seen) > 1 << 18:
                     seen.clear()
                 seen.update(hashes.tolist())
                 chars, cs, ce = code_points(data, starts[first], ends[first])
-                kept.append((signatures(chars, cs, ce).ravel(), np.repeat(span_hashes(data, starts[first], ends[first]), BANDS)))
+                kept.append((signatures(chars, cs, ce).ravel(), np.repeat(hashes, BANDS)))
                 count += len(first)
                 if count >= GATHER:
                     yield flush()
@@ -163,7 +196,7 @@ def texts_of(rows: DataFrame, marks, many: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Marks(many, marks.value[0], np.frombuffer(marks.value[1], np.uint8))
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text"):
                 data, offsets = buffers(batch.column("text"))
                 starts, ends, _, _ = line_places(data, offsets)
                 if not len(starts):
@@ -181,19 +214,48 @@ def shingles(text: str) -> frozenset[str]:
 
 
 def alike(sets: list[frozenset], left: np.ndarray, right: np.ndarray | None, groups: Groups, similarity: float) -> None:
-    """Links the places of lines that are alike, among left or between left and right; pairs already linked are passed over."""
-    sizes = np.array([len(s) for s in sets])
+    """Links the places of lines that are alike, among left or between left and right; pairs already linked are passed over.
+
+    Shingles get numbers, so that one line's overlap with all the others is one sum over marks in an array.
+    """
+    both = left if right is None else np.concatenate([left, right])
+    if len(both) < 2:
+        return
+    sizes = np.array([len(sets[i]) for i in both.tolist()])
+    if len(both) <= FEW:
+        pairs = combinations(left.tolist(), 2) if right is None else product(left.tolist(), right.tolist())
+        return plain_alike(sets, pairs, groups, similarity)
+    number: dict[str, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(sets[i] for i in both.tolist())), np.int32, int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marks = np.zeros(len(number), np.int32)
     for k, i in enumerate(left.tolist()):
-        others = left[k + 1 :] if right is None else right
-        others = others[(sizes[others] >= similarity * sizes[i]) & (sizes[others] * similarity <= sizes[i])]
-        others = others[groups.top(others) != groups.top(np.array([i]))[0]]
-        a, hits = sets[i], []
-        for j in others.tolist():
-            both = len(a & sets[j])
-            if both >= similarity * (len(a) + len(sets[j]) - both) - 1e-9:
-                hits.append(j)
-        if hits:
-            groups.link(np.full(len(hits), i), np.array(hits))
+        at = np.arange(k + 1 if right is None else len(left), len(both))
+        at = at[(sizes[at] >= similarity * sizes[k]) & (sizes[at] * similarity <= sizes[k])]
+        at = at[groups.top(both[at]) != groups.top(np.array([i]))[0]]
+        if not len(at):
+            continue
+        own = ids[starts[k] : ends[k]]
+        marks[own] = 1
+        if 4 * len(at) < len(both):
+            common = np.array([int(marks[ids[starts[j] : ends[j]]].sum()) for j in at.tolist()])
+        else:
+            common = np.add.reduceat(marks[ids], starts)[at]
+        marks[own] = 0
+        hits = at[common >= similarity * (sizes[k] + sizes[at] - common) - 1e-9]
+        if len(hits):
+            groups.link(np.full(len(hits), i), both[hits])
+
+
+def plain_alike(sets: list[frozenset], pairs, groups: Groups, similarity: float) -> None:
+    """The same for a few lines, pair by pair."""
+    for i, j in pairs:
+        a, b = sets[i], sets[j]
+        if len(a) >= similarity * len(b) and len(b) >= similarity * len(a):
+            common = len(a & b)
+            if common >= similarity * (len(a) + len(b) - common) - 1e-9:
+                groups.link(np.array([i]), np.array([j]))
 
 
 def verified(lines: DataFrame, many: int, similarity: float) -> DataFrame:
@@ -250,25 +312,26 @@ def without(text: str, numbers) -> str:
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `text_col` without the lines that go, and n_lines, n_removed long (lines with a word, and those of them that went)."""
-    if clash := {"n_lines", "n_removed"} & set(docs.columns):
-        raise ValueError(f"docs has columns {clash} of the output")
-    gone = removals(spark, named(docs, id_col, text_col), similarity).select(F.col("id").alias("__i"), F.col("tag").alias("__t"), "numbers")
+def dedup(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """docs with `text_col` without the lines that go; with counts also n_lines and n_removed long, the lines with a word and those of them that went, in place of columns so called."""
+    gone = removals(spark, named(docs, id_col, text_col), similarity).select(F.col("id").alias("__i"), F.col("tag").alias("__t"), F.col("numbers").alias("__gone"))
     tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     tagged = docs.withColumn("__tag", tag)
     joined = tagged.join(gone, (tagged[id_col].cast("long") == gone["__i"]) & (tagged["__tag"] == gone["__t"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    # A lambda over the one array; places outside the list stay.
-    left = F.when(F.col("numbers").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("numbers"), i)), "\n"))
-    worded = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    others = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*others, worded.alias("n_lines"), F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"))
+    # The array of lines is bound once to a lambda's variable; array_except keeps the order of places.
+    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n")
+    left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), stay), 1))
+    # From a line's first character that isn't white space to its end: one match for each line with a word.
+    worded = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")
+    made = [worded.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    kept = [left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    return joined.select(*kept, *made)
 
 
 def digest(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, kept_sha256)."""
-    out = dedup(spark, docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), similarity, "id", "text")
+    out = dedup(spark, docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), similarity, "id", "text", counts=True)
     return out.select("id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
