@@ -6,14 +6,15 @@ put into the filter once for each level up to q. A probe asks level after level
 the last level found is the count. P(w | v) is the pair's count over v's, interpolated with the smoothed share of w.
 
 1. Each task reads whole texts, in runs of bounded size, and writes for each run its tokens as numbers in the run's own
-   word list. By hash range the lists' hashes and training counts meet in tasks, which answer every run's list with the
-   counts over all training documents.
-2. Pairs are counted in a second reading: each run sends its distinct pairs with counts, sorted and packed, to the task
-   of their hash range, which quantises the sums into its segment of the filter. Words' levels go in the same way.
-3. The filter, FILTER_BYTES whatever the corpus, is broadcast, and each run is scored with its own list of counts.
+   word list. By hash range the lists' hashes and training counts meet in tasks.
+2. Each run sends its distinct pairs, held-out ones too, with training counts, sorted and packed, to the task of their hash range.
+3. The task of a range sums the counts, fills the range's segment of the filter with their levels, and answers every
+   run's list from the segment; for words it adds the exact counts over all training documents.
+4. Each run is scored with the answers to its own lists.
 
-Every document is counted and scored whole; the counts follow the corpus and only the filter's size is fixed: with more
-n-grams than it has room for its false hits raise pairs' counts, so scores get coarser, as the method has it.
+The filter is sized by what was counted: LEVEL_BITS bits for each level that is put in, so 2 probes hit wrongly in 0.4%
+at every size of corpus. It is never in one place: a segment lives in the task of its range, and neither the driver nor a
+broadcast holds any of it. Every document is counted and scored whole.
 
 Defined cases: a null or empty text is one token, the end. A null id counts as held out (as crc32 of an empty text).
 Repeated rows count and are scored each. Extra columns are ignored. With no training documents all counts are 0, V is
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.words import mixed, span_hashes, word_places
-from schemaloom.llm.work import Tables, buffers, by_range, give_back, pack, partitions, rises, slices, unpack
+from schemaloom.llm.work import Tables, buffers, by_range, pack, partitions, rises, slices, unpack
 
-FILTER_BYTES, PROBES, MOST_LEVEL = 32 << 20, 2, 40
+PROBES, MOST_LEVEL = 2, 40
+#: Bits of the filter for each level of an n-gram: (1 - exp(-PROBES / LEVEL_BITS)) ** PROBES of foreign keys hit, 0.4%.
+LEVEL_BITS = 32
 #: Tokens of a run, about.
 RUN_TOKENS = 1 << 20
 #: Tokens that are scored together.
@@ -108,6 +111,12 @@ class Levels:
                 flags[at] = True
         return np.packbits(flags, bitorder="little")
 
+    @classmethod
+    def sized(cls, keys: np.ndarray, counts: np.ndarray) -> Levels:
+        """One segment of the size that the levels of these distinct keys need."""
+        size = max(64, int(quantised(counts).sum()) * LEVEL_BITS // 8)
+        return cls(1, size, cls.segment(keys, counts, size))
+
     def level(self, keys: np.ndarray) -> np.ndarray:
         base = ((keys >> np.uint64(32)) * np.uint64(self.many) >> np.uint64(32)).astype(np.int64) * self.size
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -123,8 +132,11 @@ class Levels:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """The middle of the level that each key has, 0 for none."""
-        q = self.level(keys)
-        return np.where(q > 0, (1.5 * 2.0 ** (q - 1)) - 0.5, 0.0)
+        return middle(self.level(keys))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, (1.5 * 2.0 ** (level.astype(float) - 1)) - 0.5, 0.0)
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -132,10 +144,18 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.frexp(counts.astype(float))[1], 0)
 
 
-def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists of one range: their lengths, the distinct keys, each key's place among these, the counts' sums, and the levels that the range's segment has."""
+    ns = table.column("n").to_pylist()
+    parts = [unpack(b.as_py(), n, "u8", "i4") for b, n in zip(table.column("blob"), ns, strict=True)]
+    keys, number = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+    total = np.bincount(number, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    return ns, keys, number, total, Levels.sized(keys[total > 0], total[total > 0]).level(keys).astype(np.int8)
+
+
+def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs."""
     many, tables = partitions(spark), Tables(spark, "lm")
-    size = max(64, filter_bytes // many)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,98 +167,87 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             out = held_out(ids)
             trains = np.repeat(~out, np.diff(first))
             counts = np.bincount(number[trains], minlength=len(words)).astype(np.int32)
-            payload = pack(number.astype(np.int32))
             docs_ = pack(np.diff(first).astype(np.int32), np.array([0 if i is None else i for i in ids], np.int64), out.astype(np.int8), np.array([i is None for i in ids], np.int8))
-            rs, ns, blobs, more = [-1], [len(toks)], [payload], [docs_]
+            rs, ns, blobs, more, own = [-1], [len(toks)], [pack(number.astype(np.int32))], [docs_], [pack(rises(words))]
             for r, p in by_range(words, many):
                 rs.append(r)
                 ns.append(p.stop - p.start)
                 blobs.append(pack(rises(words[p]), counts[p]))
                 more.append(b"")
-            yield pa.RecordBatch.from_arrays([pa.array([run] * len(rs), pa.int64()), pa.array(rs, pa.int32()), pa.array(ns, pa.int32()), pa.array([len(ids)] * len(rs), pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["run", "r", "n", "docs", "blob", "more"])
+                own.append(b"")
+            same = lambda x: pa.array([x] * len(rs), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(rs), pa.int64()), pa.array(rs, pa.int32()), pa.array(ns, pa.int32()), same(len(ids)), same(len(words)), pa.array(blobs, pa.binary()), pa.array(more, pa.binary()), pa.array(own, pa.binary())], names=["run", "r", "n", "docs", "words", "blob", "more", "own"])
 
-    written = tables.cut(rows.mapInArrow(write, "run long, r int, n int, docs int, blob binary, more binary"))
+    written = tables.cut(rows.mapInArrow(write, "run long, r int, n int, docs int, words int, blob binary, more binary, own binary"))
+    texts = written.where("r = -1").drop("r")
 
     def answer(table: pa.Table) -> pa.Table:
-        ns = table.column("n").to_pylist()
-        parts = [unpack(b.as_py(), n, "u8", "i4") for b, n in zip(table.column("blob"), ns, strict=True)]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        words, number = np.unique(keys, return_inverse=True)
-        total = np.bincount(number, counts, len(words)).astype(np.int64)
-        back = np.split(total[number], np.cumsum(ns)[:-1])
-        seg = Levels.segment(words, total, size)
-        rows_ = [(run, int(n), pack(rises(np.cumsum(p[0], dtype=np.uint64)), c)) for run, n, p, c in zip(table.column("run").to_pylist(), ns, parts, back, strict=True)]
-        r = table.column("r")[0].as_py()
+        ns, _, number, total, level = summed(table)
+        cuts = np.cumsum(ns)[:-1]
+        blobs = [pack(c, q) for c, q in zip(np.split(total[number], cuts), np.split(level[number], cuts), strict=True)]
+        zeros = [0] * len(ns)
         return pa.table({
-            "run": pa.array([x[0] for x in rows_] + [-1], pa.int64()), "r": pa.array([r] * (len(rows_) + 1), pa.int32()), "n": pa.array([x[1] for x in rows_] + [0], pa.int32()),
-            "blob": pa.array([x[2] for x in rows_] + [seg.tobytes()], pa.binary()), "total": pa.array([0] * len(rows_) + [int(total.sum())], pa.int64()), "distinct": pa.array([0] * len(rows_) + [int((total > 0).sum())], pa.int64()),
+            "run": pa.array(table.column("run").to_pylist() + [-1], pa.int64()), "r": pa.array([table.column("r")[0].as_py()] * (len(ns) + 1), pa.int32()), "n": pa.array(ns + [0], pa.int32()),
+            "blob": pa.array(blobs + [b""], pa.binary()), "total": pa.array(zeros + [int(total.sum())], pa.int64()), "distinct": pa.array(zeros + [int((total > 0).sum())], pa.int64()),
         })
 
-    lists = tables.cut(written.where("r >= 0").groupBy("r").applyInArrow(answer, "run long, r int, n int, blob binary, total long, distinct long"))
+    lists = tables.cut(written.where("r >= 0").select("run", "r", "n", "blob").groupBy("r").applyInArrow(answer, "run long, r int, n int, blob binary, total long, distinct long"))
     n_train, v_train = lists.where("run = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
+    def read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of a run: its words, its tokens as numbers of these, its pairs, and lengths, ids, held out and null by document."""
+        (number,) = unpack(row["blob"], row["n"], "i4")
+        about = unpack(row["more"], row["docs"], "i4", "i8", "i1", "i1")
+        words = np.cumsum(unpack(row["own"], row["words"], "u8")[0], dtype=np.uint64)
+        return words, number, pairs_of(words[number], np.concatenate([[0], np.cumsum(about[0])])) >> np.uint64(20), about
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toks, first, ids in runs(batches):
-            trains = np.repeat(~held_out(ids), np.diff(first))
-            keys = np.sort(pairs_of(toks, first)[trains] >> np.uint64(20))
-            if not len(keys):
-                continue
-            at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-            counts, keys = np.diff(at, append=len(keys)).astype(np.int32), keys[at]
-            parts = list(by_range(keys << np.uint64(20), many))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p.stop - p.start for _, p in parts], pa.int32()), pa.array([pack(rises(keys[p]), counts[p]) for _, p in parts], pa.binary())], names=["r", "n", "blob"])
-
-    def fill(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_py(), n.as_py(), "u8", "i4") for b, n in zip(table.column("blob"), table.column("n"), strict=True)]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-        seg = Levels.segment(keys[at] << np.uint64(20), np.add.reduceat(counts.astype(np.int64), at), size)
-        return pa.table({"r": table.column("r")[:1], "blob": pa.array([seg.tobytes()], pa.binary())})
-
-    bits = np.zeros(many * size, np.uint8)
-    pairs = rows.mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(fill, "r int, blob binary")
-    for found in (lists.where("run = -1").select("r", "blob"), pairs):  # many segments of a fixed total size
-        for row in found.toLocalIterator():
-            bits[row["r"] * size : (row["r"] + 1) * size] |= np.frombuffer(row["blob"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
-    give_back()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                _, _, pairs, (lengths, _, out, _) = read(row)
+                trains = np.repeat(out == 0, lengths)
+                order = np.argsort(pairs)
+                pairs = pairs[order]
+                at = np.flatnonzero(np.diff(pairs, prepend=pairs[0] + np.uint64(1)))
+                counts, pairs = np.add.reduceat(trains[order].astype(np.int32), at), pairs[at] << np.uint64(20)
+                parts = list(by_range(pairs, many))
+                yield pa.RecordBatch.from_arrays([pa.array([row["run"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int32()), pa.array([p.stop - p.start for _, p in parts], pa.int32()), pa.array([pack(rises(pairs[p] >> np.uint64(20)), counts[p]) for _, p in parts], pa.binary())], names=["run", "r", "n", "blob"])
+
+    def answer_pairs(table: pa.Table) -> pa.Table:
+        ns, _, number, _, level = summed(table)
+        return pa.table({"run": table.column("run"), "r": table.column("r"), "n": table.column("n"), "pairs": pa.array([pack(q) for q in np.split(level[number], np.cumsum(ns)[:-1])], pa.binary())})
+
+    pairs = texts.mapInArrow(send, "run long, r int, n int, blob binary").groupBy("r").applyInArrow(answer_pairs, "run long, r int, n int, pairs binary")
+    answers = lists.where("run >= 0").select("run", "r", "n", "blob", F.lit(None).cast("binary").alias("pairs")).unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
     base = n_train + FLOOR * (v_train + 1)
 
-    def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        n, docs_ = texts.column("n")[0].as_py(), texts.column("docs")[0].as_py()
-        (number,) = unpack(texts.column("blob")[0].as_py(), n, "i4")
-        lengths, ids, out, null = unpack(texts.column("more")[0].as_py(), docs_, "i4", "i8", "i1", "i1")
-        words = words.sort_by("r")
-        parts = [unpack(b.as_py(), k.as_py(), "u8", "i8") for b, k in zip(words.column("blob"), words.column("n"), strict=True)]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
+    def score(text: pa.Table, found: pa.Table) -> pa.Table:
+        keys, number, pair, (lengths, ids, out, null) = read(text.to_pylist()[0])
+        n, found = len(number), found.sort_by("r").to_pylist()
+        # Ranges follow the order of keys, so the answers by range are in the order of the run's sorted words and pairs.
+        parts = [unpack(x["blob"], x["n"], "i8", "i1") for x in found if x["pairs"] is None]
+        counts, word_counts = np.concatenate([p[0] for p in parts]), middle(np.concatenate([p[1] for p in parts]))
+        pair_counts = middle(np.concatenate([unpack(x["pairs"], x["n"], "i1")[0] for x in found if x["pairs"] is not None]))
+        known = np.unique(pair)
         first = np.concatenate([[0], np.cumsum(lengths)])
-        levels = Levels(many, size, sent.value)
-        word_counts = levels.count(keys)  # of each word in the run's list
-        starts = float(levels.count(np.array([END]))[0])  # texts begin as often as they end
-        toks, opens, score_ = keys[number], np.zeros(n, bool), np.empty(n, np.float64)
+        starts = float(word_counts[np.searchsorted(keys, END)])  # texts begin as often as they end
+        opens, score_ = np.zeros(n, bool), np.empty(n, np.float64)
         opens[first[:-1]] = True
         for at in range(0, n, PIECE):
             own = slice(at, min(n, at + PIECE))
             previous = np.arange(at - 1, own.stop - 1)
-            opening = opens[own]
-            before = np.where(opening, START, toks[previous])
-            pair, place = np.unique(pair_hash(before, toks[own]) >> np.uint64(20), return_inverse=True)
-            both = levels.count(pair << np.uint64(20))[place]
-            seen = np.where(opening, starts, word_counts[number[previous]])
+            both = pair_counts[np.searchsorted(known, pair[own])]
+            seen = np.where(opens[own], starts, word_counts[number[previous]])
             p = (word_counts[number[own]] + FLOOR) / base
             p = np.where(seen > 0, TRUST * np.minimum(1.0, both / np.maximum(seen, 1)) + (1 - TRUST) * p, p)
             score_[own] = np.log10(np.minimum(p, 1.0))
         add = lambda x: np.add.reduceat(x, first[:-1])
         table = {
-            "id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": lengths.astype(np.int64), "n_known": add((counts > 0).astype(np.int64)[number]), "train_tokens": np.full(docs_, n_train, np.int64),
+            "id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": lengths.astype(np.int64), "n_known": add((counts > 0).astype(np.int64)[number]), "train_tokens": np.full(len(lengths), n_train, np.int64),
             "base_score": add(np.log10((counts + FLOOR) / base)[number]), "score": add(score_),
         }
         return pa.table(table)
 
     kinds = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return written.where("r = -1").select("run", "n", "docs", "blob", "more").groupBy("run").cogroup(lists.where("run >= 0").select("run", "r", "n", "blob").groupBy("run")).applyInArrow(score, kinds)
+    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(score, kinds)

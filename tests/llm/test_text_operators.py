@@ -201,6 +201,37 @@ def test_quantised_levels():
     assert list(lm_score.quantised(np.array([0, 1, 2, 3, 4, 1023, 1024]))) == [0, 1, 2, 2, 3, 10, 11]
 
 
+def test_the_filter_grows_with_what_is_counted():
+    rng = np.random.default_rng(4)
+    for n in (1000, 300_000):
+        keys, counts = rng.integers(0, 1 << 62, n, dtype=np.uint64), rng.integers(1, 9, n)
+        filter_ = lm_score.Levels.sized(keys, counts)
+        assert (filter_.level(keys) >= lm_score.quantised(counts)).all()
+        assert (filter_.level(rng.integers(1 << 62, 1 << 63, 100_000, dtype=np.uint64)) > 0).mean() < 0.006
+    assert len(filter_.bits) == lm_score.quantised(counts).sum() * lm_score.LEVEL_BITS // 8
+
+
+def test_lm_scores_against_counted_pairs(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    toks = [[*words(lower(r.text)), None] for r in rows]
+    held = [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 10 == 0 for r in rows]
+    c = Counter(t for w, h in zip(toks, held, strict=True) if not h for t in w)
+    both = Counter(p for w, h in zip(toks, held, strict=True) if not h for p in zip(["<start>", *w], w))
+    mid = lambda k: 1.5 * 2 ** (k.bit_length() - 1) - 0.5 if k else 0
+    all_ = sum(c.values()) + 0.1 * (len(c) + 1)
+
+    def plain(w):
+        s = 0
+        for a, b in zip(["<start>", *w], w):
+            p, seen = (mid(c[b]) + 0.1) / all_, mid(c[None] if a == "<start>" else c[a])
+            s += math.log10(min(1, 0.7 * min(1, mid(both[a, b]) / max(seen, 1)) + 0.3 * p if seen else p))
+        return round(s, 6)
+
+    got = {r.id: r.score for r in lm_score.scored(spark, docs).collect()}
+    off = [abs(got[r.doc_id] - plain(w)) / len(w) for r, w in zip(rows, toks, strict=True)]
+    assert np.mean(off) < 0.01 and sum(x < 1e-6 for x in off) >= 0.4 * len(off)  # the rest are false hits
+
+
 def test_mixing(spark, docs, empty):
     mix = mixing.Mix(spark, docs)
     rows = mix.rows().collect()
