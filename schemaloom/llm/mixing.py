@@ -9,9 +9,11 @@ takes all of its blocks floor(target / size) times, and once more the first bloc
 block in which the target falls those documents, in order, that still fit, so that the target is met nearly. The
 number of blocks follows the source's documents, so that no block is large, and only a table of block sizes is summed.
 
-Shards: the tree halves the list of output shards again and again. At each node the exact quotas of blocks by source
-are split between the halves by one multivariate-hypergeometric draw. A leaf's quotas are disjoint ranges of each
-source's permuted blocks; the shard draws those and shuffles its rows locally by a keyed hash.
+Shards: what a source gives is a list of drawn blocks: its taken blocks in the permutation's order, once for each whole
+copy, then those of the last copy, the split one included. The lists' lengths are the quotas. The tree halves the list
+of output shards again and again. At each node the exact quotas by source are split between the halves by one
+multivariate-hypergeometric draw. A leaf's quotas are disjoint ranges of each source's list; the shard draws those and
+shuffles its rows locally by a keyed hash. Blocks of which nothing is taken are in no list.
 
 Driver state is one row for each source and shard-by-source quotas, never documents or blocks. All draws are keyed by
 the seed and the documents' ids and texts' sizes, so reruns agree whatever the partitions.
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.llm.work import Tables
+from schemaloom.llm.work import Tables, partitions
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, 17
 #: Documents that a block has on the average, and the most blocks of a source.
 BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 20
+#: Output shards of a mix that isn't written out; mixed() has one for each shuffle partition.
+SHARDS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -147,37 +151,57 @@ class Mix:
         hit = out["source"].eqNullSafe(chosen["__s"]) & out["id"].eqNullSafe(chosen["__i"]) & (out["size"] == chosen["__z"])
         out = out.join(chosen, hit, "left").withColumn("more", F.when(F.col("size") == 0, 0).when(F.col("whole"), 1).when(F.col("part").isNotNull() & F.col("__z").isNotNull(), 1).otherwise(0))
         times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("times") + F.col("more"))
-        self.chosen = self.tables.cut(out.select("id", "source", "size", "source_size", "target", "block", "lot", times.cast("int").alias("copies")))
+        self.chosen = self.tables.cut(out.select("id", "source", "size", "source_size", "target", "block", "lot", F.col("times"), times.cast("int").alias("copies")))
 
     def rows(self) -> DataFrame:
         """A row for each document: id, source, size, source_size, target and taken, the words that the mix takes of it."""
         return self.chosen.select("id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
-    def shards(self, docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-        """docs as the mix takes them, a row for each copy, with shard int and place long, the row's order within the shard."""
-        quota = np.array([self.blocks[s] * max(1, math.ceil(self.targets[s] / self.sizes[s])) if self.sizes[s] else 0 for s in self.order], np.int64)
-        ends = np.cumsum(split_tree(quota, shards, self.seed), axis=0)
-        bounds = self.spark.createDataFrame([(s, [int(e) for e in ends[:, i]], self.blocks[s]) for i, s in enumerate(self.order)], "__source string, __ends array<long>, __blocks long")
-        picks = self._picks()
+    def quotas(self) -> tuple[DataFrame, list[tuple]]:
+        """(source, block, base, extra): a taken block's number among those of each whole copy and of the last; and by source the lengths of both lists and the whole copies."""
+        most = self.chosen.where("copies > 0").groupBy("source", "block", "times").agg(F.max("copies").alias("m"))
+        units = self.tables.cut(most.select("source", "block", "times", F.when(F.col("times") > 0, 1).otherwise(0).alias("b"), F.when(F.col("m") > F.col("times"), 1).otherwise(0).alias("e"), F.floor(F.col("block") / 1024).alias("run")))
+        # Numbers are counted in two steps, as in _choose().
+        before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+        runs = units.groupBy(F.col("source").alias("__s"), F.col("run").alias("__r")).agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+        runs = runs.select("__s", "__r", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in "be"))
+        within = Window.partitionBy("source", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        inner = units.select("source", "block", "run", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(c) for c in "be"))
+        inner = inner.join(runs, inner["source"].eqNullSafe(runs["__s"]) & (inner["run"] == runs["__r"]))
+        totals = units.groupBy("source").agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.max("times").alias("times")).collect()  # a row for each source
+        return inner.select("source", "block", (F.col("b") + F.col("__b")).alias("base"), (F.col("e") + F.col("__e")).alias("extra")), [(r["source"], r["b"], r["e"], r["times"]) for r in totals]
+
+    def dealt(self, shards: int = SHARDS) -> DataFrame:
+        """The chosen rows with shards array<int> and places array<long>: the shard of each copy that is taken, and its place in the order of that shard."""
+        numbers, totals = self.quotas()
+        totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
+        ends = np.cumsum(split_tree(np.array([b * t + e for _, b, e, t in totals], np.int64), shards, self.seed), axis=0)
+        bounds = self.spark.createDataFrame([(s, [int(e) for e in ends[:, i]], b) for i, (s, b, _, _) in enumerate(totals)], "__s string, __ends array<long>, __many long")
+        numbers = numbers.join(bounds, numbers["source"].eqNullSafe(bounds["__s"])).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "base", "extra", "__ends", "__many")
+        rows = self.chosen.join(numbers, self.chosen["source"].eqNullSafe(numbers["__s"]) & (self.chosen["block"] == numbers["__b"]), "left")
+        copy = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
+        # Shard k has the numbers of a source's list between the k-th ends.
+        number = lambda c: F.when(c <= F.col("times"), (c - 1) * F.col("__many") + F.col("base")).otherwise(F.col("times") * F.col("__many") + F.col("extra"))
+        shard = F.transform(copy, lambda c: F.size(F.filter("__ends", lambda e: e <= number(c))).cast("int"))
+        place = F.transform(copy, lambda c: F.xxhash64(F.lit(self.seed + 1), "lot", c))
+        return rows.select(*self.chosen.columns, shard.alias("shards"), place.alias("places"))
+
+    def taken(self, docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        """docs as the mix takes them, a row for each copy, dealt to shards and in the order of each; with __shard, __place and __copy."""
+        picks = self.dealt(shards).where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.arrays_zip("shards", "places").alias("__dealt")).distinct()
         sized = docs.withColumn("__size", size_of(F.col(text_col)))
-        taken = sized.join(picks, sized[id_col].eqNullSafe(picks["__i"]) & sized[source_col].cast("string").eqNullSafe(picks["__s"]) & (sized["__size"] == picks["__z"]))
-        taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        taken = taken.join(bounds, taken["__s"].eqNullSafe(bounds["__source"]))
-        # The drawn blocks of a source are its permuted blocks, once more for each further copy; shard k has those between the k-th ends.
-        place = (F.col("__copy") - 1) * F.col("__blocks") + F.col("__block")
-        out = taken.withColumn("__shard", F.size(F.filter("__ends", lambda e: e <= place)).cast("int")).withColumn("__place", F.xxhash64(F.lit(self.seed + 1), "__lot", "__copy"))
-        out = out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__place", "__copy")
-        return out.select(*[docs[c] for c in docs.columns if c not in ("copy", "shard", "place")], F.col("__copy").alias("copy"), F.col("__shard").alias("shard"), F.col("__place").alias("place"))
+        on = sized[id_col].eqNullSafe(picks["__i"]) & sized[source_col].cast("string").eqNullSafe(picks["__s"]) & (sized["__size"] == picks["__z"])
+        out = sized.join(picks, on).select(*[sized[c] for c in docs.columns], F.posexplode("__dealt").alias("__copy", "__at"))
+        out = out.select(*docs.columns, (F.col("__copy") + 1).alias("__copy"), F.col("__at.shards").alias("__shard"), F.col("__at.places").alias("__place"))
+        return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__place", "__copy")
 
-    def _picks(self) -> DataFrame:
-        """What is taken, and how often, under names that documents' columns don't have."""
-        return self.chosen.where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("block").alias("__block"), F.col("lot").alias("__lot"), F.col("copies").alias("__copies")).distinct()
+    def shards(self, docs: DataFrame, shards: int, **columns: str) -> DataFrame:
+        """docs as the mix takes them, a row for each copy, with shard int and place long, the row's order within the shard."""
+        out = self.taken(docs, shards, **columns)
+        return out.select(*[c for c in docs.columns if c not in ("copy", "shard", "place")], F.col("__copy").alias("copy"), F.col("__shard").alias("shard"), F.col("__place").alias("place"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **named) -> DataFrame:
-    """docs as the mix takes them: a row for each copy, in docs' own columns."""
-    mix = Mix(spark, docs, **named)
-    picks = mix._picks()
-    sized = docs.withColumn("__size", size_of(F.col(named.get("text_col", "text"))))
-    on = sized[named.get("id_col", "doc_id")].eqNullSafe(picks["__i"]) & sized[named.get("source_col", "source")].cast("string").eqNullSafe(picks["__s"]) & (sized["__size"] == picks["__z"])
-    return sized.join(picks, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """docs as the mix takes them: a row for each copy, in docs' own columns, dealt to as many shards as there are shuffle partitions and in the order of each."""
+    columns = {c: named[c] for c in ("id_col", "text_col", "source_col") if c in named}
+    return Mix(spark, docs, **named).taken(docs, partitions(spark), **columns).select(*docs.columns)

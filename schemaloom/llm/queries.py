@@ -60,7 +60,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.Mix(spark, table(spark, sf_dir, "documents"))
-    return mix.rows().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix.dealt().select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "shards", "places")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,29 @@ def test_mixing(spark, docs, empty):
     assert shards.agg(F.max("shard")).first()[0] <= 3 and shards.select("shard", "place", "copy", "doc_id").distinct().count() > 50
 
 
+def test_shards_of_the_query_have_their_quotas(spark):
+    from schemaloom.llm.queries import op9_mixing
+
+    # 3,000 documents of three sources, of which the mix takes a part of the first, and more than all of the last.
+    df = spark.createDataFrame([(i, " ".join(["w"] * (5 + i % 7)), "abc"[0 if i < 600 else 1 if i < 900 else 2]) for i in range(3000)], "doc_id long, text string, source string")
+    mix = mixing.Mix(spark, df)
+    _, totals = mix.quotas()
+    quota = {s: b * t + e for s, b, e, t in totals}
+    drawn, rows = {}, mix.dealt(4).collect()
+    for r in rows:
+        assert len(r.shards) == len(r.places) == r.copies
+        for c, k in enumerate(r.shards):
+            drawn.setdefault((r.source, k), set()).add((r.block, c))
+    order = sorted(quota)
+    want = mixing.split_tree(np.array([quota[s] for s in order]), 4)
+    assert [[len(drawn.get((s, k), ())) for s in order] for k in range(4)] == want.tolist()
+    assert all(drawn.get((s, k)) for s in order for k in range(4))
+    got = Counter((r.doc_id, r.copy, r.shard, r.place) for r in mix.shards(df, 4).collect())
+    assert got == Counter((r.id, c + 1, r.shards[c], r.places[c]) for r in rows for c in range(r.copies))
+    docs = table(spark, SF, "documents")
+    assert all(len(r.shards) * r.size == r.taken for r in op9_mixing(spark, SF).collect()) and mixing.mixed(spark, docs).count() > 0
+
+
 def test_splitting_tree():
     quotas = np.array([100, 37, 3, 0, 1])
     rows = mixing.split_tree(quotas, 7)
