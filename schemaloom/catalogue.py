@@ -587,18 +587,22 @@ def flatten_json_exact(spark, sf_dir):
 THREAD = Schema(rec("node", fld("next", ["null", "node"]), fld("label", "string")))
 
 
+def thread_docs(spark, sf_dir):
+    """(id, doc): all turns of each conversation, in order, as a chain of records; a label is the turn's role and whole text."""
+    label = F.concat(F.coalesce("role", F.lit("-")), F.lit(": "), F.coalesce("text", F.lit("")))
+    tail = F.concat(F.lit(","), F.substring(F.to_json(F.struct(label.alias("label"))), 2, (1 << 31) - 1))
+    turns = read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("id"), F.struct(F.col("turn").alias("turn"), tail.alias("tail")).alias("t"))
+    tails = F.reverse(F.transform(F.sort_array("ts"), lambda t: t["tail"]))
+    # The heads of all records, and then from the last record on what closes each.
+    doc = F.concat(F.repeat(F.lit('{"next":{"node":'), F.size("ts") - 1), F.lit('{"next":null'), F.array_join(tails, "}"))
+    return turns.groupBy("id").agg(F.collect_list("t").alias("ts")).select("id", doc.alias("doc"))
+
+
 @query("SELECT conv_id AS id, TRUE AS ok, TRUE AS same FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)")
 def recursive_thread(spark, sf_dir):
-    """The first four turns of each conversation as a chain of records, there and back."""
-    turns = read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").groupBy(F.col("conv_id").alias("id")).agg(*[F.max(F.when(F.col("turn") == k, F.col("role"))).alias(f"r{k}") for k in range(4)])
-    node = F.lit(None).cast("string")
-    for k in (3, 2, 1, 0):
-        label = F.to_json(F.struct(F.coalesce(F.col(f"r{k}"), F.lit("-")).alias("label")))
-        inner = F.coalesce(F.concat(F.lit('{"node":'), node, F.lit("}")), F.lit("null"))
-        node = F.concat(F.expr("'{\"next\":'"), inner, F.lit(","), F.substring(label, 2, 1 << 20))
+    """Each whole conversation as a chain of records, there and back."""
     c = api.compile(THREAD)
-    df = turns.select("id", node.alias("doc"))
-    flat = c.flatten_json(df, "doc", ["id", "doc"]).select("id", "doc", F.col("value").alias("tuple"))
+    flat = c.flatten_json(thread_docs(spark, sf_dir), "doc", ["id", "doc"]).select("id", "doc", F.col("value").alias("tuple"))
     back = c.unflatten_json(flat, "tuple", ["id", "doc"])
     return back.select("id", "ok", F.col("value").eqNullSafe(F.col("doc")).alias("same"))
 

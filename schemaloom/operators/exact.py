@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,6 +16,10 @@ from schemaloom.plans.objects import Single
 from schemaloom.sources import msgpack
 
 
+#: Python frames that a deeply nested value may take; they are not on the C stack.
+MOST_FRAMES = 1 << 20
+
+
 def loads(text: str | bytes) -> Any:
     """JSON, with {"$binary": "HEX"} for bytes; a duplicate key is an error."""
 
@@ -57,6 +62,7 @@ def apply(df: DataFrame, column: str, work: Callable[[Any], Any], source: str, s
     kind = pa.string() if sink == "json" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(MOST_FRAMES, sys.getrecursionlimit()))
         for batch in batches:
             oks, errors, values = [], [], []
             for raw in batch.column("__raw").to_pylist():

@@ -188,3 +188,16 @@ def test_wide_records(spark):
     s = Schema(rec(*[f(f"f{i}", "int", default=1000 + i) for i in range(150)]))
     df = spark.range(3).select(*[F.lit(None).cast("int").alias(f"f{i}") for i in range(150)])
     assert list(api.compile(s).flatten(df).first()) == [1000 + i for i in range(150)]
+
+
+def test_threads_hold_all_turns(spark, tmp_path):
+    turns = [(1, k, "user" if k % 2 else "bot", f'text {k} "é" \\ \n') for k in range(399)] + [(2, 5, None, None), (2, 3, "user", "x"), (None, 1, "user", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = {r.id: r.doc for r in catalogue.thread_docs(spark, str(tmp_path)).collect()}
+    assert docs[2] == '{"next":{"node":{"next":null,"label":"-: "}},"label":"user: x"}'
+    node, found = json.loads(docs[1]), []
+    while node:
+        found.append(node["label"])
+        node = node["next"] and node["next"]["node"]
+    assert found == [f"{t[2]}: {t[3]}" for t in turns[:399]]
+    assert sorted(tuple(r) for r in catalogue.recursive_thread(spark, str(tmp_path)).collect()) == [(1, True, True), (2, True, True)]
