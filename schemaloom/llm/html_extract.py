@@ -12,7 +12,8 @@ Text: character references are decoded, inline tags vanish, every other tag ends
 one space, and blocks join in page order by one space. Nothing else is dropped or cut off.
 
 Defined cases: a null or empty html, or one without words outside markup, gives the empty text. Broken markup is read
-as browsers do where that is simple: unknown end tags are passed over, an unclosed tag or comment runs to the end.
+as browsers do where that is simple: unknown end tags are passed over, li, dt, dd, option, tr, td,
+th and p end where the next start tag implies it, an end tag finds its element at any depth, an unclosed tag or comment runs to the end.
 Null ids and repeated rows come out as they are. Columns whose names clash with n_chars or text are not carried along.
 """
 
@@ -104,15 +105,54 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
+#: By start tag: elements that it ends if they are open, and those beyond which it doesn't reach.
+CELLS = frozenset(("table", "td", "th", "caption"))
+OUTER = LANDMARKS - {"address"} | CELLS | {"section", "blockquote", "fieldset", "details", "body"}
+IMPLIED = {
+    "li": (("li",), OUTER | {"ul", "ol"}), "dt": (("dt", "dd"), OUTER | {"dl"}), "dd": (("dt", "dd"), OUTER | {"dl"}), "option": (("option",), frozenset(("select", "datalist"))),
+    "tr": (("tr",), frozenset(("table",))), "td": (("td", "th"), frozenset(("table", "tr"))), "th": (("td", "th"), frozenset(("table", "tr"))),
+}
+IMPLIED |= {n: (("p",), CELLS | {"button"}) for n in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section ul".split()}
+
+
+class Names:
+    """Names of the open elements, and the places of each name, so that an end tag is found at once at any depth."""
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append(name)
+
+    def last(self, name: str) -> int:
+        """The place of the innermost of a name, -1 if none is open."""
+        found = self.at.get(name)
+        return found[-1] if found else -1
+
+    def implied(self, name: str) -> int:
+        """The place of the element that a start tag ends, or -1."""
+        ends, stops = IMPLIED.get(name, ((), ()))
+        k = max(map(self.last, ends), default=-1)
+        return k if k >= 0 and all(self.last(x) < k for x in stops) else -1
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            self.at[self.open.pop()].pop()
+
+
 class Open:
     """The open elements, with what they say about their contents."""
 
     def __init__(self, weights: Weights):
         self.weights, self.stack = weights, [("", 0.0, 0, False, "body")]
+        self.names = Names()
 
     def start(self, name: str, rest: str, number: int) -> None:
         if name in VOID or rest.endswith("/") and name in ("svg", "path"):
             return
+        self.close(self.names.implied(name))
         _, said, junk, article, block = self.stack[-1]
         own = self.weights.element(name, rest)
         if name == "header" and article and own < 0:  # an article's own head holds its title
@@ -121,12 +161,15 @@ class Open:
             junk = junk or number
         article = article or name in ("article", "main")
         self.stack.append((name, own if own else said, junk, article, block if name in INLINE else name))
+        self.names.push(name)
+
+    def close(self, k: int) -> None:
+        if k >= 0:
+            del self.stack[k + 1 :]  # the stack has one more, at its bottom
+            self.names.cut(k)
 
     def end(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, max(0, len(self.stack) - 400), -1):
-            if self.stack[k][0] == name:
-                del self.stack[k:]
-                return
+        self.close(self.names.last(name))
 
     @property
     def link(self) -> bool:
@@ -179,28 +222,33 @@ def counts_of(page: str) -> Counter:
     out: Counter = Counter()
     if not mark:
         return out
-    stack: list[tuple[str, str]] = []
-    inside = 0
+    names, inside = Names(), 0
+
+    def close(k: int) -> int:
+        """How many of the marked elements end with the one at k."""
+        gone = names.open[k:].count(mark) if k >= 0 else 0
+        if k >= 0:
+            names.cut(k)
+        return gone
+
     for kind, name, rest in tokens(page):
         if kind == "text":
             if words := len(name.split()):
-                block = next((n for n, _ in reversed(stack) if n not in INLINE), "body")
-                link = any(n == "a" for n, _ in stack[-3:])
+                block = next((n for n in reversed(names.open) if n not in INLINE), "body")
+                link = "a" in names.open[-3:]
                 out[f"w:{block}{'+a' if link else ''}", bool(inside)] += words
         elif kind == "start":
+            if name not in VOID:
+                inside -= close(names.implied(name))
             out["t:" + name, bool(inside)] += 1
             if name not in ("html", "body"):
                 for label in labels(name, rest):
                     out["n:" + label, bool(inside) or name == mark] += 1
             if name not in VOID:
-                stack.append((name, rest))
+                names.push(name)
                 inside += name == mark
         elif kind == "end":
-            for k in range(len(stack) - 1, max(-1, len(stack) - 400), -1):
-                if stack[k][0] == name:
-                    inside -= sum(n == mark for n, _ in stack[k:])
-                    del stack[k:]
-                    break
+            inside -= close(names.last(name))
     return out
 
 

@@ -66,6 +66,14 @@ def test_pages_with_and_without_learned_weights(spark):
         assert r.text == want and r.n_chars == len(want)
 
 
+def test_an_article_after_a_long_menu_stays():
+    article = "<article><p>The text of the article goes on for some words.<p>And then some more of them.</article>"
+    for page in ("<nav><ul>" + "<li><a href=/>Entry</a>" * 1000 + "</ul></nav>" + article, "<aside>" + "<div>x" * 1000 + "</aside>" + article, "<ul><li class=advert>Buy<li>" + article + "</ul>"):
+        text = html_extract.segment(page, html_extract.Weights())
+        assert text == "The text of the article goes on for some words. And then some more of them."
+        assert html_extract.counts_of(page)["t:p", True] == 2
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (None, None, "", "t"), (3, "u", "<article>&#xD800; &#128512; ok &bogus; fine</article>" * 2, "t"), (4, "u", "<div " * 3000, "t"), (5, "u", "<p>" + "long words " * 100_000, "t")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_extract.extracted(spark, df, html_extract.learn(df)).collect()}
