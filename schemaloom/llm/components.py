@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.work import Tables
+from schemaloom.llm.work import Tables, partitions
 
 
 class Groups:
@@ -37,27 +37,56 @@ class Groups:
         return self.up
 
 
+#: Rows that one key may bring into a task of a join, at least; beyond it and its share of the rows a key counts as heavy.
+LIGHT = 256
+
+
+def looked_up(rows: DataFrame, key: str, found: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """rows with `m` of found (k, m), null where there is none; keys of found are unique.
+
+    Rows of heavy keys take theirs from a broadcast, which has a row for each heavy key at most, and are spread by
+    the hash of the other column; so no key's rows meet in one task.
+    """
+    if heavy is None:
+        return rows.join(found, rows[key] == found["k"], "left").drop("k")
+    other = "v" if key == "u" else "u"
+    few = heavy.join(found, heavy["h"] == found["k"], "left").select("h", F.col("m").alias("__m"))
+    marked = rows.join(F.broadcast(few), rows[key] == few["h"], "left")
+    marked = marked.withColumn("__at", F.when(F.col("h").isNull(), F.col(key)).otherwise(F.col(other))).withColumn("__light", F.col("h").isNull())
+    right = found.withColumn("__one", F.lit(True))
+    out = marked.join(right, (marked["__at"] == right["k"]) & (marked["__light"] == right["__one"]), "left")
+    return out.select(*rows.columns, F.coalesce("__m", "m").alias("m"))
+
+
 def connected(tables: Tables, links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of links (u, v) reaches, for nodes that have a link.
 
     Alternates the large-star and small-star steps (Kiveris and others, "Connected Components in MapReduce and Beyond",
-    2014) till nothing changes. A step takes a minimum per node, which is combined before the shuffle, and joins it back
-    to the links, so a hub's links never meet in one task as a list. Each round is written to the shared folder.
+    2014) till nothing changes. Links point from the larger node u to the smaller v. Large-star sends u to the least
+    neighbour of v, small-star sends u and its neighbours to the least of these. A step takes a minimum for each node,
+    which is combined before the shuffle, and looks it up for the links; links of heavy nodes are spread. Nodes with
+    more than 1 / partitions of the links are heavy, so there are at most twice as many as partitions. Each round is
+    written to the shared folder.
     """
+    spark = tables.spark
     tell = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = tables.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = tell(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
+        most, heavy = max(LIGHT, seen[0] // partitions(spark)), {}
+        if seen[0] > most:
+            counts = now.groupBy("u").count().select(F.lit("u").alias("end"), F.col("u").alias("h"), "count").unionByName(now.groupBy("v").count().select(F.lit("v").alias("end"), F.col("v").alias("h"), "count"))
+            for end, h in counts.where(F.col("count") > most).select("end", "h").collect():  # `partitions` rows for each end at most
+                heavy.setdefault(end, []).append((h,))
+        listed = lambda end: spark.createDataFrame(heavy[end], "h long") if end in heavy else None
+        least = now.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        large = looked_up(now, "v", least, listed("v")).select("u", F.coalesce("m", "v").alias("v"))
+        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        small = looked_up(large, "u", least, listed("u")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
         past, now = now, tables.cut(small)
         found = tell(now)
+        tables.drop(past)
         if found == seen:
-            tables.drop(past)
             break
-        tables.drop(past)
         seen = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

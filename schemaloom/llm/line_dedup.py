@@ -7,24 +7,25 @@ similarity of their shingle sets is at least `similarity`.
 1. Each task hashes its distinct lines, signs their shingles by BANDS x ROWS minima and sends, by hash range, band keys
    with line hashes. A range's task links each line to the least line that shares a key: stars, never all pairs. With
    14 bands of 4 rows a pair at similarity 0.8 shares a key with probability 0.9994.
-2. The components of these links are candidates only. Texts of their lines are fetched once a line, found by a Bloom
-   filter of fixed size and checked by a join.
-3. Candidates are verified by exact Jaccard similarity of all their unlinked pairs. Small components are packed
-   together; a large one is dealt into tiles of bounded size and its pairs of tiles are spread over tasks. A task
-   reports a spanning forest of verified links, and the distributed components unite these.
+2. The components of these links are candidates only. The documents are read again: each task gives the texts of lines
+   that a Bloom filter of fixed size may hold, which a join checks, and by hash range the places of all lines, of which
+   those are kept whose line is there twice or may be a candidate.
+3. Candidates are verified by exact Jaccard similarity. Components of up to TILE lines are packed together and all their
+   unlinked pairs compared. Of a larger component, which may be a chain of buckets, only lines that share a bucket's
+   least line are compared: all with that line first, and then those that are unlike it with all the others, in tiles
+   of bounded size. A task reports a spanning forest of verified links, and the distributed components unite these.
 4. The first occurrence in each verified component is kept, found by a minimum that is combined before the shuffle.
    The other occurrences, equal lines included, go from their documents.
 
-Defined cases: null or empty texts have no lines and stay as they are. Rows with a null id are left as they are and
+Defined cases: ids are whole numbers. Null or empty texts have no lines and stay as they are. A very long text is read
+whole, and a very long line is a line like others. Rows with a null id are left as they are and
 don't count. Rows that repeat an id and text are one row more than once: lines are kept or lost alike in all of them.
 Extra columns are ignored, clashing names included. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, combinations, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,16 @@ from pyspark.sql import functions as F
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.substring_dedup import named
 from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
-from schemaloom.llm.work import Marks, Tables, buffers, by_range, gathered_marks, pack, partitions, slices, unpack
+from schemaloom.llm.work import Marks, Tables, buffers, by_range, gathered_marks, pack, partitions, ranges, rises, slices, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 4, 0.8
 TILE, SMALL = 1024, 64
-#: Lines of a component that are compared without numbering their shingles.
+#: Lines of a component that are compared pair by pair.
 FEW = 6
 #: Shingles that are signed together.
 BLOCK = 1 << 16
-GATHER, FILTER_BYTES = 1 << 16, 8 << 20
+#: Lines whose signatures, and lines whose places a task gathers before it sends them; bytes of the filter.
+GATHER, PLACES, FILTER_BYTES = 1 << 16, 1 << 18, 8 << 20
 CHAR_BASE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -114,20 +116,6 @@ def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4"), count[starts], count[ends]
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(line long, id, tag, number): every line with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                data, offsets = buffers(batch.column("text"))
-                starts, ends, doc, number = line_places(data, offsets)
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array(span_hashes(data, starts, ends).view(np.int64)), pa.array(batch.column("id").to_numpy()[doc]), pa.array(batch.column("tag").to_numpy()[doc]), pa.array(number.astype(np.int32))], names=["line", "id", "tag", "number"])
-
-    return rows.mapInArrow(run, "line long, id long, tag long, number int")
-
-
 def candidates(rows: DataFrame, many: int) -> DataFrame:
     """(u, v): links between line hashes that share a band key, as stars."""
 
@@ -190,46 +178,111 @@ def filter_of(keys: DataFrame, column: str, many: int, size: int) -> Marks:
     return gathered_marks(keys.select(F.col(column).alias("k"), F.shiftrightunsigned(high * F.lit(many).cast("long"), 32).cast("int").alias("r")).groupBy("r").applyInArrow(fill, "r int, bits binary"), many, size)
 
 
-def texts_of(rows: DataFrame, marks, many: int) -> DataFrame:
-    """(line, text) of lines that the filter may hold, once a task and run of rows."""
+def second_reading(rows: DataFrame, marks, many: int) -> DataFrame:
+    """(text, line) of lines that the filter may hold, once a task and run of rows; and (r, n, blob): by hash range lines with id, tag and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Marks(many, marks.value[0], np.frombuffer(marks.value[1], np.uint8))
+        kept, count = [], 0
+
+        def flush():
+            lines, ids, tags, numbers = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(lines, kind="stable")
+            lines, parts = lines[order], list(by_range(lines[order], many))
+            blobs = [pack(rises(lines[p]), ids[order[p]], tags[order[p]], numbers[order[p]]) for _, p in parts]
+            return made([r for r, _ in parts], [p.stop - p.start for _, p in parts], blobs, [None] * len(parts), [None] * len(parts))
+
+        def made(r, n, blob, line, text):
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary()), pa.array(line, pa.int64()), pa.array(text, pa.string())], names=["r", "n", "blob", "line", "text"])
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 data, offsets = buffers(batch.column("text"))
-                starts, ends, _, _ = line_places(data, offsets)
+                starts, ends, doc, number = line_places(data, offsets)
                 if not len(starts):
                     continue
-                hashes, first = np.unique(span_hashes(data, starts, ends), return_index=True)
+                lines = span_hashes(data, starts, ends)
+                hashes, first = np.unique(lines, return_index=True)
                 has = wanted.has(hashes)
-                found = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[has]], ends[first[has]], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[has].view(np.int64)), pa.array(found, pa.string())], names=["line", "text"])
+                if has.any():
+                    found = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[has]], ends[first[has]], strict=True)]
+                    none = [None] * len(found)
+                    yield made(none, none, none, hashes[has].view(np.int64), found)
+                kept.append((lines, batch.column("id").to_numpy()[doc], batch.column("tag").to_numpy()[doc], number.astype(np.int32)))
+                count += len(lines)
+                if count >= PLACES:
+                    yield flush()
+                    kept, count = [], 0
+        if count:
+            yield flush()
+
+    return rows.mapInArrow(run, "r int, n int, blob binary, line long, text string")
+
+
+def occurrences(blobs: DataFrame, marks, many: int) -> DataFrame:
+    """(line, id, tag, number): places of lines that are there twice or that the filter may hold; of (r, n, blob)."""
+
+    def recurring(table: pa.Table) -> pa.Table:
+        wanted = Marks(many, marks.value[0], np.frombuffer(marks.value[1], np.uint8))
+        parts = [unpack(b.as_py(), n.as_py(), "u8", "i8", "i8", "i4") for b, n in zip(table.column("blob"), table.column("n"), strict=True)]
+        lines = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        order = np.argsort(lines)
+        at = np.flatnonzero(np.diff(lines[order], prepend=lines[order[0]] + np.uint64(1)))
+        many_ = np.diff(at, append=len(order))
+        take = order[np.repeat((many_ > 1) | wanted.has(lines[order[at]]), many_)]
+        ids, tags, numbers = (np.concatenate([p[k] for p in parts])[take] for k in (1, 2, 3))
+        return pa.table({"line": lines[take].view(np.int64), "id": ids, "tag": tags, "number": numbers})
 
-    return rows.select("text").mapInArrow(run, "line long, text string")
+    return blobs.groupBy("r").applyInArrow(recurring, "line long, id long, tag long, number int")
 
 
 def shingles(text: str) -> frozenset[str]:
     return frozenset(text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1)))
 
 
-def alike(sets: list[frozenset], left: np.ndarray, right: np.ndarray | None, groups: Groups, similarity: float) -> None:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted distinct numbers of its shingles. Equal numbers are equal shingles, as no bits are lost: code points are numbered, and numbers joined two by two and numbered anew where they don't fit."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    # A text is followed by as many zeros as a shingle that begins in it may reach.
+    points = np.frombuffer(("\0" * SHINGLE).join([*texts, ""]).encode("utf-32-le"), "<u4")
+    at = np.cumsum(size + SHINGLE) - size - SHINGLE
+    used = np.zeros(int(points.max(initial=0)) + 1, bool)
+    used[points] = True
+    x = np.cumsum(used).astype(np.uint64)[points]
+    x[((at + size)[:, None] + np.arange(SHINGLE)).ravel()] = 0
+    bits, width = int(x.max(initial=0)).bit_length(), 1
+    while width < SHINGLE:
+        if 2 * bits > 64:
+            x = np.unique(x, return_inverse=True)[1].astype(np.uint64)
+            bits = int(x.max()).bit_length()
+        x = x << np.uint64(bits) | np.append(x[width:], np.zeros(min(width, len(x)), np.uint64))
+        bits, width = bits * 2, width * 2
+    out = []
+    for a, n in zip(at.tolist(), np.maximum(size - SHINGLE + 1, 1).tolist(), strict=True):
+        own = np.sort(x[a : a + n])
+        out.append(own[np.append(True, own[1:] != own[:-1])])
+    return out
+
+
+def jaccard_holds(common, a, b, similarity: float):
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, groups: Groups, similarity: float) -> None:
     """Links the places of lines that are alike, among left or between left and right; pairs already linked are passed over.
 
     Shingles get numbers, so that one line's overlap with all the others is one sum over marks in an array.
     """
     both = left if right is None else np.concatenate([left, right])
-    if len(both) < 2:
+    if len(both) < 2 or right is not None and not len(left):
         return
+    if right is None and len(both) <= FEW:
+        return plain_alike(sets, left.tolist(), groups, similarity)
     sizes = np.array([len(sets[i]) for i in both.tolist()])
-    if len(both) <= FEW:
-        pairs = combinations(left.tolist(), 2) if right is None else product(left.tolist(), right.tolist())
-        return plain_alike(sets, pairs, groups, similarity)
-    number: dict[str, int] = defaultdict(count().__next__)
-    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(sets[i] for i in both.tolist())), np.int32, int(sizes.sum()))
+    known, ids = np.unique(np.concatenate([sets[i] for i in both.tolist()]), return_inverse=True)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    marks = np.zeros(len(number), np.int32)
+    marks = np.zeros(len(known), np.int32)
     for k, i in enumerate(left.tolist()):
         at = np.arange(k + 1 if right is None else len(left), len(both))
         at = at[(sizes[at] >= similarity * sizes[k]) & (sizes[at] * similarity <= sizes[k])]
@@ -243,62 +296,106 @@ def alike(sets: list[frozenset], left: np.ndarray, right: np.ndarray | None, gro
         else:
             common = np.add.reduceat(marks[ids], starts)[at]
         marks[own] = 0
-        hits = at[common >= similarity * (sizes[k] + sizes[at] - common) - 1e-9]
+        hits = at[jaccard_holds(common, sizes[k], sizes[at], similarity)]
         if len(hits):
             groups.link(np.full(len(hits), i), both[hits])
 
 
-def plain_alike(sets: list[frozenset], pairs, groups: Groups, similarity: float) -> None:
-    """The same for a few lines, pair by pair."""
-    for i, j in pairs:
-        a, b = sets[i], sets[j]
-        if len(a) >= similarity * len(b) and len(b) >= similarity * len(a):
-            common = len(a & b)
-            if common >= similarity * (len(a) + len(b) - common) - 1e-9:
-                groups.link(np.array([i]), np.array([j]))
+def plain_alike(sets: list[np.ndarray], places: list[int], groups: Groups, similarity: float) -> None:
+    """The same among a few lines, pair by pair."""
+    top = {i: i for i in places}
+    for k, i in enumerate(places):
+        for j in places[:k]:
+            a, b = sets[i], sets[j]
+            if top[i] == top[j] or len(a) < similarity * len(b) or len(b) < similarity * len(a):
+                continue
+            merged = np.sort(np.concatenate([a, b]))
+            if jaccard_holds(np.count_nonzero(merged[1:] == merged[:-1]), len(a), len(b), similarity):
+                low, high = sorted((top[i], top[j]))
+                top = {p: low if t == high else t for p, t in top.items()}
+    led = [p for p, t in top.items() if p != t]
+    groups.link(np.array(led, np.int64), np.array([top[p] for p in led], np.int64))
+
 
+def forest_of(line: np.ndarray, groups: Groups) -> pa.Table:
+    tops = groups.tops()
+    led = np.flatnonzero(tops != np.arange(len(tops)))
+    return pa.table({"u": line[led], "v": line[tops[led]]})
 
-def verified(lines: DataFrame, many: int, similarity: float) -> DataFrame:
-    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, text) of candidate components."""
+
+def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, similarity: float) -> DataFrame:
+    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, text) of candidate components and links (u, v) to buckets' least lines."""
     sizes = lines.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    dealt = lines.join(sizes, "component").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    tile = F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")
-    dealt = dealt.withColumn("tile", tile).withColumn("pack", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(many * SMALL))).otherwise(F.col("component")))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select("line", "component", "text", "tile", (F.col("tiles") > 1).alias("large"), "pack", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    sized = tables.cut(lines.join(sizes, "component"))
+    packed = sized.where(F.col("m") <= TILE).withColumn("pack", F.pmod(F.xxhash64("component"), F.lit(many * SMALL)))
 
     def compare(table: pa.Table) -> pa.Table:
-        comp, line, tile = (table.column(c).to_numpy() for c in ("component", "line", "tile"))
+        comp, line = (table.column(c).to_numpy() for c in ("component", "line"))
         order = np.lexsort((line, comp))
-        sets = [shingles(t) for t in table.column("text").to_pylist()]
-        comp, line, tile, sets = comp[order], line[order], tile[order], [sets[i] for i in order.tolist()]
-        groups = Groups(len(line))
+        sets = shingle_sets(table.column("text").take(pa.array(order)).to_pylist())
+        comp, line, groups = comp[order], line[order], Groups(len(order))
         cuts = np.flatnonzero(np.diff(comp, prepend=comp[0] - 1))
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         for a, b in zip(cuts, [*cuts[1:], len(comp)], strict=True):
-            own = np.arange(a, b)
-            if p == q:
-                alike(sets, own, None, groups, similarity)
-            else:
-                alike(sets, own[tile[own] == p], own[tile[own] == q], groups, similarity)
-        tops = groups.tops()
-        led = np.flatnonzero(tops != np.arange(len(tops)))
-        return pa.table({"u": line[led], "v": line[tops[led]]})
-
-    return pairs.groupBy("large", "pack", "p", "q").applyInArrow(compare, "u long, v long")
+            alike(sets, np.arange(a, b), None, groups, similarity)
+        return forest_of(line, groups)
+
+    found = packed.groupBy("pack").applyInArrow(compare, "u long, v long")
+    large = sized.where(F.col("m") > TILE).select("line", "text")
+    if large.isEmpty():
+        return found
+    # Lines that share a bucket's least line, with the number of tiles that they fill.
+    shared = links.select(F.col("u").alias("line"), F.col("v").alias("lead")).unionByName(links.select(F.col("v").alias("line"), F.col("v").alias("lead")).distinct())
+    shared = large.select("line").join(shared, "line")
+    shared = tables.cut(shared.join(shared.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "lead").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")))
+    texts = large.withColumnRenamed("line", "__line")
+    first = shared.where("line = lead").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    first = first.unionByName(shared.where("line <> lead")).join(texts, F.col("line") == F.col("__line")).select("lead", "tile", "line", "text")
+
+    def with_lead(table: pa.Table) -> pa.Table:
+        line, lead = table.column("line").to_numpy(), table.column("lead")[0].as_py()
+        sets = shingle_sets(table.column("text").to_pylist())
+        groups, own = Groups(len(line)), np.flatnonzero(line == lead)
+        alike(sets, own, np.flatnonzero(line != lead), groups, similarity)
+        near = groups.tops() == groups.tops()[own[0]]
+        return pa.table({"lead": table.column("lead"), "line": line, "near": near})
+
+    led = tables.cut(first.groupBy("lead", "tile").applyInArrow(with_lead, "lead long, line long, near boolean").where("line <> lead"))
+    near = led.where("near").select(F.greatest("line", "lead").alias("u"), F.least("line", "lead").alias("v"))
+    far = led.where("NOT near").select(F.col("lead").alias("__lead"), F.col("line").alias("__far"))
+    many_far = far.groupBy("__lead").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    left = shared.join(far, (F.col("lead") == F.col("__lead")) & (F.col("line") == F.col("__far"))).drop("__lead").join(many_far, F.col("lead") == F.col("__lead")).withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lead", "part", "tile", "line", F.lit(True).alias("far"))
+    right = shared.where("line <> lead").join(many_far, F.col("lead") == F.col("__lead")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lead", "part", "tile", "line", F.lit(False).alias("far"))
+    work = left.unionByName(right).join(texts, F.col("line") == F.col("__line")).select("lead", "part", "tile", "line", "far", "text")
+
+    def across(table: pa.Table) -> pa.Table:
+        all_, far_ = table.column("line").to_numpy(), table.column("far").to_numpy(zero_copy_only=False)
+        line, at = np.unique(all_, return_index=True)
+        sets = shingle_sets(table.column("text").take(pa.array(at)).to_pylist())
+        groups, first_ = Groups(len(line)), np.isin(line, all_[far_])
+        inner = np.flatnonzero(first_ & np.isin(line, all_[~far_]))
+        alike(sets, np.flatnonzero(first_), np.flatnonzero(~first_), groups, similarity)
+        alike(sets, inner, None, groups, similarity)
+        if len(inner) < int(first_.sum()):
+            alike(sets, np.flatnonzero(first_ & ~np.isin(line, line[inner])), inner, groups, similarity)
+        return forest_of(line, groups)
+
+    return found.unionByName(near).unionByName(work.groupBy("lead", "part", "tile").applyInArrow(across, "u long, v long"))
 
 
 def removals(spark: SparkSession, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, tag, numbers array<int>): lines that go from each document; rows is (id, tag, text)."""
-    many, tables = partitions(spark), Tables(spark, "lines")
+    many, tables = ranges(rows), Tables(spark, "lines")
     size = max(64, FILTER_BYTES // many)
     known = rows.where("id IS NOT NULL")
-    found = connected(tables, candidates(known, many))
+    links = tables.cut(candidates(known, many))
+    found = connected(tables, links)
     marks = filter_of(found, "node", many, size)
     sent = spark.sparkContext.broadcast((size, marks.bits.tobytes()))
-    texts = texts_of(known, sent, many).join(found, F.col("line") == F.col("node")).groupBy("line").agg(F.first("text").alias("text"), F.first("component").alias("component"))
-    sure = connected(tables, verified(tables.cut(texts), many, similarity))
-    occurring = tables.cut(occurrences(known))
+    again = tables.cut(second_reading(known, sent, many))
+    texts = again.where("line IS NOT NULL").select("line", "text").join(found, F.col("line") == F.col("node")).dropDuplicates(["line"]).select("line", "component", "text")
+    sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity))
+    occurring = tables.cut(occurrences(again.where("r IS NOT NULL").select("r", "n", "blob"), sent, many))
     lines = occurring.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "number")).alias("first"))
     led = lines.join(sure, lines["line"] == sure["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("root"))
     heads = led.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head")).where("all > 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and Spark runs in one process, as in tests, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +63,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a table's files for which one hash range is made, at least.
+RANGE_BYTES = 256 << 20
+
+
+def ranges(rows: DataFrame) -> int:
+    """Hash ranges that tasks work through one at a time: as many as partitions, or more for a table that is large by the sizes of its files, so that what a task holds at once doesn't grow with the table."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(rows.sparkSession), min(size // RANGE_BYTES, 1 << 20) if size < 1 << 60 else 1)  # 2 ** 63 - 1 stands for an unknown size
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch with at most so many bytes in a column, one row at least."""
     n = batch.num_rows

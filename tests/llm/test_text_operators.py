@@ -368,3 +368,29 @@ def test_toxicity_on_held_out_labels(spark):
     model = toxicity.train(d, lab.where("doc_id % 2 = 0"))
     out = toxicity.scored(spark, d, model, ("doc_id",)).join(lab.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
     assert sum(r.toxic and r.y for r in out) >= 0.6 * sum(r.y for r in out) and sum(r.toxic and not r.y for r in out) <= 0.02 * len(out)
+
+
+def test_shingle_numbers_lose_nothing():
+    rng = random.Random(6)
+    for letters in ("abcdefgh éß中😀\0", [chr(c) for c in range(0x4E00, 0x9000)]):
+        some = ["", "a", "abcdefg", "abcdefgh"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(200)]
+        for a, x in zip(line_dedup.shingle_sets(some), some, strict=True):
+            for b, y in zip(line_dedup.shingle_sets(some)[::9], some[::9], strict=True):
+                assert len(np.intersect1d(a, b)) == len(line_dedup.shingles(x) & line_dedup.shingles(y))
+
+
+def test_large_line_components_of_unlike_lines(spark, monkeypatch):
+    """A chain of lines, each like the next, and lines like none, with tiles of few lines, so that all of the ways through verified() are taken."""
+    monkeypatch.setattr(line_dedup, "TILE", 6)
+    rng, texts = random.Random(7), []
+    for _ in range(4):
+        x = [rng.choice("abcdefghij ") for _ in range(90)]
+        for _ in range(40):
+            texts.append("".join(x))
+            at = rng.randrange(82)
+            x[at : at + rng.randrange(1, 4)] = [rng.choice("abcdefghij ") for _ in range(2)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = line_dedup.brute_force(rows)
+    assert {r.id for r in line_dedup.digest(spark, df).collect() if r.n_removed} == set(gone) and 20 < len(gone) < 156
