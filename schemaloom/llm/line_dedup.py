@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected
-from schemaloom.llm.substring_dedup import named
 from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
-from schemaloom.llm.work import Marks, Tables, buffers, by_range, gathered_marks, pack, partitions, ranges, rises, slices, unpack
+from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 4, 0.8
 TILE, SMALL = 1024, 64
@@ -48,6 +47,12 @@ GATHER, PLACES, FILTER_BYTES = 1 << 16, 1 << 18, 8 << 20
 CHAR_BASE = np.uint64(0xA24BAED4963EE407)
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, text): tag tells rows apart that share an id but not a text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+
+
 def line_places(data: np.ndarray, offsets: np.ndarray):
     """Of the lines with a word: first and last byte without white space at the ends, document and number within the document, counting all lines."""
     n_docs = len(offsets) - 1
@@ -168,16 +173,6 @@ def candidates(rows: DataFrame, many: int) -> DataFrame:
     return rows.select("text").mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(star, "u long, v long")
 
 
-def filter_of(keys: DataFrame, column: str, many: int, size: int) -> Marks:
-    """The Bloom filter of a column of longs."""
-
-    def fill(table: pa.Table) -> pa.Table:
-        return pa.table({"r": table.column("r")[:1].cast(pa.int32()), "bits": pa.array([Marks.segment(table.column("k").to_numpy().view(np.uint64), size)], pa.binary())})
-
-    high = F.shiftrightunsigned(F.col(column), 32)
-    return gathered_marks(keys.select(F.col(column).alias("k"), F.shiftrightunsigned(high * F.lit(many).cast("long"), 32).cast("int").alias("r")).groupBy("r").applyInArrow(fill, "r int, bits binary"), many, size)
-
-
 def second_reading(rows: DataFrame, marks, many: int) -> DataFrame:
     """(text, line) of lines that the filter may hold, once a task and run of rows; and (r, n, blob): by hash range lines with id, tag and number."""
 

@@ -36,8 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(spark, table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.dedup(spark, table(spark, sf_dir, "documents"), full=False).withColumnRenamed("id", "doc_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,8 @@ def test_substring_dedup(spark, docs, empty):
         want[(r.doc_id, len(w), len(lose), hashlib.sha256(kept.encode()).hexdigest(), kept)] += 1
     got = Counter(tuple(r) for r in substring_dedup.dedup(spark, docs).select("id", "n_words", "n_removed", "kept_sha256", "kept").collect())
     assert got == want and sum(k[2] for k in want) > 1000
+    few = Counter(tuple(r) for r in substring_dedup.dedup(spark, docs, bits=4).select("id", "n_words", "n_removed", "kept_sha256", "kept").collect())
+    assert few == want  # nearly all windows share a hash with others
     assert substring_dedup.dedup(spark, empty).count() == 0
 
 
