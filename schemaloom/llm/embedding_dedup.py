@@ -8,18 +8,26 @@ in some window; the verified pairs of all passes are united into components.
 A pass sorts by range partitions. Each task compares within its partition and reports a spanning forest of what it
 linked, and its first and last `window` rows; a second, small step compares these rows across the borders.
 
+The number of passes follows the number of classes, so that a pair at the limit meets in some pass with probability
+`recall` if directions are spread evenly: n classes share k = log2(n / window) bits by chance as often as a window
+holds, and a pair at angle a shares k bits with probability (1 - a / pi) ** k. Where vectors crowd, passes find less;
+so links are captured twice, by the even passes and by the odd ones, and as long as the overlap of the two says that
+more than 1 - `recall` of the linked classes are missing, as many passes are added, up to `rounds` times.
+
 Links are then counted exactly: within each component all pairs of classes are compared in tiles of bounded size, of
 which tasks return only counts for each vector. A pair below the limit is never linked, as every link is verified; a
-close pair can be missed only if no pass brings it, or a chain of links between the two, into a window.
+close pair can be missed only if no pass brings it, or a chain of links between the two, into a window. One function
+decides all cosines, so a pair at the very limit is a link everywhere or nowhere.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths don't link. A null id keeps its row and links with nothing. Rows that repeat an id are one vector with
-that id, the row with the least components; one row comes out for each id. Extra columns are ignored. Empty tables give
-empty results.
+Defined cases: ids are whole numbers. Vectors that are null, empty, zero or hold null or non-finite components link with
+nothing; vectors of different lengths don't link. A null id keeps its row and links with nothing. Rows that repeat an id
+are vectors of their own, which link with each other if they are close, and each has its row. Very long vectors are
+compared whole. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +40,9 @@ from pyspark.sql import types as T
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.work import Tables, partitions
 
-COSINE, PASSES, BITS, WINDOW, TILE, SEED = 0.95, 24, 60, 64, 1024, 11
+COSINE, RECALL, ROUNDS, BITS, WINDOW, TILE, SEED = 0.95, 0.999, 4, 60, 256, 1024, 11
+#: Cosines as near as this to the limit are worked out again in a way that doesn't depend on the rows around.
+CLOSE = 1e-9
 
 
 def vectors(column, d: int | None = None) -> np.ndarray:
@@ -63,12 +73,29 @@ def by_length(column) -> Iterator[np.ndarray]:
         yield np.flatnonzero(n == d)
 
 
+def passes_for(n: int, least: float, recall: float, window: int) -> int:
+    """How many passes bring a pair at the limit into a window with probability `recall`, for n vectors in even directions."""
+    shared = (1 - math.acos(least) / math.pi) ** max(1.0, math.log2(max(2, n) / window))
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - shared)))
+
+
+def close(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x have a cosine of at least `least` with which rows of y; all are unit vectors."""
+    cosines = x @ y.T
+    out = cosines >= least
+    i, j = np.nonzero(np.abs(cosines - least) < CLOSE)
+    if len(i):
+        out[i, j] = (x[i] * y[j]).sum(axis=1) >= least
+    return out
+
+
 def neighbours(x: np.ndarray, window: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows at most `window` apart with a cosine of at least `least`."""
-    for step in range(1, min(window, len(x) - 1) + 1):
-        i = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= least)
-        if len(i):
-            yield i, i + step
+    for at in range(0, len(x), window):
+        i, j = np.nonzero(close(x[at : at + window], x[at : at + 2 * window], least))
+        near = (j > i) & (j - i <= window)
+        if near.any():
+            yield i[near] + at, j[near] + at
 
 
 def forest(groups: Groups, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +104,27 @@ def forest(groups: Groups, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[led], node[tops[led]]
 
 
-def links(tables: Tables, classes: DataFrame, least: float, passes: int, bits: int, window: int, many: int) -> DataFrame:
-    """(u, v): spanning forests of the links that the passes find."""
+def worked(table: pa.Table, column: str, least: float, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spanning forests of the links among sorted rows: nodes, nodes and which half of the passes found them."""
+    ones, node, out = table.column("pass").to_numpy(), table.column(column).to_numpy(), []
+    known, rank = np.unique(node, return_inverse=True)
+    lengths = [(at, vectors(table.column("v").take(pa.array(at)))) for at in by_length(table.column("v"))]
+    for half in (0, 1):
+        groups = Groups(len(known))
+        for at, x in lengths:
+            for one in np.unique(ones[at]):
+                if one % 2 == half:
+                    own = np.flatnonzero(ones[at] == one)
+                    for i, j in neighbours(x[own], window, least):
+                        groups.link(rank[at[own[i]]], rank[at[own[j]]])
+        u, w = forest(groups, known)
+        if len(u):
+            out.append((u, w, np.full(len(u), half, np.int64)))
+    return out
+
+
+def links(tables: Tables, classes: DataFrame, least: float, passes: range, bits: int, window: int, many: int) -> DataFrame:
+    """(u, v, half): spanning forests of the links that the passes find, the even ones (half 0) and the odd ones."""
     kind = classes.schema["v"].dataType.simpleString()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,70 +132,42 @@ def links(tables: Tables, classes: DataFrame, least: float, passes: int, bits: i
             for at in by_length(batch.column("v")):
                 rows = batch.take(pa.array(at))
                 x = vectors(rows.column("v"))
-                for one in range(passes):
+                for one in passes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), one, np.int32)), pa.array(keys(x, one, bits)), rows.column("node"), rows.column("v")], names=["pass", "key", "node", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held: list[pa.RecordBatch] = []
-        count, opening = 0, True
-
-        def emit(table: pa.Table, u: np.ndarray, v: np.ndarray, edge: int) -> pa.RecordBatch:
+        def emit(table: pa.Table, found: list, edge: int) -> pa.RecordBatch:
+            u, w, half = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
             n, m = len(u), table.num_rows
             values = pa.concat_arrays([pa.nulls(n, table.schema.field("v").type), table.column("v").combine_chunks() if m else pa.nulls(0, table.schema.field("v").type)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([u, table.column("node").to_numpy()])), pa.array(np.concatenate([v, np.zeros(m, np.int64)])), pa.array(np.repeat([-1, edge], [n, m]).astype(np.int32)), pa.array(np.concatenate([np.zeros(n, np.int32), table.column("pass").to_numpy()])), pa.array(np.concatenate([np.zeros(n, np.int64), table.column("key").to_numpy()])), values],
+                [pa.array(np.concatenate([u, table.column("node").to_numpy()])), pa.array(np.concatenate([w, np.zeros(m, np.int64)])), pa.array(np.repeat([-1, edge], [n, m]).astype(np.int32)), pa.array(np.concatenate([half, table.column("pass").to_numpy()]).astype(np.int32)), pa.array(np.concatenate([np.zeros(n, np.int64), table.column("key").to_numpy()])), values],
                 names=["u", "w", "edge", "pass", "key", "v"],
             )
 
-        def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ones, node = table.column("pass").to_numpy(), table.column("node").to_numpy()
-            groups = Groups(table.num_rows)
-            order = np.argsort(node)
-            rank = np.empty(len(node), np.int64)
-            rank[order] = np.arange(len(node))
-            for at in by_length(table.column("v")):
-                x = vectors(table.column("v").take(pa.array(at)))
-                for one in np.unique(ones[at]):
-                    own = np.flatnonzero(ones[at] == one)
-                    for i, j in neighbours(x[own], window, least):
-                        groups.link(rank[at[own[i]]], rank[at[own[j]]])
-            return forest(groups, node[order])
-
         last = None
         for batch in batches:  # sorted by pass and key; a batch is compared together with the window before it
             table = pa.Table.from_batches([batch])
             if last is None:
-                yield emit(table.slice(0, window), np.empty(0, np.int64), np.empty(0, np.int64), part * 2)
+                yield emit(table.slice(0, window), [], part * 2)
             both = table if last is None else pa.concat_tables([last, table])
-            u, v = work(both)
-            yield emit(both.slice(0, 0), u, v, -1)
+            yield emit(both.slice(0, 0), worked(both, "node", least, window), -1)
             last = both.slice(max(0, both.num_rows - window))
         if last is not None:
-            yield emit(last, np.empty(0, np.int64), np.empty(0, np.int64), part * 2 + 1)
+            yield emit(last, [], part * 2 + 1)
 
     kept = tables.cut(classes.mapInArrow(project, f"pass int, key long, node long, v {kind}").repartitionByRange(many, "pass", "key", "node").sortWithinPartitions("pass", "key", "node").mapInArrow(compare, f"u long, w long, edge int, pass int, key long, v {kind}"))
 
     def border(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("pass", "ascending"), ("key", "ascending"), ("u", "ascending")])
-        node, ones = table.column("u").to_numpy(), table.column("pass").to_numpy()
-        order = np.argsort(node)
-        rank = np.empty(len(node), np.int64)
-        rank[order] = np.arange(len(node))
-        groups = Groups(len(node))
-        for at in by_length(table.column("v")):
-            x = vectors(table.column("v").take(pa.array(at)))
-            for one in np.unique(ones[at]):
-                own = np.flatnonzero(ones[at] == one)
-                for i, j in neighbours(x[own], window, least):
-                    groups.link(rank[at[own[i]]], rank[at[own[j]]])
-        u, v = forest(groups, node[order])
-        return pa.table({"u": u, "w": v})
+        found = worked(table.sort_by([("pass", "ascending"), ("key", "ascending"), ("u", "ascending")]), "u", least, window)
+        u, w, half = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        return pa.table({"u": u, "w": w, "half": half.astype(np.int32)})
 
     # The last rows of partition p (edge 2p + 1) meet the first of p + 1 (edge 2p + 2).
     edges = kept.where("edge >= 0").withColumn("border", F.floor((F.col("edge") + 1) / 2))
-    across = edges.groupBy("border").applyInArrow(border, "u long, w long")
-    return kept.where("edge < 0").select("u", F.col("w").alias("v")).unionByName(across.select("u", F.col("w").alias("v")))
+    across = edges.groupBy("border").applyInArrow(border, "u long, w long, half int")
+    return kept.where("edge < 0").select("u", F.col("w").alias("v"), F.col("pass").alias("half")).unionByName(across.select("u", F.col("w").alias("v"), "half"))
 
 
 def counted(rows: DataFrame, least: float, many: int) -> DataFrame:
@@ -173,7 +191,7 @@ def counted(rows: DataFrame, least: float, many: int) -> DataFrame:
             right = left if p == q else np.flatnonzero(tile[own] == q)
             for at in range(0, len(left), 256):
                 part = left[at : at + 256]
-                near = x[part] @ x[right].T >= least
+                near = close(x[part], x[right], least)
                 n[own[part]] += near @ size[own[right]]
                 if p != q:
                     n[own[right]] += size[own[part]] @ near
@@ -182,26 +200,48 @@ def counted(rows: DataFrame, least: float, many: int) -> DataFrame:
     return pairs.groupBy("large", "pack", "p", "q").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def components(spark: SparkSession, table: DataFrame, least: float = COSINE, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def found_links(tables: Tables, classes: DataFrame, least: float, recall: float, rounds: int, bits: int, window: int, many: int) -> DataFrame:
+    """(u, v): links of as many passes as the overlap of their halves asks for."""
+    each = passes_for(classes.count(), least, recall, window)
+    out = None
+    for k in range(rounds):
+        new = tables.cut(links(tables, classes, least, range(k * each, (k + 1) * each), bits, window, many))
+        out = new if out is None else out.unionByName(new)
+        ends = out.select(F.explode(F.array("u", "v")).alias("node"), "half").groupBy("node").agg((F.max(1 - F.col("half"))).alias("a"), F.max("half").alias("b"))
+        a, b, both, all_ = ends.agg(F.sum("a"), F.sum("b"), F.sum(F.col("a") * F.col("b")), F.count(F.lit(1))).first()
+        if not all_ or both and all_ >= recall * a * b / both:  # by capture and recapture there are a * b / both
+            break
+    return out.select("u", "v")
+
+
+def components(spark: SparkSession, table: DataFrame, least: float = COSINE, recall: float = RECALL, rounds: int = ROUNDS, bits: int = BITS, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept): a row for each vector."""
     tables, many = Tables(spark, "vectors"), partitions(spark)
     v = F.col(vector_col)
-    fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    # Floats travel as floats; cosines are in double precision all the same.
+    fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
+    # Floats travel as floats; cosines are in double precision all the same. Adding 0 makes -0.0 and 0.0 one value.
     kind = "array<float>" if isinstance(table.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
-    read = table.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v.cast(kind)).alias("v"))
-    null_ids = read.where("id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    rows = tables.cut(read.where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v")))
-    # -0.0 and 0.0 are one component value in a group's key.
-    classes = tables.cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")))
-    members = rows.where("v IS NOT NULL").join(classes, "v").select("id", "node", "size")
-    found = connected(tables, links(tables, classes, least, passes, bits, window, many))
-    linked = classes.join(found, "node").select("node", "component", "size", "v")
-    counts = counted(linked, least, many)
-    about = found.join(counts, "node")
-    known = members.join(about, "node", "left").select("id", F.coalesce(F.col("n") - 1, F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    zero = F.lit(0.0).cast(kind[6:-1])
+    read = table.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.transform(v.cast(kind), lambda x: x + zero)).alias("v"))
+    rows = read.select("id", F.xxhash64("v").alias("h"), "v")
+    classes = rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = tables.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    found = connected(tables, found_links(tables, classes, least, recall, rounds, bits, window, many))
+    linked = classes.join(found, "node").select("node", "component", "size", "first", "v")
+    counts = counted(linked.select("node", "component", "size", "v"), least, many)
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    about = tables.cut(classes.join(found, "node", "left").join(counts, "node", "left").join(heads, "component", "left").select("h", "node", (F.coalesce("n", "size") - 1).alias("n_links"), F.coalesce("head", "first").alias("component_id")))
+    # Rows find their class by the hash of their vector; where classes share a hash, by the vector too.
+    shared = about.groupBy("h").count().where("count > 1").select("h")
+    out = ["id", "n_links", "component_id"]
+    known = rows.where("v IS NOT NULL").select("id", "h").join(about, "h")
+    if not shared.isEmpty():
+        shared = tables.cut(shared)
+        both = about.join(shared, "h").join(classes.select("node", F.col("v").alias("w")), "node")
+        alike = rows.where("v IS NOT NULL").join(both, "h").where(F.col("v") == F.col("w"))
+        known = known.join(shared, "h", "left_anti").select(*out).unionByName(alike.select(*out))
     alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("id") == F.col("component_id")).unionByName(null_ids)
+    return known.select(*out).unionByName(alone).withColumn("kept", F.col("id").isNull() | (F.col("id") == F.col("component_id")))
 
 
 def keep_one(spark: SparkSession, table: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", **named) -> DataFrame:

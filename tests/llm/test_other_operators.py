@@ -21,7 +21,7 @@ def test_embeddings_against_all_pairs(spark):
     x = np.concatenate([x, x[:60] + 0.05 * rng.standard_normal((60, 16)), x[:40] * 3, np.repeat(x[5:6], 50, axis=0) + 0.02 * rng.standard_normal((50, 16)), x[7:8], x[7:8]]).astype(np.float32)
     rows = [(i * 7 % 1013, v.tolist(), 1, "e", 2) for i, v in enumerate(x)]
     odd = [(2001, None), (2002, []), (2003, [0.0] * 16), (2004, [float("nan")] + [1.0] * 15), (2005, [None] + [1.0] * 15), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, [float("inf")] * 16), (None, x[0].tolist()), (2009, [1e-30] * 16), (2010, [2e-30] * 16)]
-    rows += [(i, v, 0, "e", 2) for i, v in odd] + [rows[3]]
+    rows += [(i, v, 0, "e", 2) for i, v in odd]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string, node int").repartition(6)
     got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.components(spark, df).collect()}
     ids = np.array([r[0] for r in rows[: len(x)]] + [2009, 2010])
@@ -40,6 +40,33 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.keep_one(spark, df).columns == df.columns
 
 
+def test_repeated_ids_keep_all_their_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0]), (None, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.components(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.id)
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (3, 2, 2, False), (3, 2, 2, False), (4, 0, 4, True)]
+
+
+def test_passes_find_planted_pairs(spark):
+    """Pairs at cosine 0.95 to 0.97 among vectors in even directions, and in a crowd around one direction."""
+    rng, n, d = np.random.default_rng(8), 6000, 64
+    centre = rng.standard_normal(d) / 8
+    for crowd in (0.0, 1.2):
+        x = rng.standard_normal((n, d)) / 8 + crowd * centre
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        aside = rng.standard_normal((n // 4, d))
+        aside -= (aside * x[: n // 4]).sum(axis=1, keepdims=True) * x[: n // 4]
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        c = rng.uniform(0.951, 0.97, (n // 4, 1))
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, c * x[: n // 4] + np.sqrt(1 - c * c) * aside]))]
+        out = embedding_dedup.components(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).where(f"id >= {n}")
+        assert out.where("n_links > 0").count() >= 0.99 * (n // 4)
+
+
+def test_passes_follow_the_count():
+    each = [embedding_dedup.passes_for(n, 0.95, 0.999, 256) for n in (10, 10**4, 10**6, 10**9)]
+    assert each == sorted(each) and each[0] == 4 and each[-1] > 60
+
+
 PAGE = """<!DOCTYPE html><html><head><title>x</title><script>if (a<b) {}</script><style>p{}</style></head><body><header><h1>Site</h1><ul><li><a href=/>Home</a><li><a href=/b>About us</a></ul></header>
 <div class="cookie-notice">We use cookies to make it all better <button>OK</button></div>
 <div id=content><h2>The title &amp; more</h2><p>This is the <b>fir</b>st   paragraph with words that go on for a while.</p><div class="advert">Buy now this thing cheap</div>
