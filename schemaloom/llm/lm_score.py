@@ -1,22 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts (after Talbot and Osborne, 2007).
 
 Tokens are lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` and one end of text. Documents train unless crc32(id as text)
-mod 10 is 0. Counts of words and of pairs of neighbours are quantised to 1 + floor(log2 c); an n-gram with level q is
-put into the filter once for each level up to q. A probe asks level after level until one is missing, and the middle of
-the last level found is the count. P(w | v) is the pair's count over v's, interpolated with the smoothed share of w.
+mod 10 is 0. Counts of pairs of neighbours are quantised, exactly up to 7 and beyond that in steps of a quarter octave;
+a pair with level q is put into the filter once for each level up to q. A probe asks level after level until one is
+missing, and the middle of the last level found is the count. With c(v) the exact count of v, q(vw) the probed count of
+the pair (at most that of v and of w) and p(w) the smoothed share of w among all tokens, which the base score also has,
+
+    P(w | v) = (q(vw) + m p(w)) / (c(v) + m),   m = 4 + c(v) / 2.
+
+The p(w) of all words and of one unknown word add up to 1, and the counts of the pairs that begin with v to c(v), so P is
+a probability for each v, but for what quantising counts above 7 (within a tenth, errors cancel) and 0.4% of false hits add.
 
 1. Each task reads whole texts, in runs of bounded size, and writes for each run its tokens as numbers in the run's own
    word list. By hash range the lists' hashes and training counts meet in tasks.
 2. Each run sends its distinct pairs, held-out ones too, with training counts, sorted and packed, to the task of their hash range.
-3. The task of a range sums the counts, fills the range's segment of the filter with their levels, and answers every
-   run's list from the segment; for words it adds the exact counts over all training documents.
+3. The task of a range sums the counts, and answers every run's list: words with their exact counts over all training
+   documents, pairs from the range's segment of the filter, which it fills with their levels.
 4. Each run is scored with the answers to its own lists.
 
 The filter is sized by what was counted: LEVEL_BITS bits for each level that is put in, so 2 probes hit wrongly in 0.4%
 at every size of corpus. It is never in one place: a segment lives in the task of its range, and neither the driver nor a
 broadcast holds any of it. Every document is counted and scored whole.
 
-Defined cases: a null or empty text is one token, the end. A null id counts as held out (as crc32 of an empty text).
+Defined cases: ids are whole numbers. A very long text is a run of its own. A null or empty text is one token, the end. A null id counts as held out (as crc32 of an empty text).
 Repeated rows count and are scored each. Extra columns are ignored. With no training documents all counts are 0, V is
 0, and every score is 0 or negative and finite. Empty tables give empty results.
 """
@@ -33,17 +39,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.words import mixed, span_hashes, word_places
-from schemaloom.llm.work import Tables, buffers, by_range, pack, partitions, rises, slices, unpack
+from schemaloom.llm.work import Tables, buffers, by_range, pack, ranges, rises, slices, unpack
 
-PROBES, MOST_LEVEL = 2, 40
-#: Bits of the filter for each level of an n-gram: (1 - exp(-PROBES / LEVEL_BITS)) ** PROBES of foreign keys hit, 0.4%.
+PROBES = 2
+#: The least count of each level, from 1 on.
+LEAST = np.unique(np.concatenate([np.arange(1, 9), np.ceil(2.0 ** np.arange(3, 62, 0.25))])).astype(np.int64)
+#: Bits of the filter for each level of a pair: (1 - exp(-PROBES / LEVEL_BITS)) ** PROBES of foreign keys hit, 0.4%.
 LEVEL_BITS = 32
 #: Tokens of a run, about.
 RUN_TOKENS = 1 << 20
 #: Tokens that are scored together.
 PIECE = 1 << 17
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-TRUST, FLOOR = 0.7, 0.1
+FLOOR = 0.1
+#: The weight of a word's own share against the pairs of a context: so much, and so much for each time the context occurs.
+PRIOR, PRIOR_SHARE = 4.0, 0.5
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -120,7 +130,7 @@ class Levels:
     def level(self, keys: np.ndarray) -> np.ndarray:
         base = ((keys >> np.uint64(32)) * np.uint64(self.many) >> np.uint64(32)).astype(np.int64) * self.size
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for q in range(1, MOST_LEVEL):
+        for q in range(1, len(LEAST) + 1):
             has = np.ones(len(left), bool)
             for at in self.places(keys[left], q, self.size):
                 has &= (self.bits[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -136,26 +146,33 @@ class Levels:
 
 
 def middle(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, (1.5 * 2.0 ** (level.astype(float) - 1)) - 0.5, 0.0)
+    """The middle of the counts that have a level."""
+    last = np.append(LEAST[1:] - 1, LEAST[-1])
+    return np.append(0.0, (LEAST + last) / 2)[level]
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 c), 0 for 0."""
-    return np.where(counts > 0, np.frexp(counts.astype(float))[1], 0)
+    """The level of each count, 0 for 0."""
+    return np.searchsorted(LEAST, counts, side="right")
+
+
+def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, base: float) -> np.ndarray:
+    """P(w | v) from the probed count of the pair and the exact ones of both words."""
+    prior = PRIOR + PRIOR_SHARE * context
+    return (np.minimum(pair, np.minimum(context, word)) + prior * (word + FLOOR) / base) / (context + prior)
 
 
-def summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lists of one range: their lengths, the distinct keys, each key's place among these, the counts' sums, and the levels that the range's segment has."""
+def summed(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists of one range: their lengths, the distinct keys, each key's place among these, and the counts' sums."""
     ns = table.column("n").to_pylist()
     parts = [unpack(b.as_py(), n, "u8", "i4") for b, n in zip(table.column("blob"), ns, strict=True)]
     keys, number = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
-    total = np.bincount(number, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-    return ns, keys, number, total, Levels.sized(keys[total > 0], total[total > 0]).level(keys).astype(np.int8)
+    return ns, keys, number, np.bincount(number, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
 def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs."""
-    many, tables = partitions(spark), Tables(spark, "lm")
+    many, tables = ranges(docs), Tables(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +199,8 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     texts = written.where("r = -1").drop("r")
 
     def answer(table: pa.Table) -> pa.Table:
-        ns, _, number, total, level = summed(table)
-        cuts = np.cumsum(ns)[:-1]
-        blobs = [pack(c, q) for c, q in zip(np.split(total[number], cuts), np.split(level[number], cuts), strict=True)]
+        ns, _, number, total = summed(table)
+        blobs = [pack(c) for c in np.split(total[number], np.cumsum(ns)[:-1])]
         zeros = [0] * len(ns)
         return pa.table({
             "run": pa.array(table.column("run").to_pylist() + [-1], pa.int64()), "r": pa.array([table.column("r")[0].as_py()] * (len(ns) + 1), pa.int32()), "n": pa.array(ns + [0], pa.int32()),
@@ -215,7 +231,8 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array([row["run"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int32()), pa.array([p.stop - p.start for _, p in parts], pa.int32()), pa.array([pack(rises(pairs[p] >> np.uint64(20)), counts[p]) for _, p in parts], pa.binary())], names=["run", "r", "n", "blob"])
 
     def answer_pairs(table: pa.Table) -> pa.Table:
-        ns, _, number, _, level = summed(table)
+        ns, keys, number, total = summed(table)
+        level = Levels.sized(keys[total > 0], total[total > 0]).level(keys).astype(np.uint8)
         return pa.table({"run": table.column("run"), "r": table.column("r"), "n": table.column("n"), "pairs": pa.array([pack(q) for q in np.split(level[number], np.cumsum(ns)[:-1])], pa.binary())})
 
     pairs = texts.mapInArrow(send, "run long, r int, n int, blob binary").groupBy("r").applyInArrow(answer_pairs, "run long, r int, n int, pairs binary")
@@ -226,22 +243,19 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         keys, number, pair, (lengths, ids, out, null) = read(text.to_pylist()[0])
         n, found = len(number), found.sort_by("r").to_pylist()
         # Ranges follow the order of keys, so the answers by range are in the order of the run's sorted words and pairs.
-        parts = [unpack(x["blob"], x["n"], "i8", "i1") for x in found if x["pairs"] is None]
-        counts, word_counts = np.concatenate([p[0] for p in parts]), middle(np.concatenate([p[1] for p in parts]))
-        pair_counts = middle(np.concatenate([unpack(x["pairs"], x["n"], "i1")[0] for x in found if x["pairs"] is not None]))
+        counts = np.concatenate([unpack(x["blob"], x["n"], "i8")[0] for x in found if x["pairs"] is None])
+        pair_counts = middle(np.concatenate([unpack(x["pairs"], x["n"], "u1")[0] for x in found if x["pairs"] is not None]))
         known = np.unique(pair)
         first = np.concatenate([[0], np.cumsum(lengths)])
-        starts = float(word_counts[np.searchsorted(keys, END)])  # texts begin as often as they end
+        starts = counts[np.searchsorted(keys, END)]  # texts begin as often as they end
         opens, score_ = np.zeros(n, bool), np.empty(n, np.float64)
         opens[first[:-1]] = True
         for at in range(0, n, PIECE):
             own = slice(at, min(n, at + PIECE))
             previous = np.arange(at - 1, own.stop - 1)
             both = pair_counts[np.searchsorted(known, pair[own])]
-            seen = np.where(opens[own], starts, word_counts[number[previous]])
-            p = (word_counts[number[own]] + FLOOR) / base
-            p = np.where(seen > 0, TRUST * np.minimum(1.0, both / np.maximum(seen, 1)) + (1 - TRUST) * p, p)
-            score_[own] = np.log10(np.minimum(p, 1.0))
+            context = np.where(opens[own], starts, counts[number[previous]])
+            score_[own] = np.log10(probability(both, context, counts[number[own]], base))
         add = lambda x: np.add.reduceat(x, first[:-1])
         table = {
             "id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(out.astype(bool)), "n_tokens": lengths.astype(np.int64), "n_known": add((counts > 0).astype(np.int64)[number]), "train_tokens": np.full(len(lengths), n_train, np.int64),

@@ -200,7 +200,8 @@ def test_quantised_levels():
     size = 1 << 17
     filter_ = lm_score.Levels(1, size, lm_score.Levels.segment(keys, counts, size))
     assert (filter_.level(keys) >= lm_score.quantised(counts)).all() and (filter_.level(keys) == lm_score.quantised(counts)).mean() > 0.95
-    assert list(lm_score.quantised(np.array([0, 1, 2, 3, 4, 1023, 1024]))) == [0, 1, 2, 2, 3, 10, 11]
+    some = np.arange(1, 100_000)
+    assert (lm_score.middle(lm_score.quantised(some[:7])) == some[:7]).all() and (np.abs(lm_score.middle(lm_score.quantised(some)) / some - 1) < 0.1).all() and lm_score.quantised(np.array([0]))[0] == 0
 
 
 def test_the_filter_grows_with_what_is_counted():
@@ -214,24 +215,39 @@ def test_the_filter_grows_with_what_is_counted():
 
 
 def test_lm_scores_against_counted_pairs(spark, docs):
+    """Against the same model with exact counts and no filter, which is a probability for every context."""
     rows = docs.select("doc_id", "text").collect()
     toks = [[*words(lower(r.text)), None] for r in rows]
     held = [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 10 == 0 for r in rows]
     c = Counter(t for w, h in zip(toks, held, strict=True) if not h for t in w)
     both = Counter(p for w, h in zip(toks, held, strict=True) if not h for p in zip(["<start>", *w], w))
-    mid = lambda k: 1.5 * 2 ** (k.bit_length() - 1) - 0.5 if k else 0
     all_ = sum(c.values()) + 0.1 * (len(c) + 1)
+    seen = c | {"<start>": c[None]}
 
-    def plain(w):
-        s = 0
-        for a, b in zip(["<start>", *w], w):
-            p, seen = (mid(c[b]) + 0.1) / all_, mid(c[None] if a == "<start>" else c[a])
-            s += math.log10(min(1, 0.7 * min(1, mid(both[a, b]) / max(seen, 1)) + 0.3 * p if seen else p))
-        return round(s, 6)
+    def p(a, b):
+        m = 4 + seen.get(a, 0) / 2
+        return (both[a, b] + m * (c[b] + 0.1) / all_) / (seen.get(a, 0) + m)
 
+    for a in ["<start>", "the", "alpha", "w7", "never seen"]:
+        assert sum(p(a, b) for b in [*c, "unknown"]) == pytest.approx(1)
     got = {r.id: r.score for r in lm_score.scored(spark, docs).collect()}
-    off = [abs(got[r.doc_id] - plain(w)) / len(w) for r, w in zip(rows, toks, strict=True)]
-    assert np.mean(off) < 0.01 and sum(x < 1e-6 for x in off) >= 0.4 * len(off)  # the rest are false hits
+    off = [abs(got[r.doc_id] - sum(math.log10(p(a, b)) for a, b in zip(["<start>", *w], w))) / len(w) for r, w in zip(rows, toks, strict=True)]
+    assert np.mean(off) < 0.005 and max(off) < 0.1, (np.mean(off), max(off))
+    assert sum(x < 1e-6 for x in off) >= 0.3 * len(off)  # the rest are large counts and false hits
+
+
+def test_lm_counts_add_up_after_quantising():
+    counts = np.random.default_rng(3).zipf(1.6, 5000).clip(max=10**6)
+    assert abs(lm_score.middle(lm_score.quantised(counts)).sum() / counts.sum() - 1) < 0.03
+
+
+def test_lm_tells_what_occurs_twice(spark):
+    rng = random.Random(3)
+    once = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(200)]
+    rows = [(k, t) for k, t in enumerate(once + once[:20])]
+    got = {r.id: r for r in lm_score.scored(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [got[i].score for i in range(20) if not got[i].held_out and not got[200 + i].held_out]
+    assert min(twice) > np.quantile([got[i].score for i in range(20, 200)], 0.95)
 
 
 def test_mixing(spark, docs, empty):
