@@ -41,7 +41,15 @@ class Groups:
 LIGHT = 256
 
 
-def looked_up(rows: DataFrame, key: str, found: DataFrame, heavy: DataFrame | None) -> DataFrame:
+def heavy_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(h): the keys, of rows (key, n), that have more than their share of the total; so fewer than there are partitions. None if there are none."""
+    spark = counts.sparkSession
+    most = max(LIGHT, total // partitions(spark))
+    found = counts.where(F.col("n") > most).select(F.col(key).cast("long")).collect() if total > most else []
+    return spark.createDataFrame([(r[0],) for r in found], "h long") if found else None
+
+
+def looked_up(rows: DataFrame, key: str, other: str, found: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """rows with `m` of found (k, m), null where there is none; keys of found are unique.
 
     Rows of heavy keys take theirs from a broadcast, which has a row for each heavy key at most, and are spread by
@@ -49,13 +57,12 @@ def looked_up(rows: DataFrame, key: str, found: DataFrame, heavy: DataFrame | No
     """
     if heavy is None:
         return rows.join(found, rows[key] == found["k"], "left").drop("k")
-    other = "v" if key == "u" else "u"
     few = heavy.join(found, heavy["h"] == found["k"], "left").select("h", F.col("m").alias("__m"))
     marked = rows.join(F.broadcast(few), rows[key] == few["h"], "left")
     marked = marked.withColumn("__at", F.when(F.col("h").isNull(), F.col(key)).otherwise(F.col(other))).withColumn("__light", F.col("h").isNull())
     right = found.withColumn("__one", F.lit(True))
     out = marked.join(right, (marked["__at"] == right["k"]) & (marked["__light"] == right["__one"]), "left")
-    return out.select(*rows.columns, F.coalesce("__m", "m").alias("m"))
+    return out.select(*rows.columns, F.when(F.col("__light"), F.col("m")).otherwise(F.col("__m")).alias("m"))
 
 
 def connected(tables: Tables, links: DataFrame) -> DataFrame:
@@ -68,21 +75,15 @@ def connected(tables: Tables, links: DataFrame) -> DataFrame:
     more than 1 / partitions of the links are heavy, so there are at most twice as many as partitions. Each round is
     written to the shared folder.
     """
-    spark = tables.spark
     tell = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = tables.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = tell(now)
     while seen[0]:
-        most, heavy = max(LIGHT, seen[0] // partitions(spark)), {}
-        if seen[0] > most:
-            counts = now.groupBy("u").count().select(F.lit("u").alias("end"), F.col("u").alias("h"), "count").unionByName(now.groupBy("v").count().select(F.lit("v").alias("end"), F.col("v").alias("h"), "count"))
-            for end, h in counts.where(F.col("count") > most).select("end", "h").collect():  # `partitions` rows for each end at most
-                heavy.setdefault(end, []).append((h,))
-        listed = lambda end: spark.createDataFrame(heavy[end], "h long") if end in heavy else None
+        heavy = {end: heavy_keys(now.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, seen[0]) for end in "uv"}
         least = now.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        large = looked_up(now, "v", least, listed("v")).select("u", F.coalesce("m", "v").alias("v"))
+        large = looked_up(now, "v", "u", least, heavy["v"]).select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = looked_up(large, "u", least, listed("u")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
+        small = looked_up(large, "u", "v", least, heavy["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
         past, now = now, tables.cut(small)
         found = tell(now)
         tables.drop(past)

@@ -25,14 +25,14 @@ Extra columns are ignored, clashing names included. Empty tables give empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.components import Groups, connected
+from schemaloom.llm.components import Groups, connected, heavy_keys, looked_up
 from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
 from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, unpack
 
@@ -318,8 +318,8 @@ def forest_of(line: np.ndarray, groups: Groups) -> pa.Table:
     return pa.table({"u": line[led], "v": line[tops[led]]})
 
 
-def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, similarity: float) -> DataFrame:
-    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, text) of candidate components and links (u, v) to buckets' least lines."""
+def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, similarity: float, sets_of: Callable[[list[str]], list[np.ndarray]] = shingle_sets) -> DataFrame:
+    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, text) of candidate components and links (u, v) to buckets' least lines. sets_of gives texts' shingles as sorted distinct numbers."""
     sizes = lines.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     sized = tables.cut(lines.join(sizes, "component"))
     packed = sized.where(F.col("m") <= TILE).withColumn("pack", F.pmod(F.xxhash64("component"), F.lit(many * SMALL)))
@@ -327,7 +327,7 @@ def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, simi
     def compare(table: pa.Table) -> pa.Table:
         comp, line = (table.column(c).to_numpy() for c in ("component", "line"))
         order = np.lexsort((line, comp))
-        sets = shingle_sets(table.column("text").take(pa.array(order)).to_pylist())
+        sets = sets_of(table.column("text").take(pa.array(order)).to_pylist())
         comp, line, groups = comp[order], line[order], Groups(len(order))
         cuts = np.flatnonzero(np.diff(comp, prepend=comp[0] - 1))
         for a, b in zip(cuts, [*cuts[1:], len(comp)], strict=True):
@@ -338,17 +338,20 @@ def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, simi
     large = sized.where(F.col("m") > TILE).select("line", "text")
     if large.isEmpty():
         return found
-    # Lines that share a bucket's least line, with the number of tiles that they fill.
+    # Lines that share a bucket's least line, with the number of tiles that they fill. Leads of many lines are looked up apart.
     shared = links.select(F.col("u").alias("line"), F.col("v").alias("lead")).unionByName(links.select(F.col("v").alias("line"), F.col("v").alias("lead")).distinct())
-    shared = large.select("line").join(shared, "line")
-    shared = tables.cut(shared.join(shared.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "lead").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")))
+    shared = tables.cut(large.select("line").join(shared, "line").distinct())
+    counts = tables.cut(shared.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
+    heavy = heavy_keys(counts, "lead", shared.count())
+    shared = looked_up(shared, "lead", "line", counts.select(F.col("lead").alias("k"), F.ceil(F.col("n") / TILE).cast("int").alias("m")), heavy).withColumnRenamed("m", "tiles")
+    shared = tables.cut(shared.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")))
     texts = large.withColumnRenamed("line", "__line")
     first = shared.where("line = lead").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     first = first.unionByName(shared.where("line <> lead")).join(texts, F.col("line") == F.col("__line")).select("lead", "tile", "line", "text")
 
     def with_lead(table: pa.Table) -> pa.Table:
         line, lead = table.column("line").to_numpy(), table.column("lead")[0].as_py()
-        sets = shingle_sets(table.column("text").to_pylist())
+        sets = sets_of(table.column("text").to_pylist())
         groups, own = Groups(len(line)), np.flatnonzero(line == lead)
         alike(sets, own, np.flatnonzero(line != lead), groups, similarity)
         near = groups.tops() == groups.tops()[own[0]]
@@ -356,17 +359,17 @@ def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, simi
 
     led = tables.cut(first.groupBy("lead", "tile").applyInArrow(with_lead, "lead long, line long, near boolean").where("line <> lead"))
     near = led.where("near").select(F.greatest("line", "lead").alias("u"), F.least("line", "lead").alias("v"))
-    far = led.where("NOT near").select(F.col("lead").alias("__lead"), F.col("line").alias("__far"))
-    many_far = far.groupBy("__lead").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
-    left = shared.join(far, (F.col("lead") == F.col("__lead")) & (F.col("line") == F.col("__far"))).drop("__lead").join(many_far, F.col("lead") == F.col("__lead")).withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    far = led.groupBy("lead").agg(F.count_if(~F.col("near")).alias("f")).select(F.col("lead").alias("k"), F.ceil(F.col("f") / TILE).cast("int").alias("m"))
+    # Of each lead the lines unlike it, in parts, meet all of its lines, in tiles.
+    left = looked_up(led.join(shared.select("lead", "line", "tiles"), ["lead", "line"]).where("NOT near"), "lead", "line", far, heavy).withColumn("part", F.pmod(F.xxhash64("line"), F.col("m")).cast("int"))
     left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("lead", "part", "tile", "line", F.lit(True).alias("far"))
-    right = shared.where("line <> lead").join(many_far, F.col("lead") == F.col("__lead")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lead", "part", "tile", "line", F.lit(False).alias("far"))
+    right = looked_up(shared.where("line <> lead"), "lead", "line", far, heavy).where("m > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("lead", "part", "tile", "line", F.lit(False).alias("far"))
     work = left.unionByName(right).join(texts, F.col("line") == F.col("__line")).select("lead", "part", "tile", "line", "far", "text")
 
     def across(table: pa.Table) -> pa.Table:
         all_, far_ = table.column("line").to_numpy(), table.column("far").to_numpy(zero_copy_only=False)
         line, at = np.unique(all_, return_index=True)
-        sets = shingle_sets(table.column("text").take(pa.array(at)).to_pylist())
+        sets = sets_of(table.column("text").take(pa.array(at)).to_pylist())
         groups, first_ = Groups(len(line)), np.isin(line, all_[far_])
         inner = np.flatnonzero(first_ & np.isin(line, all_[~far_]))
         alike(sets, np.flatnonzero(first_), np.flatnonzero(~first_), groups, similarity)
