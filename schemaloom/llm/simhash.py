@@ -10,7 +10,11 @@ pair of tiles numpy compares blocks by exclusive-or and bit counts, and again le
 (of the whole and of the four 16-bit quarters) are too far apart. A task reports a spanning forest of the links that it
 finds, never all pairs, and the distributed components unite these.
 
-Defined cases: a null id keeps its row, has its fingerprint and a null component. Rows that repeat an id share it.
+Documents alike (keep_one): fingerprints of 256 bits over five-word shingles and a wide radius give candidates only. These
+are verified by the exact Jaccard similarity of their shingles, as line_dedup does it for lines, and the verified links
+are united.
+
+Defined cases: ids are whole numbers. A very long text is taken whole. A null id keeps its row, has its fingerprint and a null component. Rows that repeat an id share it.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -26,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected
-from schemaloom.llm.words import mixed
-from schemaloom.llm.work import Tables, as_bytes
+from schemaloom.llm.line_dedup import verified
+from schemaloom.llm.words import mixed, span_hashes, window_hashes
+from schemaloom.llm.work import Tables, as_bytes, partitions
 
 LEAST_TILE, MOST_TILE, TILES = 4096, 65536, 24
 
@@ -64,16 +69,17 @@ def columns(parts: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, parts))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1) -> DataFrame:
-    """(id, fp long, fp1 ...): one row for each row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep ..., fp long, fp1 ...): one row for each row of docs."""
     names = columns(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, width, parts) for x in as_bytes(batch.column(1))], np.uint64).reshape(-1, parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts))], names=["id", *names])
+            fp = np.array([fingerprint(x, width, parts) for x in as_bytes(batch.column("__text"))], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts))], names=["id", *keep, *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
+    schema = ", ".join(["id long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in names)])
+    return docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def near(a: np.ndarray, b: np.ndarray | None, radius: int, more=None, most: int = 0, rows: int = 128, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,31 +118,22 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, more=None, most: int
                     yield i, j
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, parts: int = 1, most: int = 0) -> DataFrame:
-    """(id, fp long, component_id): the smallest id that each row reaches by links of at most radius differing bits.
-
-    With more than one part, links differ in at most radius bits of the first part and `most` bits of all parts.
-    """
-    tables, names = Tables(spark, "simhash"), columns(parts)
-    rows = tables.cut(fingerprints(docs, id_col, text_col, width, parts))
-    classes = tables.cut(rows.where("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("node")).withColumn("ones", F.bit_count("fp").cast("int")))
+def candidate_links(classes: DataFrame, names: list[str], radius: int, most: int) -> DataFrame:
+    """(u, v): spanning forests, by pair of tiles, of the nodes of classes (names, node, ones) whose fingerprints are near."""
     counts = dict(classes.groupBy("ones").count().collect())  # 65 rows at most
     total = sum(counts.values())
     aim = min(MOST_TILE, max(LEAST_TILE, total // TILES))
-    tiles, first = [], {}
+    tiles, first = 0, {}
     for ones in sorted(counts):
-        first[ones] = len(tiles)
-        tiles += [ones] * math.ceil(counts[ones] / aim)
-    starts = F.create_map(*[F.lit(x) for o, f in first.items() for x in (o, f)]) if first else F.create_map(F.lit(0), F.lit(0))
-    many = F.create_map(*[F.lit(x) for o, n in counts.items() for x in (o, math.ceil(n / aim))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = classes.withColumn("tile", (starts[F.col("ones")] + F.pmod(F.xxhash64(*names), many[F.col("ones")].cast("long"))).cast("int"))
+        first[ones] = tiles
+        tiles += math.ceil(counts[ones] / aim)
+    table = lambda x: F.create_map(*[F.lit(v) for pair in x.items() for v in pair]) if x else F.create_map(F.lit(0), F.lit(0))
+    many = {o: math.ceil(n / aim) for o, n in counts.items()}
+    dealt = classes.withColumn("tile", (table(first)[F.col("ones")] + F.pmod(F.xxhash64(*names), table(many)[F.col("ones")].cast("long"))).cast("int"))
     # Tiles are numbered by population count, so what a tile is compared with is one run of tiles.
-    ends = sorted(first)
-    last = {o: max((first[p] + math.ceil(counts[p] / aim) - 1 for p in ends if p <= o + radius)) for o in ends}
-    least = {o: min((first[p] for p in ends if p >= o - radius)) for o in ends}
-    lows = F.create_map(*[F.lit(x) for o in ends for x in (o, least[o])]) if ends else F.create_map(F.lit(0), F.lit(0))
-    highs = F.create_map(*[F.lit(x) for o in ends for x in (o, last[o])]) if ends else F.create_map(F.lit(0), F.lit(0))
-    other = F.explode(F.sequence(lows[F.col("ones")], highs[F.col("ones")])).alias("other")
+    lows = {o: min(first[p] for p in first if p >= o - radius) for o in first}
+    highs = {o: max(first[p] + many[p] - 1 for p in first if p <= o + radius) for o in first}
+    other = F.explode(F.sequence(table(lows)[F.col("ones")], table(highs)[F.col("ones")])).alias("other")
     pairs = dealt.select(*names, "node", "tile", other).select(*names, "node", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -148,25 +145,67 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         order = np.argsort(node)
         rank = np.empty(len(node), np.int64)
         rank[order] = np.arange(len(node))
-        more = [(x[a], x[a if p == q else b]) for x in fps] if parts > 1 else None
+        more = [(x[a], x[a if p == q else b]) for x in fps] if len(fps) > 1 else None
         for i, j in near(fp[a], None if p == q else fp[b], radius, more, most):
             groups.link(rank[a[i]], rank[(a if p == q else b)[j]])
         tops = groups.tops()
         led = np.flatnonzero(tops != np.arange(len(tops)))
         return pa.table({"u": node[order[led]], "v": node[order[tops[led]]]})
 
-    links = pairs.groupBy("p", "q").applyInArrow(compare, "u long, v long")
+    return pairs.groupBy("p", "q").applyInArrow(compare, "u long, v long")
+
+
+def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """(id, fp long, component_id): the smallest id that each row reaches by links of at most radius differing bits."""
+    tables = Tables(spark, "simhash")
+    rows = tables.cut(fingerprints(docs, id_col, text_col, width))
+    classes = tables.cut(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")).withColumn("ones", F.bit_count("fp").cast("int")))
+    found = connected(tables, candidate_links(classes, ["fp"], radius, 0))
+    classes = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(classes, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Candidates among documents alike in four fifths of their five-word shingles: by the angles of SimHash bits such pairs
+#: differ in about 39 of 256 bits, give or take 6, and in 10 of 64, give or take 3; unrelated ones differ in about half.
+WIDTH, PARTS, RADIUS, MOST, SIMILARITY = 5, 4, 21, 64, 0.8
+
+
+def word_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of words, lower-cased (A-Z); a text with fewer words is one shingle, one without words that of nothing."""
+    out = []
+    for text in texts:
+        words = text.encode().lower().split()
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.append(0, ends[:-1] + 1) if len(words) else ends
+        if len(words) > width:
+            out.append(np.unique(window_hashes(span_hashes(data, starts, ends), width)))
+        else:
+            out.append(span_hashes(data, np.zeros(1, np.int64), np.array([len(data)])) if words else np.zeros(1, np.uint64))
+    return out
+
+
+def alike(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tag, head): the smallest id of each document's group of documents alike; tag tells texts apart. Null ids are left out."""
+    tables, names = Tables(spark, "alike"), columns(PARTS)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text")).where("id IS NOT NULL")
+    prints = tables.cut(fingerprints(rows, "id", "text", WIDTH, PARTS, ("tag",)))
+    # Equal texts are one class; its text is that of its least id.
+    classes = tables.cut(prints.groupBy(*names, "tag").agg(F.min("id").alias("first")).withColumn("ones", F.bit_count("fp").cast("int")).withColumn("node", F.monotonically_increasing_id()))
+    links = tables.cut(candidate_links(classes, names, RADIUS, MOST))
     found = connected(tables, links)
-    classes = classes.join(found, classes["node"] == found["node"], "left").select(*(classes[c] for c in names), F.coalesce("component", classes["node"]).alias("component_id"))
-    return rows.join(classes, names, "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-#: For documents alike in four fifths of their shingles: angles of SimHash bits say that such pairs differ in about 39 of
-#: 256 bits, give or take 6, and in 10 of 64, give or take 3; unrelated ones differ in about half.
-ALIKE = {"width": 5, "parts": 4, "radius": 18, "most": 46}
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose id is not the smallest of its group of near-copies; `how` is that of simhash_components, ALIKE if none is given. Rows with a null id stay."""
-    lose = simhash_components(spark, docs, id_col, text_col, **(how or ALIKE)).where("component_id <> id").select(F.col("id").alias("__lose"))
-    return docs.join(lose, docs[id_col].cast("long") == lose["__lose"], "left_anti")
+    about = classes.join(found, "node").select(F.col("first").alias("__i"), F.col("tag").alias("__t"), F.col("node").alias("line"), "component")
+    texts = rows.join(about, (rows["id"] == about["__i"]) & (rows["tag"] == about["__t"])).dropDuplicates(["line"]).select("line", "component", "text")
+    sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity, word_sets))
+    groups = classes.join(sure, "node", "left").select("tag", *names, "first", F.coalesce("component", "node").alias("group"))
+    heads = groups.groupBy("group").agg(F.min("first").alias("head"))
+    groups = groups.join(heads, "group").select("tag", *names, "head")
+    return prints.join(groups, ["tag", *names]).select("id", "tag", "head")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id is not the smallest of its group of documents alike. Rows with a null id stay."""
+    lose = alike(spark, docs, similarity, id_col, text_col).where("head <> id").select(F.col("id").alias("__lose"), F.col("tag").alias("__tag")).distinct()
+    tag = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(lose, (docs[id_col].cast("long") == lose["__lose"]) & (tag == lose["__tag"]), "left_anti")

@@ -152,6 +152,24 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark, df).collect()) == list(range(40))
 
 
+def test_documents_alike_by_exact_similarity(spark):
+    """Pairs around the limit, against all pairs compared."""
+    rng, rows = random.Random(12), ["", " \n", "one", "One ", "two three four five six", "Two three four five six"]
+    for k in range(150):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 400))]
+        rows.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            for at in rng.sample(range(len(v)), max(1, int(len(v) * rng.choice([0.005, 0.015, 0.02, 0.025, 0.03, 0.05])))):
+                v[at] = "x"
+            rows.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (lower(t).split() for t in rows)]
+    comp = plain_components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.id: r["head"] for r in simhash.alike(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got.keys() == comp.keys() and sum(got[i] != comp[i] for i in comp) <= 2 and 50 < sum(comp[i] != i for i in comp) < 290
+    assert all(comp[got[i]] == comp[i] for i in got)  # what isn't alike is never joined
+
+
 def test_line_dedup(spark, docs, empty):
     rows = docs.select("doc_id", "text").collect()
     gone = line_dedup.brute_force(sorted({(r.doc_id, r.text) for r in rows if r.doc_id is not None}, key=lambda r: (r[0], r[1] or "")))
