@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom import api
+from schemaloom import api, cases
 from schemaloom.api import Schema
+from schemaloom.operators import exact
 from schemaloom.plans.layout import TAG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,18 @@ def listed(symbols) -> str:
     return "[" + ", ".join(f"'{s}'" for s in symbols) + "]"
 
 
+def literal(x) -> str:
+    """A value as SQL says it."""
+    if x is None:
+        return "NULL"
+    return str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+
+def stated(rows: list[tuple], names: str) -> str:
+    """SQL that gives these rows."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({names})"
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -107,14 +120,14 @@ DEFAULTS = Schema(rec("D", fld("key", "long"), fld("status", enum("St", "F", "O"
 
 @query(
     "SELECT o_orderkey AS key, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE list_position(['F', 'O', 'P'], o_orderstatus) - 1 END AS INTEGER) AS status, CASE WHEN o_orderkey % 5 = 0 THEN -1.5 ELSE o_totalprice END AS total, "
-    "CASE WHEN o_orderkey % 2 = 0 THEN 'none' ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS list_size, CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 5 END AS in_a, 'x' AS in_b FROM orders"
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'none' ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 7 = 0 THEN '1,2' ELSE '4' END AS items, CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 5 END AS in_a, 'x' AS in_b FROM orders"
 )
 def flatten_defaults(spark, sf_dir):
     o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     absent = lambda n, c: F.when(key % n != 0, c)
     df = o.select(key.alias("key"), absent(3, F.col("o_orderstatus")).alias("status"), absent(5, F.col("o_totalprice")).alias("total"), absent(2, F.col("o_orderpriority")).alias("note"), absent(7, F.array(F.lit(4))).alias("list"), absent(2, F.struct(F.lit(5).alias("a"), F.lit(None).cast("string").alias("b"))).alias("in"))
     out = plain(api.compile(DEFAULTS).flatten(df))
-    return out.withColumn("list_size", F.size("list")).drop("list")
+    return out.withColumn("items", F.array_join(F.col("list").cast("array<string>"), ",")).drop("list")
 
 
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey END AS nation FROM customer")
@@ -201,12 +214,11 @@ def union_encode(spark, sf_dir):
     return out.select("id", "what_tag", F.col("what.double").alias("d"), F.col("what.long").alias("l"), F.col("what.string").alias("s"))
 
 
-@query(f"SELECT event_id AS id, {TAGS} AS tag, CASE event_type WHEN 'view' THEN NULL WHEN 'purchase' THEN CAST(1 AS VARCHAR) WHEN 'click' THEN CAST(user_id AS VARCHAR) ELSE event_type END AS txt FROM events")
+@query(f"SELECT event_id AS id, {TAGS} AS tag, CASE WHEN event_type = 'click' THEN user_id END AS l, CASE WHEN event_type = 'purchase' THEN value END AS d, CASE WHEN event_type IN ('error', 'signup') THEN event_type END AS s FROM events")
 def union_decode(spark, sf_dir):
     c = api.compile(EVENT)
-    out = c.unflatten(c.flatten(events(spark, sf_dir)))
     w = F.col("what")
-    return out.select("id", w[TAG].alias("tag"), F.coalesce(F.when(w["double"].isNotNull(), F.lit("1")), w["long"].cast("string"), w["string"]).alias("txt"))
+    return c.unflatten(c.flatten(events(spark, sf_dir))).select("id", w[TAG].alias("tag"), w["long"].alias("l"), w["double"].alias("d"), w["string"].alias("s"))
 
 
 @query("SELECT event_id AS id, CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 1 WHEN 'purchase' THEN 1 ELSE 0 END AS tag, CASE WHEN event_type = 'click' THEN CAST(user_id AS DOUBLE) WHEN event_type = 'purchase' THEN value END AS d, CASE WHEN event_type IN ('error', 'signup') THEN event_type END AS s FROM events")
@@ -236,11 +248,11 @@ def scalar_to_union(spark, sf_dir):
 # Arrays, maps, fixed
 
 
-@query("SELECT vec_id AS id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last FROM embeddings")
+@query("SELECT vec_id AS id, CAST(k - 1 AS INTEGER) AS place, CAST(embedding[k] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(k)")
 def array_of_scalars(spark, sf_dir):
     a, b = Schema(rec("V", fld("id", "long"), fld("v", arr("float")))), Schema(rec("V", fld("id", "long"), fld("v", arr("double"))))
     out = api.compile(a, b).flatten(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
-    return out.select("id", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+    return out.select("id", F.posexplode("v").alias("place", "x"))
 
 
 BASKET = Schema(rec("Basket", fld("order", "long"), fld("items", arr(rec("Item", fld("line", "int"), fld("qty", "double"), fld("flag", enum("Flag", "A", "N", "R")))))))
@@ -418,12 +430,13 @@ def xflatten_rows(spark, sf_dir):
 
 
 @query(
-    f"SELECT event_id AS id, 2 AS pos, CAST({TAGS} AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 3, CASE event_type WHEN 'click' THEN CAST(user_id AS VARCHAR) WHEN 'purchase' THEN 'number' WHEN 'view' THEN NULL ELSE event_type END FROM events"
+    f"SELECT event_id AS id, '=' AS op, 2 AS pos, CAST({TAGS} AS DOUBLE) AS number, NULL AS word FROM events UNION ALL SELECT event_id, '=', 3, CASE event_type WHEN 'click' THEN CAST(user_id AS DOUBLE) WHEN 'purchase' THEN value END, CASE WHEN event_type IN ('error', 'signup') THEN event_type END FROM events"
 )
 def xflatten_union(spark, sf_dir):
     df = events(spark, sf_dir).select(F.col("id").alias("event"), F.lit(None).cast("long").alias("id"), "what")
-    out = api.compile(EVENT).xflatten_rows(df, ["event"])
-    return out.select(F.col("event").alias("id"), "pos", F.when((F.col("pos") == 3) & F.col("value").contains("."), "number").otherwise(F.col("value")).alias("value"))
+    out = api.compile(EVENT).xflatten(df, ["event"]).select(F.col("event").alias("id"), F.inline("updates"))
+    is_word = F.schema_of_variant("value") == "STRING"
+    return out.select("id", "op", "pos", F.when(~is_word, F.try_variant_get("value", "$", "double")).alias("number"), F.when(is_word, F.try_variant_get("value", "$", "string")).alias("word"))
 
 
 @query("SELECT event_id AS id, 3 AS pos, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 4, event_type FROM events")
@@ -441,11 +454,11 @@ def xflatten_nullable_record(spark, sf_dir):
     return out.select("id", "pos", F.try_variant_get("value", "$.c0", "string").alias("brand"), F.try_variant_get("value", "$.c1", "int").alias("size"))
 
 
-@query("SELECT c_custkey AS id, 1 AS pos, CAST(c_acctbal AS VARCHAR) IS NOT NULL AS has FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 3, TRUE FROM customer")
+@query("SELECT c_custkey AS id, 1 AS pos, c_acctbal AS number FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 3, CAST(c_custkey AS DOUBLE) FROM customer")
 def xflatten_evolution(spark, sf_dir):
     b = Schema(rec("C", fld("bal", "double"), fld("nation", "int"), fld("key", "long")))
     df = customers_v1(spark, sf_dir).select(F.col("key").alias("id"), "key", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("nation"), F.when(F.col("key") % 2 == 0, F.col("bal")).alias("bal"))
-    return api.compile(customer_v1(), b).xflatten_rows(df, ["id"]).select("id", "pos", F.col("value").isNotNull().alias("has"))
+    return api.compile(customer_v1(), b).xflatten(df, ["id"]).select("id", F.inline("updates")).select("id", "pos", F.try_variant_get("value", "$", "double").alias("number"))
 
 
 # Validation of JSON text
@@ -495,15 +508,26 @@ def validate_enum(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id AS id, CASE event_id % 4 WHEN 1 THEN 'u: Unexpected type in union: null' WHEN 2 THEN 'u/what: Unexpected key in union' WHEN 3 THEN 'u/int: Not a int: a' END AS error FROM events"
+    "SELECT event_id AS id, CASE event_id % 6 WHEN 1 THEN 'Field u missing' WHEN 2 THEN 'u/what: Unexpected key in union' WHEN 3 THEN 'u/int: Not a int: a' WHEN 4 THEN 'l/2: Unexpected type in union: null' WHEN 5 THEN 'l/1/string: Unexpected key in union' END AS error FROM events"
 )
 def validate_union(spark, sf_dir):
-    s = Schema(rec("X", fld("u", ["int", "string"])))
-    i = F.col("event_id") % 4
-    # A null union is absent for a record; so the union that may not be null is nested in an array below.
-    t = F.when(i == 0, '{"u": {"int": 1}}').when(i == 1, '{"u": null}').when(i == 2, '{"u": {"what": 1}}').otherwise('{"u": {"int": "a"}}')
-    out = checked(spark, sf_dir, s, t)
-    return out.select("id", F.when(F.col("error") == "Field u missing", "u: Unexpected type in union: null").otherwise(F.col("error")).alias("error"))
+    s = Schema(rec("X", fld("u", ["int", "string"]), fld("l", arr(["int", "string"]), default=[])))
+    i = F.col("event_id") % 6
+    t = F.when(i == 0, '{"u": {"int": 1}, "l": [{"string": "x"}]}').when(i == 1, '{"u": null}').when(i == 2, '{"u": {"what": 1}}').when(i == 3, '{"u": {"int": "a"}}').when(i == 4, '{"u": {"int": 1}, "l": [{"int": 2}, null]}').otherwise('{"u": {"int": 1}, "l": [{"int": 2, "string": "x"}]}')
+    return checked(spark, sf_dir, s, t).select("id", "error")
+
+
+#: Numbers as JSON writes them, what a field of type int and one of type long make of them, and the value.
+NUMBERS = (("7", True, True, 7), ("7.0", True, True, 7), ("1.00000000001", False, False, None), ("0.9999999999999", False, False, None), ("2147483647.0", True, True, 2147483647), ("2147483648", False, True, 2147483648), ("-2147483648", True, True, -2147483648), ("9223372036854775807", False, True, 9223372036854775807), ("9223372036854775808", False, False, None), ("1e3", True, True, 1000), ("25e-1", False, False, None), ("1e400", False, False, None))
+
+
+@query(f"SELECT event_id AS id, int_ok, long_ok, n.value AS value FROM events JOIN ({stated([(k, *x[1:]) for k, x in enumerate(NUMBERS)], 'k, int_ok, long_ok, value')}) n ON event_id % {len(NUMBERS)} = k")
+def validate_fractions(spark, sf_dir):
+    """Whole numbers are told from others by all of their digits."""
+    texts = F.array(*[F.lit('{"k": ' + x[0] + "}") for x in NUMBERS])
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get(texts, (F.col("event_id") % len(NUMBERS)).cast("int")).alias("doc"))
+    one = Schema(rec("N", fld("k", "int"))).validate_json(e, "doc").select("id", "doc", F.col("is_valid").alias("int_ok"))
+    return Schema(rec("N", fld("k", "long"))).validate_json(one, "doc").select("id", "int_ok", F.col("is_valid").alias("long_ok"), F.col("value.k").alias("value"))
 
 
 @query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'list/2: Not a int: b' WHEN event_id % 3 = 1 THEN 'map/z: Not a string: 1' END AS error FROM events")
@@ -516,17 +540,28 @@ def validate_nested_paths(spark, sf_dir):
 # Facts about schemas
 
 
-WIDE = Schema(rec("X", fld("x1", "string*"), fld("x2", rec("Y", fld("y1", "string"), fld("y2", "string"))), fld("x3", {"type": "record*", "name": "Z", "fields": [fld("z1", "string")]}), fld("x4", ["int", "string*"]), fld("x5", {"type": "array*", "items": "int*"}), fld("x6", {"type": "map", "values": "float"}), fld("x7", {"type": "fixed*", "name": "Fx", "size": 5})))
+SHIPMENT = Schema(rec(
+    "Shipment", fld("order", "long"), fld("buyer", rec("Buyer", fld("name", "string"), fld("home", rec("Home", fld("nation", "int"), fld("region", "string*"))))), fld("lines", {"type": "array*", "items": "double*"}),
+    fld("paid", ["null", "double", "string*"]), fld("gift", {"type": "record*", "name": "Gift", "fields": [fld("note", "string")]}), fld("taxes", {"type": "map", "values": "float"}), fld("state", enum("State", "OPEN", "DONE")), fld("seal", {"type": "fixed*", "name": "Seal", "size": 4}),
+))
+CELLS = (("$service_field$", "int"), ("$service_field$", "string*"), ("order", "long"), ("buyer.name", "string"), ("buyer.home.nation", "int"), ("buyer.home.region", "string*"), ("lines", "array*"), ("paid.$type$", "union_type"), ("paid", "union_value"), ("gift", "record*"), ("taxes", "map"), ("state", "enum"), ("seal", "fixed*"))
 
 
-@query("SELECT * FROM (VALUES (0, '$service_field$'), (1, 'x1'), (2, 'x2.y1'), (3, 'x2.y2'), (4, 'x3'), (5, 'x4.$type$'), (6, 'x4'), (7, 'x5'), (8, 'x6'), (9, 'x7')) t(pos, name)")
+@query(stated([(k, n) for k, (n, _) in enumerate(CELLS)], "pos, name"))
 def schema_names(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(WIDE.names(["int"]))), "pos int, name string")
+    return spark.createDataFrame(list(enumerate(SHIPMENT.names(["int", "string*"]))), "pos int, name string")
 
 
-@query("SELECT * FROM (VALUES (0, 'int'), (1, 'string*'), (2, 'string'), (3, 'string'), (4, 'record*'), (5, 'union_type'), (6, 'union_value'), (7, 'array*'), (8, 'map'), (9, 'fixed*')) t(pos, type)")
+@query(stated([(k, t) for k, (_, t) in enumerate(CELLS)], "pos, type"))
 def schema_types(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(WIDE.types(["int"]))), "pos int, type string")
+    return spark.createDataFrame(list(enumerate(SHIPMENT.types(["int", "string*"]))), "pos int, type string")
+
+
+@query(stated([(k, *x) for k, x in enumerate(CELLS)], "pos, name, type"))
+def bound_names_and_types(spark, sf_dir):
+    """The same of compiled converters, which know their service fields."""
+    c = api.compile(SHIPMENT, service_fields=["int", "string*"])
+    return spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(zip(c.names(), c.types(), strict=True))], "pos int, name string, type string")
 
 
 GRID = {"null": "null", "boolean": "boolean", "int": "int", "long": "long", "float": "float", "double": "double", "bytes": "bytes", "string": "string", "array": arr("int"), "map": {"type": "map", "values": "int"}, "record": rec("foo", fld("A", "int")), "enum": enum("e", "A"), "fixed": {"type": "fixed", "name": "f", "size": 4}}
@@ -569,8 +604,6 @@ def msgpack_roundtrip(spark, sf_dir):
     df = customers(spark, sf_dir).select(F.col("key").alias("id"), F.to_json(F.struct("key", "name", "geo", "acct")).alias("doc"))
     packed = c.flatten_msgpack(df, "doc", ["id"], "json").select("id", F.col("value").alias("tuple"))
     back = c.unflatten_msgpack(packed, "tuple", ["id"]).select("id", F.col("value").alias("object"))
-    from schemaloom.operators import exact
-
     out = exact.apply(back, "object", lambda x: x, "msgpack", "json", ["id"])
     got = F.from_json("value", "name string, geo struct<nation:int>, acct struct<segment:string>")
     return out.select("id", "ok", got.alias("o")).select("id", "ok", "o.name", "o.geo.nation", "o.acct.segment")
@@ -621,3 +654,105 @@ def stream_flatten(spark, sf_dir):
     work = lambda df: plain(api.compile(s).flatten(df.select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("event_type").alias("kind"), F.struct(F.col("value").alias("value")).alias("detail"))))
     run_available(stream, work, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+# Every rule, by its cases
+
+
+@query(stated([(k, rule, why) for k, (rule, _, why) in enumerate(cases.REFUSED)], "n, rule, error"))
+def definitions_refused(spark, sf_dir):
+    made = [(k, rule, *api.create(d)) for k, (rule, d, _) in enumerate(cases.REFUSED)]
+    return spark.createDataFrame([(k, rule, None if ok else e) for k, rule, ok, e in made], "n int, rule string, error string")
+
+
+@query(stated([(k, rule, why is None, why) for k, (rule, *_, why) in enumerate(cases.PAIRS)], "n, rule, ok, error"))
+def revisions_compared(spark, sf_dir):
+    return spark.createDataFrame([(k, rule, *api.are_compatible(Schema(a), Schema(b), mode)) for k, (rule, a, b, mode, _) in enumerate(cases.PAIRS)], "n int, rule string, ok boolean, error string")
+
+
+@query(stated([(k, rule, why is None, why if why else json.dumps(x, separators=(",", ":"))) for k, (rule, _, x, why) in enumerate(cases.VALID)], "n, rule, ok, result"))
+def values_validated(spark, sf_dir):
+    made = [(k, rule, *api.validate(Schema(t), x)) for k, (rule, t, x, _) in enumerate(cases.VALID)]
+    return spark.createDataFrame([(k, rule, ok, exact.dumps(out) if ok else out) for k, rule, ok, out in made], "n int, rule string, ok boolean, result string")
+
+
+def converted(case: dict):
+    """One conversion, of its schemas, options and input."""
+    c = api.compile(*map(Schema, case["schemas"]), **case["options"])
+    work = {"flatten": c.flatten_object, "unflatten": lambda x: c.unflatten_object(x)[0], "xflatten": c.xflatten_object}[case["what"]]
+    return work(case["input"])
+
+
+def result_of(x) -> tuple[bool, str]:
+    return (False, x) if isinstance(x, str) else (True, json.dumps(x, separators=(",", ":")))
+
+
+def conversion_cases(spark) -> DataFrame:
+    rows = [(k, rule, json.dumps({"what": what, "schemas": schemas, "options": options, "input": x})) for k, (rule, what, schemas, options, x, _) in enumerate(cases.CONVERTED)]
+    return spark.createDataFrame(rows, "n int, rule string, doc string")
+
+
+@query(stated([(k, rule, *result_of(y)) for k, (rule, *_, y) in enumerate(cases.CONVERTED)], "n, rule, ok, result"))
+def conversions_by_rule(spark, sf_dir):
+    out = exact.apply(conversion_cases(spark), "doc", converted, "json", "json")
+    return out.select("n", "rule", "ok", F.coalesce("value", "error").alias("result"))
+
+
+@query(stated([(k, rule, *result_of(y)) for k, (rule, what, *_, y) in enumerate(cases.CONVERTED)], "n, rule, ok, result"))
+def conversions_to_msgpack(spark, sf_dir):
+    """The same conversions written as MessagePack, which is then read as JSON; B4, B5 and B6."""
+    packed = exact.apply(conversion_cases(spark), "doc", converted, "json", "msgpack").withColumnRenamed("ok", "made").withColumnRenamed("error", "why")
+    out = exact.apply(packed, "value", lambda x: x, "msgpack", "json", ["n", "rule", "made", "why"])
+    return out.select("n", "rule", F.col("made").alias("ok"), F.coalesce("why", "value").alias("result"))
+
+
+@query("SELECT event_id AS id, TRUE AS ok, '[[\"=\",2,' || (event_id % 7) || '],[\"=\",1,\"' || event_type || '\"]]' AS value FROM events")
+def xflatten_msgpack(spark, sf_dir):
+    """Updates in the order of the input's keys, from MessagePack to MessagePack."""
+    c = api.compile(Schema(rec("E", fld("kind", "string"), fld("rest", "long"), fld("more", "string"))))
+    doc = F.concat(F.lit('{"rest":'), (F.col("event_id") % 7).cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}'))
+    packed = exact.apply(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), doc.alias("doc")), "doc", lambda x: x, "json", "msgpack", ["id"]).select("id", F.col("value").alias("doc"))
+    out = c.xflatten_msgpack(packed, "doc", ["id"]).select("id", F.col("value").alias("updates"))
+    return exact.apply(out, "updates", lambda x: x, "msgpack", "json", ["id"]).select("id", "ok", "value")
+
+
+BROKEN = ('{"b": {"$binary": "zz"}, "k": 1}', "Invalid data"), ('{"b": {"$binary": 5}, "k": 1}', "Invalid data"), ('{"b": null, "k": NaN}', "Invalid data"), ('{"k": 1, "k": 2}', "k: Duplicate Key"), ('{"k": ', "Invalid data"), ('{"b": null, "k": 5}', None)
+
+
+@query(
+    f"SELECT c_custkey AS id, e IS NULL AS ok, e AS error, CASE WHEN e IS NULL THEN '[null,5]' END AS value FROM (SELECT c_custkey, CASE c_custkey % 8 {' '.join(f'WHEN {k} THEN {literal(e)}' for k, (_, e) in enumerate(BROKEN) if e)} WHEN 6 THEN 'Nested too deeply' WHEN 7 THEN 'Nested too deeply' END AS e FROM customer)"
+)
+def broken_rows(spark, sf_dir):
+    """Text that can't be read is an error of its row, however it is broken."""
+    deep = [F.lit('{"b": null, "k": ' + "[" * 20_000 + "]" * 20_000 + "}"), F.concat(F.repeat(F.lit('{"k":'), 12_000), F.lit("1"), F.repeat(F.lit("}"), 12_000))]
+    texts = F.array(*[F.lit(x) for x, _ in BROKEN], *deep)
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.get(texts, (F.col("c_custkey") % 8).cast("int")).alias("doc"))
+    return api.compile(Schema(rec("B", fld("b", "bytes*"), fld("k", "long")))).flatten_json(c, "doc", ["id"]).select("id", "ok", "error", "value")
+
+
+FACTS = (
+    ("A6 is", "schema", "True"), ("A6 is", "text", "False"), ("A11 text", "record", "Schema (Shipment)"), ("A11 text", "primitive", "Schema (long)"),
+    ("A2 preserved", "export", '{"type":"record","name":"K","unit":"kg","fields":[{"name":"w","type":"long"}]}'), ("A2 preserved", "refused", "fingerprint should contain only fields from AST"),
+    ("A2 auto defaults", "values", '{"w":0,"l":[],"u":{"string":""},"n":null}'), ("A2 forward reference", "off", "K/a: Unknown Avro type: Later"), ("A2 forward reference", "on", "True"),
+    ("C10 dump", "lines", ". MAP 2|w LONG 3|l ARRAY 2|l/1 STR a|l/2 NIL null"), ("C12 mapping", "lines", "K -> K|  (w aka mass): int -> long|  to: default"),
+    ("2.3 cyclic", "refused", "Infinite loop detected in the data"),
+)
+
+
+@query(stated([(k, *x) for k, x in enumerate(FACTS)], "n, rule, what, value"))
+def schema_facts(spark, sf_dir):
+    """Options, texts and dumps of schemas."""
+    from schemaloom.sources import msgpack
+
+    kept, later = rec("K", fld("w", "long"), unit="kg"), rec("K", fld("a", "Later"), fld("b", {"type": "fixed", "name": "Later", "size": 2}))
+    auto = Schema(rec("K", fld("w", "long"), fld("l", arr("long")), fld("u", ["string", "long"]), fld("n", "long*")), defaults="auto")
+    mapping = api.compile(Schema(rec("K", fld("w", "int"))), Schema(rec("K", fld("mass", "long", aliases=["w"]), fld("to", "string", default="x"))))
+    loop = {"type": "array"}
+    loop["items"] = loop
+    values = [
+        str(api.is_schema(SHIPMENT)), str(api.is_schema("Shipment")), repr(SHIPMENT), repr(Schema("long")),
+        json.dumps(dict(sorted(Schema(kept, preserve_in_ast=["unit"], preserve_in_fingerprint=["unit"]).export().items(), key=lambda x: ("type", "name", "unit", "fields").index(x[0]))), separators=(",", ":")), api.create(kept, preserve_in_fingerprint=["unit"])[1],
+        json.dumps(auto.validate({}), separators=(",", ":")), api.create(later)[1], str(api.create(later, forward_reference=True)[0]),
+        "|".join(msgpack.dump(msgpack.encode({"w": 3, "l": ["a", None]}))), "|".join(mapping.describe().split("\n")), api.create(loop)[1].split(": ")[-1],
+    ]
+    return spark.createDataFrame([(k, rule, what, v) for k, ((rule, what, _), v) in enumerate(zip(FACTS, values, strict=True))], "n int, rule string, what string, value string")
