@@ -55,10 +55,8 @@ class Schema:
             t = self.type
             out = exact.apply(df.withColumn("__json", F.col(column)), "__json", lambda x: objects.validate(t, x), "json", "json", keep)
             return out.withColumnRenamed("ok", "is_valid")
-        v = F.try_parse_json(F.col(column))
-        wrong = F.when(v.isNull() & F.col(column).isNotNull(), F.lit("Invalid data")).otherwise(variant.error(self.type, v))
-        out = df.withColumn("__v", v).withColumn("error", F.when(F.col(column).isNotNull(), wrong))
-        return out.withColumn("is_valid", F.col("error").isNull()).withColumn("value", F.when(F.col("is_valid") & F.col(column).isNotNull(), variant.value(self.type, F.col("__v")))).drop("__v")
+        out = df.withColumn("__c", variant.checked(self.type, F.col(column).cast("string")))
+        return out.withColumn("error", F.col("__c.error")).withColumn("is_valid", F.col("error").isNull()).withColumn("value", F.col("__c.value")).drop("__c")
 
     def names(self, service_fields: list[str] = ()) -> list[str]:
         return [n for n, _ in layout.layout(self.type, scalars_of(list(service_fields)))]

@@ -16,8 +16,9 @@ from schemaloom.plans.objects import Single
 from schemaloom.sources import msgpack
 
 
-#: Python frames that a deeply nested value may take; they are not on the C stack.
-MOST_FRAMES = 1 << 20
+#: Python frames that a nested value may take, some four for each record within another. A value that needs more, or that
+#: the JSON reader finds too deep (some thousands of records), is an error of its row.
+MOST_FRAMES = 1 << 16
 
 
 def loads(text: str | bytes) -> Any:
@@ -29,14 +30,26 @@ def loads(text: str | bytes) -> Any:
             if k in out:
                 raise DataError(f"{k}: Duplicate Key")
             out[k] = v
-        return bytes.fromhex(out["$binary"]) if out.keys() == {"$binary"} else out
+        return unhexed(out["$binary"]) if out.keys() == {"$binary"} else out
 
     try:
-        return json.loads(text, object_pairs_hook=pairs)
+        return json.loads(text, object_pairs_hook=pairs, parse_constant=no_number)
     except json.JSONDecodeError:
         raise DataError("Invalid data") from None
 
 
+def unhexed(digits: Any) -> bytes:
+    try:
+        return bytes.fromhex(digits)
+    except (TypeError, ValueError):
+        raise DataError("Invalid data") from None
+
+
+def no_number(_: str) -> Any:
+    """NaN and Infinity aren't JSON."""
+    raise DataError("Invalid data")
+
+
 def plain(x: Any) -> Any:
     if isinstance(x, (bytes, bytearray)):
         return {"$binary": bytes(x).hex().upper()}
@@ -54,7 +67,8 @@ def dumps(x: Any) -> str:
 def apply(df: DataFrame, column: str, work: Callable[[Any], Any], source: str, sink: str, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (None: all but the column) with ok boolean, error string and value: work's result for each row of the column.
 
-    source, sink: "json" or "msgpack". A null row has a null value and is ok.
+    source, sink: "json" or "msgpack". A null row has a null value and is ok. No value ends the job: what can't be read or
+    converted, is nested too deeply or holds NaN is an error of its row.
     """
     keep = [c for c in df.columns if c != column] if keep is None else keep
     read = loads if source == "json" else msgpack.decode
@@ -70,10 +84,10 @@ def apply(df: DataFrame, column: str, work: Callable[[Any], Any], source: str, s
                     values.append(None if raw is None else write(work(read(raw))))
                     oks.append(True)
                     errors.append(None)
-                except DataError as e:
+                except (DataError, RecursionError) as e:
                     values.append(None)
                     oks.append(False)
-                    errors.append(str(e))
+                    errors.append(str(e) if isinstance(e, DataError) else "Nested too deeply")
             made = [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), pa.array(values, kind)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, "ok", "error", "value"])
 

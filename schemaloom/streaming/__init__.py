@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -17,9 +18,11 @@ def run_available(frame: DataFrame, work: Callable[[DataFrame], DataFrame], path
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

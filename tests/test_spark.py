@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from schemaloom import api, catalogue
+from schemaloom import api, cases, catalogue
 from schemaloom.api import Schema
 from schemaloom.plans import objects
 from schemaloom.plans.ast import DataError
@@ -52,6 +52,17 @@ def test_validation_in_the_jvm_says_the_same(spark, raw, data, error):
     assert (row.is_valid, row.error) == (error is None, error)
 
 
+@pytest.mark.parametrize("rule,raw,data,error", [c for c in cases.VALID if "any" not in json.dumps(c[1]) and c[0] != "recursion" and not (c[2] is None or isinstance(c[2], str) and c[0] == "V2 null")])
+def test_cases_in_the_jvm_say_the_same(spark, rule, raw, data, error):
+    row = Schema(raw).validate_json(spark.createDataFrame([(json.dumps(data),)], "doc string"), "doc").select("is_valid", "error").first()
+    assert (row.is_valid, row.error) == (error is None, error)
+
+
+def test_text_is_parsed_once_a_row(spark):
+    plan = catalogue.validate_ok(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("try_parse_json") <= 2
+
+
 def test_validated_value_has_defaults(spark):
     s = Schema(rec(f("a", "int", default=7), f("b", "int*"), f("c", ["null", "int"]), f("d", rec(f("e", "int", default=1), f("g", "int"), name="In"), default={"g": 2}), f("h", MAP("int"), default={"k": 1})))
     v = s.validate_json(spark.createDataFrame([("{}",), ('{"a": 3, "c": {"int": 4}, "h": {}}',), (None,)], "doc string"), "doc").select("value").collect()
