@@ -18,7 +18,8 @@ shuffles its rows locally by a keyed hash. Blocks of which nothing is taken are
 Driver state is one row for each source and shard-by-source quotas, never documents or blocks. All draws are keyed by
 the seed and the documents' ids and texts' sizes, so reruns agree whatever the partitions.
 
-Defined cases: a null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Null
+Defined cases: a very long text is a row like others, and where it is larger than what its source is to give it isn't
+taken, unless it comes nearer than nothing. A null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Null
 ids and repeated ids are rows like others; rows that are alike in id, source and size share their fate in the part of a
 block, and are taken together. An empty table gives an empty result.
 """
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from schemaloom.llm.work import Tables, partitions
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3, 17
-#: Documents that a block has on the average, and the most blocks of a source.
-BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 20
+#: Documents that a block has on the average.
+BLOCK_DOCS = 64
 #: Output shards of a mix that isn't written out; mixed() has one for each shuffle partition.
 SHARDS = 16
 
@@ -92,7 +93,8 @@ def fill(table: pa.Table) -> pa.Table:
         if 0 < w <= left:
             taken.append(i)
             left -= w
-    over = [(w, i) for i, w in enumerate(words) if w > left and w < 2 * left and i not in set(taken)]
+    done = set(taken)
+    over = [(w, i) for i, w in enumerate(words) if left < w < 2 * left and i not in done]
     if part > 0 and over:
         taken.append(min(over)[1])
     out = table.take(pa.array(sorted(taken), pa.int64()))
@@ -109,7 +111,7 @@ class Mix:
         found = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()  # a row for each source
         self.sizes = {r["source"]: int(r["size"]) for r in found}
         self.targets = targets(list(self.sizes.items()), weights, most)
-        self.blocks = {r["source"]: min(MOST_BLOCKS, max(1, math.ceil(r["docs"] / BLOCK_DOCS))) for r in found}
+        self.blocks = {r["source"]: max(1, math.ceil(r["docs"] / BLOCK_DOCS)) for r in found}
         self.order = sorted(self.sizes, key=lambda s: (s is None, s or ""))
         self.spark, self.seed = spark, seed
         plan = [(s, self.sizes[s], float(self.targets[s]), self.blocks[s], int(self.targets[s] // self.sizes[s]) if self.sizes[s] else 0) for s in self.order]
@@ -124,7 +126,7 @@ class Mix:
     def _choose(self) -> None:
         lot = F.xxhash64(F.lit(self.seed), F.col("id").cast("string"), "source", "size")
         # The high bits of the lot say in which block a document is, in proportion, so blocks are runs of the permutation.
-        block = F.floor((F.shiftrightunsigned(lot, 33) * F.col("blocks")) / F.lit(float(1 << 31))).cast("long")
+        block = F.shiftrightunsigned(F.shiftrightunsigned(lot, 33) * F.col("blocks"), 31)
         rows = self._with_plan(self.sized).withColumn("lot", lot).withColumn("block", block)
         sums = rows.groupBy("source", "block", "source_size", "target", "times").agg(F.sum("size").alias("words"))
         # Sums of blocks are added up in two steps, by runs of blocks and within them, so no window holds all blocks of a source.
