@@ -318,10 +318,16 @@ def forest_of(line: np.ndarray, groups: Groups) -> pa.Table:
     return pa.table({"u": line[led], "v": line[tops[led]]})
 
 
+def with_sizes(tables: Tables, found: DataFrame) -> DataFrame:
+    """(node, component, m): components with the number of their nodes; large ones are looked up apart."""
+    found = tables.cut(found)
+    counts = tables.cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    return tables.cut(looked_up(found, "component", "node", counts.select(F.col("component").alias("k"), F.col("n").alias("m")), heavy_keys(counts, "component", found.count())))
+
+
 def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, similarity: float, sets_of: Callable[[list[str]], list[np.ndarray]] = shingle_sets) -> DataFrame:
-    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, text) of candidate components and links (u, v) to buckets' least lines. sets_of gives texts' shingles as sorted distinct numbers."""
-    sizes = lines.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sized = tables.cut(lines.join(sizes, "component"))
+    """(u, v): a spanning forest of links by exact similarity, for lines (line, component, m, text) of candidate components with m lines and links (u, v) to buckets' least lines. sets_of gives texts' shingles as sorted distinct numbers."""
+    sized = tables.cut(lines)
     packed = sized.where(F.col("m") <= TILE).withColumn("pack", F.pmod(F.xxhash64("component"), F.lit(many * SMALL)))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -387,17 +393,18 @@ def removals(spark: SparkSession, rows: DataFrame, similarity: float = SIMILARIT
     size = max(64, FILTER_BYTES // many)
     known = rows.where("id IS NOT NULL")
     links = tables.cut(candidates(known, many))
-    found = connected(tables, links)
+    found = with_sizes(tables, connected(tables, links))
     marks = filter_of(found, "node", many, size)
     sent = spark.sparkContext.broadcast((size, marks.bits.tobytes()))
     again = tables.cut(second_reading(known, sent, many))
-    texts = again.where("line IS NOT NULL").select("line", "text").join(found, F.col("line") == F.col("node")).dropDuplicates(["line"]).select("line", "component", "text")
+    texts = again.where("line IS NOT NULL").select("line", "text").join(found, F.col("line") == F.col("node")).dropDuplicates(["line"]).select("line", "component", "m", "text")
     sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity))
     occurring = tables.cut(occurrences(again.where("r IS NOT NULL").select("r", "n", "blob"), sent, many))
     lines = occurring.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "number")).alias("first"))
-    led = lines.join(sure, lines["line"] == sure["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("root"))
-    heads = led.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head")).where("all > 1")
-    lost = tables.cut(led.select("line", "root").join(heads, "root").select(F.col("line").alias("__line"), "head"))
+    led = tables.cut(lines.join(sure, lines["line"] == sure["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("root")))
+    heads = tables.cut(led.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).where("all > 1"))
+    led = looked_up(led.select("line", "root"), "root", "line", heads.select(F.col("root").alias("k"), F.col("head").alias("m")), heavy_keys(heads, "root", led.count()))
+    lost = tables.cut(led.where("m IS NOT NULL").select(F.col("line").alias("__line"), F.col("m").alias("head")))
     gone = occurring.join(lost, occurring["line"] == lost["__line"]).where(F.struct("id", "tag", "number") != F.col("head"))
     return tables.cut(gone.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("number")).alias("numbers")))
 

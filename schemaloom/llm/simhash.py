@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected
-from schemaloom.llm.line_dedup import verified
+from schemaloom.llm.line_dedup import verified, with_sizes
 from schemaloom.llm.words import mixed, span_hashes, window_hashes
 from schemaloom.llm.work import Tables, as_bytes, partitions
 
@@ -194,9 +194,9 @@ def alike(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY,
     # Equal texts are one class; its text is that of its least id.
     classes = tables.cut(prints.groupBy(*names, "tag").agg(F.min("id").alias("first")).withColumn("ones", F.bit_count("fp").cast("int")).withColumn("node", F.monotonically_increasing_id()))
     links = tables.cut(candidate_links(classes, names, RADIUS, MOST))
-    found = connected(tables, links)
-    about = classes.join(found, "node").select(F.col("first").alias("__i"), F.col("tag").alias("__t"), F.col("node").alias("line"), "component")
-    texts = rows.join(about, (rows["id"] == about["__i"]) & (rows["tag"] == about["__t"])).dropDuplicates(["line"]).select("line", "component", "text")
+    found = with_sizes(tables, connected(tables, links))
+    about = classes.join(found, "node").select(F.col("first").alias("__i"), F.col("tag").alias("__t"), F.col("node").alias("line"), "component", "m")
+    texts = rows.join(about, (rows["id"] == about["__i"]) & (rows["tag"] == about["__t"])).dropDuplicates(["line"]).select("line", "component", "m", "text")
     sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity, word_sets))
     groups = classes.join(sure, "node", "left").select("tag", *names, "first", F.coalesce("component", "node").alias("group"))
     heads = groups.groupBy("group").agg(F.min("first").alias("head"))
