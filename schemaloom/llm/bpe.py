@@ -7,11 +7,14 @@ depends on the arc's label alone, so a state is known by its label. Copies are k
 when, cuts as (state, label) with the time of the merge: born, head, tail and cut below are that automaton, written in
 one pass over the merges. Whether a state still has an arc is then read off these tables, and what was read is kept.
 
-The paths of the automaton spell each byte string in exactly one way, its BPE encoding. So a pre-split word is encoded by
-following arcs from the start, the longest label first, and turning back where a state lacks the arc; as a path is the
-only one to its place in the word, a place that leads nowhere is left out from then on. Decoding writes the arcs' labels one after the other.
-
-Defined cases: a null text counts as empty and has no ids. Strings of added tokens in a text get the added token's id.
+The paths of the automaton spell each byte string in exactly one way, its BPE encoding, and what a path has spelled so
+far is encoded by the path so far. So a pre-split word is read once, byte by byte, by a table of transitions from (state,
+byte) to state, whose states are the beginnings of labels; each state names the longest label that ends there, and each
+label the next shorter one that ends with it. Of these exactly one continues the path to where it begins, by an arc of
+the automaton; it is noted for the place. The labels noted, from the word's end backwards, are the encoding. Nothing is
+tried twice. Decoding writes the arcs' labels one after the other.
+
+Defined cases: a very long text is encoded whole, as is a very long word. A null text counts as empty and has no ids. Strings of added tokens in a text get the added token's id.
 Bytes that aren't UTF-8 can't occur in Spark's valid strings; decoding replaces what isn't UTF-8, as the library does.
 Ids, nulls, repeated rows and further columns do not matter: the work is row by row with no shuffle.
 """
@@ -72,11 +75,34 @@ class Automaton:
                 self.born[new], self.head[new], self.tail[new] = time, x, y
             self.cut.setdefault(x << 20 | y, time)
         self.arcs = {self.labels[i]: i for i in alive}
-        self.longest = max(map(len, self.arcs))
-        #: For each label the longest other one that it begins with, -1 for none.
-        self.shorter = [-1] * size
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The table of transitions: rows of 256, of which each entry is the place of the next state's row."""
+        starts = sorted({label[:n] for label in self.arcs for n in range(len(label) + 1)}, key=lambda x: (len(x), x))
+        number = {x: i for i, x in enumerate(starts)}
+        parent, byte, depth = (np.array([f(x) for x in starts]) for f in (lambda x: number[x[:-1]], lambda x: x[-1] if x else 0, len))
+        table, fail = np.zeros((len(starts), 256), np.int32), np.zeros(len(starts), np.int64)
+        ends = np.array([self.arcs.get(x, -1) for x in starts])  # the longest label that ends at a state
+        levels = np.searchsorted(depth, np.arange(depth[-1] + 2))
+        for d in range(depth[-1] + 1):
+            own = np.arange(levels[d], levels[d + 1])
+            if d > 1:  # where the longest proper ending of a state's bytes leads
+                fail[own] = table[fail[parent[own]], byte[own]]
+            if d:
+                table[own] = table[fail[own]]
+                ends[own] = np.where(ends[own] < 0, ends[fail[own]], ends[own])
+            if d <= depth[-1] - 1:
+                after = np.arange(levels[d + 1], levels[d + 2])
+                table[parent[after], byte[after]] = after
+        self.table = memoryview((table.ravel() << 8).astype(np.int32))
+        self.ends = ends.tolist()
+        #: For each label the longest other one that it ends with.
+        self.shorter = [-1] * len(self.labels)
         for label, i in self.arcs.items():
-            self.shorter[i] = next((self.arcs[label[:n]] for n in range(len(label) - 1, 0, -1) if label[:n] in self.arcs), -1)
+            self.shorter[i] = int(ends[fail[number[label]]])
+        self.sizes = list(map(len, self.labels))
+        self.spelled = bytes(b for b in range(256) if bytes([b]) in self.arcs)
 
     def _arc(self, state: int, label: int, until: int = NEVER) -> bool:
         """Whether the state had the arc before the merge number `until`."""
@@ -101,39 +127,30 @@ class Automaton:
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path that spells the word. Longest labels are tried first; a place from which the end can't be reached isn't tried again."""
-        arcs, labels, shorter, n, longest = self.arcs, self.labels, self.shorter, len(word), self.longest
-        if (whole := arcs.get(word)) is not None:  # a live label spells its own bytes
+        """The labels of the one path that spells the word."""
+        if (whole := self.arcs.get(word)) is not None:  # a live label spells its own bytes
             return [whole]
-        known, out, at, dead, state, label = self.known, [], 0, set(), -1, None
-        while at < n:
-            if label is None:
-                end = min(n, at + longest)
-                while (label := arcs.get(word[at:end])) is None:
-                    end -= 1
-                    if end == at:
-                        raise ValueError(f"no arc spells byte {word[at]}")
-            while label >= 0:
-                end = at + len(labels[label])
-                if end not in dead:
-                    if state < 0:
-                        break
-                    if (has := known.get(state << 20 | label)) is None:
-                        has = self.arc(state, label)
-                    if has:
-                        break
-                label = shorter[label]
-            if label >= 0:
-                out.append(label)
-                at, state, label = end, label, None
-            else:
-                if not out:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(at)
-                label = out.pop()
-                at -= len(labels[label])
-                state = out[-1] if out else -1
+        table, ends, shorter, sizes, known = self.table, self.ends, self.shorter, self.sizes, self.known
+        if len(self.spelled) < 256 and (odd := word.translate(None, self.spelled)):
+            raise ValueError(f"no arc spells byte {odd[0]}")
+        row, last, at = 0, [0], 0
+        for byte in word:
+            at += 1
+            row = table[row + byte]
+            label = ends[row >> 8]
+            while (start := at - sizes[label]) > 0:
+                key = last[start] << 20 | label
+                if (has := known.get(key)) is None:
+                    has = self.arc(last[start], label)
+                if has:
+                    break
                 label = shorter[label]
+            last.append(label)
+        out = []
+        while at:
+            out.append(last[at])
+            at -= sizes[last[at]]
+        out.reverse()
         return out
 
 
@@ -172,37 +189,51 @@ class Codec(dict):
             return out.decode(errors="replace").encode()
 
 
+class Codecs(dict):
+    """The codecs that a worker process has made, by the vocabulary file's text; they don't travel with the functions that use them."""
+
+    def __missing__(self, file: str) -> Codec:
+        self.clear()
+        self[file] = Codec(Automaton(json.loads(file)))
+        return self[file]
+
+    def __reduce__(self):
+        return Codecs, ()
+
+
+CODECS = Codecs()
+
+
 def read_file(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
-def encoded(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, full: bool = True) -> DataFrame:
-    """The columns `keep` of docs (None: all that aren't called like the output) with n_tokens long, ids_sha256, decoded_sha256 and, if full, ids array<int> and decoded string.
+def encoded(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] | None = None, more: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """The columns `keep` of docs (None: all that aren't called like the output) with n_tokens long, ids_sha256, decoded_sha256 and, of `more`, ids array<int> and decoded string.
 
     The vocabulary file is read once, by the driver; its tables go to the executors, a size that the vocabulary bounds.
     """
     file = spark.sparkContext.broadcast(json.dumps(read_file(path)))
-    made = ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if full else ()))
+    kinds = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())} | {c: {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}[c] for c in more}
+    made = tuple(kinds)
     keep = tuple(c for c in docs.columns if c not in made) if keep is None else keep
-    extra = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())] + ([pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())] if full else [])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Automaton(json.loads(file.value)))
+        codec = CODECS[file.value]
         for whole in batches:
             for batch in slices(whole, "__text"):
-                counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
+                out: dict[str, list] = {c: [] for c in made}
                 for text in batch.column("__text").to_pylist():
                     code = codec.encode(text or "")
                     back = codec.decode(code)
-                    counts.append(len(code) // 4)
-                    ids_sha.append(hashlib.sha256(code).hexdigest())
-                    text_sha.append(hashlib.sha256(back).hexdigest())
-                    if full:
-                        ids.append(np.frombuffer(code, "<i4"))
-                        texts.append(back.decode())
-                arrays = [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)] + ([pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if full else [])
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=[*keep, *(f.name for f in extra)])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>, decoded string"] * full)
+                    out["n_tokens"].append(len(code) // 4)
+                    out["ids_sha256"].append(hashlib.sha256(code).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                    if "ids" in out:
+                        out["ids"].append(np.frombuffer(code, "<i4"))
+                    if "decoded" in out:
+                        out["decoded"].append(back.decode())
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x, kinds[c][1]) for c, x in out.items()], names=[*keep, *made])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {k}" for c, (k, _) in kinds.items())])
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

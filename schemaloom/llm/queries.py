@@ -45,7 +45,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(spark, table(spark, sf_dir, "documents"), vocabulary(), keep=("doc_id",), full=False)
+    return bpe.encoded(spark, table(spark, sf_dir, "documents"), vocabulary(), keep=("doc_id",), more=())
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,7 +348,7 @@ def test_bpe(spark, docs, empty):
         want[(r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), tuple(ids), back)] += 1
     got = bpe.encoded(spark, docs, vocabulary())
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), r.decoded) for r in got.collect()) == want
-    assert bpe.encoded(spark, empty, vocabulary(), keep=("doc_id",), full=False).count() == 0
+    assert bpe.encoded(spark, empty, vocabulary(), keep=("doc_id",), more=()).count() == 0
 
 
 def test_bpe_automaton_against_the_library():
