@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and digests of ids and of the text that they decode to."""
-    return bpe.encoded(spark, docs, vocabulary(), keep=("doc_id", "lang", "source"), full=False)
+    return bpe.encoded(spark, docs, vocabulary(), keep=("doc_id", "lang", "source"), more=("ids",))
 
 
 STAGES = [
