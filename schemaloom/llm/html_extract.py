@@ -256,7 +256,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_
     """Weights of the labelled pages in a bounded sample. Features are counted on the executors; the driver gets `features` of them at most."""
     total = pages.count()
     share = 1 << 20 if total <= sample else max(1, int((1 << 20) * sample / total))
-    some = pages.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share).limit(2 * sample).select(F.col(html_col).cast("string").alias("html"))
+    some = pages.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share).select(F.col(html_col).cast("string").alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_: Counter = Counter()

@@ -387,10 +387,10 @@ def test_toxicity(spark, docs, empty):
     df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(len(texts)) if i % 2] + [(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(df, labels)
-    assert len(model.thresholds) == 2 and model.thresholds[0] <= model.thresholds[1]
+    assert len(model.thresholds) >= 2 and (np.diff(model.thresholds) >= 0).all()
     out = {r.doc_id: r for r in toxicity.scored(spark, df, model, ("doc_id",)).collect()}
     assert all(not out[i].toxic for i in range(300)) and sum(out[i].toxic for i in range(300, 360)) >= 57
-    assert all(0 <= r.expected_severity <= 2 and 0 <= r.severity_grade <= 2 and r.toxic == (r.severity_grade > 0) for r in out.values())
+    assert all(0 <= r.expected_severity <= 3 and 0 <= r.severity_grade <= 3 and r.toxic == (r.severity_grade > 0) for r in out.values())
     kept = toxicity.keep_clean(spark, df, model)
     assert kept.columns == df.columns and kept.where("doc_id < 300").count() == 300
     assert toxicity.scored(spark, docs, model).count() == docs.count() and toxicity.scored(spark, empty, model).count() == 0
@@ -398,6 +398,34 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(spark, df, nothing, ("doc_id",)).where("toxic").count() == 0
 
 
+def ranks(x):
+    x = np.asarray(x, float)
+    return np.array([((x < v).sum() + (x <= v).sum()) / 2 for v in x])
+
+
+def test_expected_severity_ranks_held_out_texts(spark):
+    """Texts are fouled to a known degree, of which training sees only whether it is zero; held-out texts are ranked by it."""
+    rng, foul = random.Random(4), [f"{a}{b}" for a in ("idi", "scu", "vil", "tra", "wre") for b in ("otic", "mmy", "ely", "shy", "tch")]
+    rows = []
+    for i in range(1200):
+        degree = 0 if i % 3 else rng.randrange(1, 9)
+        w = [f"word{rng.randrange(300)}" for _ in range(90)] + rng.sample(foul, degree)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), degree))
+    df = spark.createDataFrame(rows, "doc_id long, text string, degree int")
+    model = toxicity.train(df, df.where("doc_id % 2 = 0").select("doc_id", F.expr("int(degree > 0)").alias("toxic")))
+    out = toxicity.scored(spark, df.where("doc_id % 2 = 1"), model).collect()
+    foul_ = [r for r in out if r.degree]
+    assert sum(r.toxic for r in foul_) >= 0.9 * len(foul_) and not any(r.toxic for r in out if not r.degree)
+    assert np.corrcoef(ranks([r.degree for r in foul_]), ranks([r.expected_severity for r in foul_]))[0, 1] > 0.85
+
+
+def test_toxicity_does_not_depend_on_order(spark, docs):
+    labels = docs.where("doc_id IS NOT NULL").select("doc_id", F.expr("int(doc_id % 3 = 0)").alias("toxic"))
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n)) for n in (2, 5))
+    assert one.index == two.index and np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
