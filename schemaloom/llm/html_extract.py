@@ -11,7 +11,7 @@ and class name inside and outside the article. What these pages don't show keeps
 Text: character references are decoded, inline tags vanish, every other tag ends a block, white space in a block becomes
 one space, and blocks join in page order by one space. Nothing else is dropped or cut off.
 
-Defined cases: a null or empty html, or one without words outside markup, gives the empty text. Broken markup is read
+Defined cases: a very long page is read whole, however deep. A null or empty html, or one without words outside markup, gives the empty text. Broken markup is read
 as browsers do where that is simple: unknown end tags are passed over, li, dt, dd, option, tr, td,
 th and p end where the next start tag implies it, an end tag finds its element at any depth, an unclosed tag or comment runs to the end.
 Null ids and repeated rows come out as they are. Columns whose names clash with n_chars or text are not carried along.
@@ -223,12 +223,14 @@ def counts_of(page: str) -> Counter:
     if not mark:
         return out
     names, inside = Names(), 0
+    said: list[set[str]] = []  # what each open element is called
 
     def close(k: int) -> int:
         """How many of the marked elements end with the one at k."""
         gone = names.open[k:].count(mark) if k >= 0 else 0
         if k >= 0:
             names.cut(k)
+            del said[k:]
         return gone
 
     for kind, name, rest in tokens(page):
@@ -241,11 +243,16 @@ def counts_of(page: str) -> Counter:
             if name not in VOID:
                 inside -= close(names.implied(name))
             out["t:" + name, bool(inside)] += 1
-            if name not in ("html", "body"):
-                for label in labels(name, rest):
-                    out["n:" + label, bool(inside) or name == mark] += 1
+            called = labels(name, rest) if name not in ("html", "body") else set()
+            for label in called:
+                out["n:" + label, bool(inside) or name == mark] += 1
+            if name == mark and not inside:  # what holds the article is neither in it nor beside it
+                for around in said:
+                    for label in around:
+                        out["n:" + label, False] -= 1
             if name not in VOID:
                 names.push(name)
+                said.append(called)
                 inside += name == mark
         elif kind == "end":
             inside -= close(names.last(name))

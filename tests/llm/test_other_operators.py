@@ -1,6 +1,7 @@
 """Embeddings, pages, components and the pipeline."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -93,9 +94,46 @@ def test_pages_with_and_without_learned_weights(spark):
         assert r.text == want and r.n_chars == len(want)
 
 
+def site_page(rng, marked):
+    """(html, text) of a site whose class names no list has; only marked pages have an <article>."""
+    words = lambda n: " ".join(rng.choice(["tavo", "belin", "gorra", "misk", "runa", "pelt"]) + rng.choice(["", "s", "en"]) for _ in range(n))
+    menu = lambda: '<div class="mulo"><ul>' + "".join(f'<li><a href="/{k}">{words(2)}</a>' for k in range(rng.randrange(4, 20))) + "</ul></div>"
+    aside = lambda: f'<div class="zept"><p>{words(rng.randrange(10, 80))}</p></div>'
+    text = [words(rng.randrange(15, 60)) for _ in range(rng.randrange(3, 12))]
+    story = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    story = f'<div class="qavo">{f"<article>{story}</article>" if marked else story}</div>'
+    before, after = [menu(), aside()], [aside(), f'<div class="drik"><p>{words(20)}</p></div>', menu()]
+    rng.shuffle(before)
+    rng.shuffle(after)
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body>{''.join(before)}{story}{''.join(after)}</body></html>", " ".join(text)
+
+
+def test_names_are_learned_from_marked_pages(spark):
+    """200 pages with an <article> teach what 200 pages without one need, of names that no list has."""
+    rng = random.Random(1)
+    some = [site_page(rng, k < 200) for k in range(400)]
+    df = spark.createDataFrame([(k, "u", p) for k, (p, _) in enumerate(some)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.extracted(spark, df, html_extract.learn(df)).collect()}
+    assert sum(got[k] == t for k, (_, t) in enumerate(some)) >= 392
+    untaught = [html_extract.segment(p, html_extract.Weights()) == t for p, t in some[200:]]
+    assert sum(untaught) < 100
+
+
+def test_pages_without_marks(spark):
+    """The corpus' pages with their <article> written as a plain <div>."""
+    import html
+
+    pages = table(spark, SF, "pages")
+    learned = html_extract.learn(pages)
+    for p in pages.collect():
+        body = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", body))).split())
+        assert html_extract.segment(p.html.replace("<article>", "<div>").replace("</article>", "</div>"), learned) == want
+
+
 def test_an_article_after_a_long_menu_stays():
     article = "<article><p>The text of the article goes on for some words.<p>And then some more of them.</article>"
-    for page in ("<nav><ul>" + "<li><a href=/>Entry</a>" * 1000 + "</ul></nav>" + article, "<aside>" + "<div>x" * 1000 + "</aside>" + article, "<ul><li class=advert>Buy<li>" + article + "</ul>"):
+    for page in ("<nav><ul>" + "<li><a href=/>Entry</a>" * 10_000 + "</ul></nav>" + article, "<aside>" + "<div>x" * 10_000 + "</aside>" + article, "<ul><li class=advert>Buy<li>" + article + "</ul>"):
         text = html_extract.segment(page, html_extract.Weights())
         assert text == "The text of the article goes on for some words. And then some more of them."
         assert html_extract.counts_of(page)["t:p", True] == 2
