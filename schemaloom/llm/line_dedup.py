@@ -37,7 +37,7 @@ from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes,
 from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 4, 0.8
-TILE, SMALL = 1024, 64
+TILE, SMALL = 256, 64
 #: Lines of a component that are compared pair by pair.
 FEW = 6
 #: Shingles that are signed together.
