@@ -51,8 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each result written to the shared folder and read again."""
     tables, docs = Tables(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = tables.cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with Tables.passing():  # a stage's work tables go when its result is written, and so does its input
+            out = tables.cut(stage(spark, docs, sf_dir))
+        tables.drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
