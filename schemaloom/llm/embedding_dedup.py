@@ -215,7 +215,7 @@ def found_links(tables: Tables, classes: DataFrame, least: float, recall: float,
 
 
 def components(spark: SparkSession, table: DataFrame, least: float = COSINE, recall: float = RECALL, rounds: int = ROUNDS, bits: int = BITS, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, n_links, component_id, kept): a row for each vector."""
+    """(id, n_links, component_id, kept): a row for each vector. The result reads work tables; those that it doesn't need any more are removed."""
     tables, many = Tables(spark, "vectors"), partitions(spark)
     v = F.col(vector_col)
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
@@ -226,7 +226,9 @@ def components(spark: SparkSession, table: DataFrame, least: float = COSINE, rec
     rows = read.select("id", F.xxhash64("v").alias("h"), "v")
     classes = rows.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = tables.cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    found = connected(tables, found_links(tables, classes, least, recall, rounds, bits, window, many))
+    with Tables.passing():
+        passes = Tables(spark, "passes")
+        found = tables.cut(connected(passes, found_links(passes, classes, least, recall, rounds, bits, window, many)))
     linked = classes.join(found, "node").select("node", "component", "size", "first", "v")
     counts = counted(linked.select("node", "component", "size", "v"), least, many)
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))

@@ -388,17 +388,23 @@ def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, simi
 
 
 def removals(spark: SparkSession, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, tag, numbers array<int>): lines that go from each document; rows is (id, tag, text)."""
-    many, tables = ranges(rows), Tables(spark, "lines")
+    """(id, tag, numbers array<int>): lines that go from each document; rows is (id, tag, text). The result is a work table, those it is made of are removed."""
+    out = Tables(spark, "lines")
+    with Tables.passing():
+        return out.cut(removed(Tables(spark, "lines"), rows, similarity))
+
+
+def removed(tables: Tables, rows: DataFrame, similarity: float) -> DataFrame:
+    many = ranges(rows)
     size = max(64, FILTER_BYTES // many)
     known = rows.where("id IS NOT NULL")
     links = tables.cut(candidates(known, many))
     found = with_sizes(tables, connected(tables, links))
     marks = filter_of(found, "node", many, size)
-    sent = spark.sparkContext.broadcast((size, marks.bits.tobytes()))
+    sent = tables.spark.sparkContext.broadcast((size, marks.bits.tobytes()))
     again = tables.cut(second_reading(known, sent, many))
     texts = again.where("line IS NOT NULL").select("line", "text").join(found, F.col("line") == F.col("node")).dropDuplicates(["line"]).select("line", "component", "m", "text")
-    sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity))
+    sure = connected(tables, verified(texts, links, tables, partitions(tables.spark), similarity))
     occurring = tables.cut(occurrences(again.where("r IS NOT NULL").select("r", "n", "blob"), sent, many))
     lines = occurring.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "number")).alias("first"))
     led = tables.cut(lines.join(sure, lines["line"] == sure["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("root")))
@@ -406,7 +412,7 @@ def removals(spark: SparkSession, rows: DataFrame, similarity: float = SIMILARIT
     led = looked_up(led.select("line", "root"), "root", "line", heads.select(F.col("root").alias("k"), F.col("head").alias("m")), heavy_keys(heads, "root", led.count()))
     lost = tables.cut(led.where("m IS NOT NULL").select(F.col("line").alias("__line"), F.col("m").alias("head")))
     gone = occurring.join(lost, occurring["line"] == lost["__line"]).where(F.struct("id", "tag", "number") != F.col("head"))
-    return tables.cut(gone.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("number")).alias("numbers")))
+    return gone.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("number")).alias("numbers"))
 
 
 def without(text: str, numbers) -> str:

@@ -121,10 +121,10 @@ SELECT id, {last} AS h FROM (
 def simhash() -> str:
     words = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     shingles = "SELECT doc_id AS id, array_to_string(w[i:i + 3], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 2, 2))) t(i) WHERE len(w) > 0"
-    bits = " + ".join(f"CASE WHEN 2 * sum(h // {1 << b}::UHUGEINT % 2::UHUGEINT) > count(*) THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    bits = " + ".join(f"CASE WHEN 2 * count(*) FILTER ((h >> {b}) & 1::UBIGINT = 1::UBIGINT) > count(*) THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents), hashes AS ({xxh64(shingles)}),
-majority AS (SELECT id, ({bits})::UBIGINT AS fp FROM hashes GROUP BY id),
+majority AS (SELECT id, ({bits})::UBIGINT AS fp FROM (SELECT id, h::UBIGINT AS h FROM hashes) GROUP BY id),
 prints AS MATERIALIZED (SELECT d.doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN majority ON d.doc_id = majority.id),
 classes AS MATERIALIZED (SELECT fp, min(doc_id) AS first FROM prints GROUP BY fp),
 links AS MATERIALIZED (SELECT a.fp AS u, b.fp AS v FROM classes a JOIN classes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 4),

@@ -186,8 +186,14 @@ def word_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
 
 
 def alike(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tag, head): the smallest id of each document's group of documents alike; tag tells texts apart. Null ids are left out."""
-    tables, names = Tables(spark, "alike"), columns(PARTS)
+    """(id, tag, head): the smallest id of each document's group of documents alike; tag tells texts apart. Null ids are left out. The result is a work table, those it is made of are removed."""
+    out = Tables(spark, "alike")
+    with Tables.passing():
+        return out.cut(headed(Tables(spark, "alike"), docs, similarity, id_col, text_col))
+
+
+def headed(tables: Tables, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    names = columns(PARTS)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text")).where("id IS NOT NULL")
     prints = tables.cut(fingerprints(rows, "id", "text", WIDTH, PARTS, ("tag",)))
@@ -197,7 +203,7 @@ def alike(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY,
     found = with_sizes(tables, connected(tables, links))
     about = classes.join(found, "node").select(F.col("first").alias("__i"), F.col("tag").alias("__t"), F.col("node").alias("line"), "component", "m")
     texts = rows.join(about, (rows["id"] == about["__i"]) & (rows["tag"] == about["__t"])).dropDuplicates(["line"]).select("line", "component", "m", "text")
-    sure = connected(tables, verified(texts, links, tables, partitions(spark), similarity, word_sets))
+    sure = connected(tables, verified(texts, links, tables, partitions(tables.spark), similarity, word_sets))
     groups = classes.join(sure, "node", "left").select("tag", *names, "first", F.coalesce("component", "node").alias("group"))
     heads = groups.groupBy("group").agg(F.min("first").alias("head"))
     groups = groups.join(heads, "group").select("tag", *names, "head")

@@ -305,7 +305,7 @@ def judged_by_words(tables: Tables, texts: DataFrame, claims: DataFrame, failed:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", full: bool = True, bits: int = 64) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256 and, if full, kept): a row for each row of docs; kept is the words that stay, joined by one space. With fewer bits of the windows' hashes more of them agree by chance, and the result is the same."""
+    """(id, n_words, n_removed, kept_sha256 and, if full, kept): a row for each row of docs, read from work tables; kept is the words that stay, joined by one space. With fewer bits of the windows' hashes more of them agree by chance, and the result is the same."""
     many, tables = ranges(docs), Tables(spark, "substring")
     size = max(64, FILTER_BYTES // many)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -325,6 +325,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     if not failed.isEmpty():
         anew = tables.cut(judged_by_words(tables, texts, claims, failed, width, bits, many, full))
         results = results.join(anew.select("run", "doc"), ["run", "doc"], "left_anti").unionByName(anew, allowMissingColumns=True)
+    tables.drop(claims)
     columns = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if full else [])]
     plain = written.where("kind = 0").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept"))
     return plain.select(*columns).unionByName(results.select(*columns))

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +21,45 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: By application, the folder of a Spark in one process that names none; a running session's setting can't be changed.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and Spark runs in one process, as in tests, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="schemaloom-"))
     return found.rstrip("/")
 
 
 class Tables:
-    """Tables of one run under the shared folder. cut() writes a frame and reads it back, so that what follows starts from files that outlive executors."""
+    """Tables of one run under the shared folder. cut() writes a frame and reads it back, so that what follows starts from files that outlive executors.
+
+    A result may read its run's tables as long as it lives. Once it is written elsewhere they can go: all tables made
+    within `with Tables.passing():` are removed at its end.
+    """
+
+    _within: ContextVar[list[Tables] | None] = ContextVar("tables", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if (all_ := self._within.get()) is not None:
+            all_.append(self)
+
+    @classmethod
+    @contextmanager
+    def passing(cls) -> Iterator[None]:
+        made: list[Tables] = []
+        token = cls._within.set(made)
+        try:
+            yield
+        finally:
+            cls._within.reset(token)
+            for t in made:
+                t._remove(t.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,8 +72,11 @@ class Tables:
     def drop(self, df: DataFrame | None) -> None:
         """Removes a table of cut() that nothing reads any more."""
         if path := getattr(df, "_work_path", None):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def give_back() -> None:

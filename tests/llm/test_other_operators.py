@@ -2,13 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from schemaloom.llm import embedding_dedup, html_extract, oracles
+from schemaloom.llm import embedding_dedup, html_extract, oracles, work
 from schemaloom.llm.components import Groups, connected
 from schemaloom.llm.queries import queries, table
 from schemaloom.llm.work import Marks, Tables, pack, rises, unpack
@@ -188,11 +189,53 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert seen["toxicity"][0] > seen["toxicity"][1] and seen["line_dedup"][0] == seen["line_dedup"][1] and seen["simhash_near_dedup"][0] > seen["simhash_near_dedup"][1] and seen["bpe"][0] == seen["bpe"][1]
     assert corpus_pipeline.run(spark, SF).count() == seen["bpe"][1]
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "a text of words", "en", "s", 15), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "Some line\nSome line", "en", None, 19)], table(spark, SF, "documents").schema)
-    for rows in (odd, odd.where("false")):
-        for name, stage in corpus_pipeline.STAGES:
-            rows = Tables(spark, "stage").cut(stage(spark, rows, SF))
-            rows.count()
+    odd = [(1, None, None, None, None), (None, "a text of words", "en", "s", 15), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "Some line\nSome line", "en", None, 19)]
+    frame = rows = spark.createDataFrame(odd, table(spark, SF, "documents").schema)
+    want = {
+        # No document with labels: nothing is rejected. The second of two equal lines goes. The empty texts are alike, and
+        # the first, which has no text, stays; a null id stays. Texts without words are never taken.
+        "toxicity": odd, "line_dedup": [*odd[:4], (3, "Some line", "en", None, 9)], "simhash_near_dedup": [odd[0], odd[1], (3, "Some line", "en", None, 9)],
+        "mixing": [odd[1], (3, "Some line", "en", None, 9)],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        rows = Tables(spark, "stage").cut(stage(spark, rows, SF))
+        if name in want:
+            got = Counter(tuple(r) for r in rows.drop("n_chars").collect())
+            expected = Counter(r[:4] for r in want[name])
+            assert set(got) == set(expected) and (name == "mixing" or got == expected), name
+    assert {r.doc_id: (r.n_tokens > 0, len(r.ids) == r.n_tokens) for r in rows.collect()} == {None: (True, True), 3: (True, True)}
+    none = frame.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = Tables(spark, "stage").cut(stage(spark, none, SF))
+        assert none.count() == 0
+
+
+def test_work_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(work, "shared_dir", lambda _: f"file://{tmp_path}")
+    with Tables.passing():
+        Tables(spark, "inner").cut(spark.range(3))
+        Tables(spark, "other").cut(spark.range(3))
+        assert len(list(tmp_path.iterdir())) == 2
+    assert not list(tmp_path.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = [p for p in tmp_path.iterdir() if any(x.is_dir() for x in p.iterdir())]
+    assert [p.name.split("-")[0] for p in left] == ["pipeline"] and len([x for x in left[0].iterdir() if x.is_dir()]) == 1
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        work.shared_dir(Session())
+    Context.master = "local[2]"
+    assert work.shared_dir(Session()) == work.shared_dir(Session())
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
