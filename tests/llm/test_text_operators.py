@@ -299,6 +299,47 @@ def test_mixing(spark, docs, empty):
     assert shards.agg(F.max("shard")).first()[0] <= 3 and shards.select("shard", "place", "copy", "doc_id").distinct().count() > 50
 
 
+def test_mixing_against_a_plain_version(spark, docs):
+    """Which documents are taken how often, from the same lots, by plain sums."""
+    for frame in (docs, table(spark, SF, "documents")):
+        mix = mixing.Mix(spark, frame)
+        by_source: dict = {}
+        for r in mix.chosen.collect():
+            by_source.setdefault(r.source, []).append(r)
+        for source, rows in by_source.items():
+            size, target, blocks = mix.sizes[source], mix.targets[source], max(1, -(-len(rows) // mixing.BLOCK_DOCS))
+            times = int(target // size) if size else 0
+            need, before, want = target - times * size, 0, Counter()
+            in_block: dict = {}
+            for r in rows:
+                in_block.setdefault(((r.lot % (1 << 64)) >> 33) * blocks >> 31, []).append(r)
+            for b in sorted(in_block):
+                words_ = sum(r.size for r in in_block[b])
+                alike: dict = {}
+                for r in in_block[b]:
+                    alike.setdefault((r.lot, r.size, r.id), []).append(r)
+                if before + words_ <= need:
+                    extra = set(alike)
+                elif before >= need:
+                    extra = set()
+                else:
+                    extra, left = set(), need - before
+                    for key in sorted(alike):
+                        w = key[1] * len(alike[key])
+                        if 0 < w <= left:
+                            extra.add(key)
+                            left -= w
+                    over = [(key[1] * len(alike[key]), key) for key in sorted(alike) if key not in extra and left < key[1] * len(alike[key]) < 2 * left]
+                    extra |= {min(over)[1]} if over else set()
+                for key, same in alike.items():
+                    want[key] += len(same) * (0 if not key[1] else times + (key in extra))
+                before += words_
+            got = Counter()
+            for r in rows:
+                got[r.lot, r.size, r.id] += r.copies
+            assert got == want, source
+
+
 def test_shards_of_the_query_have_their_quotas(spark):
     from schemaloom.llm.queries import op9_mixing
 
