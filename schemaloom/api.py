@@ -140,8 +140,8 @@ class Compiled:
 
     # Typed columns
 
-    def _staged(self, df: DataFrame, kept: list[Column] = ()) -> tuple[DataFrame, Type, Callable[[str], Column]]:
-        """kept as __k0, __k1 ... and the root's fields converted along all maps; their type, and a way to a field's column.
+    def _staged(self, df: DataFrame, kept: list[Column] = (), checked: bool = False) -> tuple[DataFrame, Type, Callable[[str], Column]]:
+        """kept as __k0, __k1 ... and the root's fields converted along all maps; their type, and a way to a field's column. If checked, __k0 is what is wrong with the row.
 
         Each step is a projection of its own over the root's columns, so expressions grow with the schema's width only;
         Catalyst folds the steps into one and prunes the fields that nothing asks for.
@@ -150,11 +150,13 @@ class Compiled:
         check_typed(self.target.type)
         if self.source.type.kind != "record" or self.target.type.kind != "record":
             raise SchemaError("The columns of a frame are the fields of a record; the root isn't one")
+        kept = [F.lit(None).cast("string"), *kept] if checked else kept
         names = [f"__k{i}" for i in range(len(kept))]
         df = df.select(*[c.alias(n) for c, n in zip(kept, names, strict=True)], *[F.col(f"`{f.name}`").alias(f"__f{i}") for i, f in enumerate(self.source.type.fields)])
         now = self.source.type
         for m in self.maps:
-            df = df.select(*names, *[x.alias(f"__f{o}") for o, (_, x) in enumerate(Compiler(self.strict).fields(m, place_of(now)))])
+            wrong = [F.coalesce("__k0", *Compiler().field_problems(m, place_of(now), None)).alias("__k0")] if checked else []
+            df = df.select(*wrong, *names[len(wrong) :], *[x.alias(f"__f{o}") for o, (_, x) in enumerate(Compiler(self.strict).fields(m, place_of(now)))])
             now = m.target
         return df, now, place_of(now)
 
@@ -163,6 +165,14 @@ class Compiled:
         out, t, at = self._staged(df)
         return out.select(*[at(f.name).alias(f.name) for f in t.fields if not f.hidden])
 
+    def flatten_checked(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """The columns `keep`, ok boolean, error string, and tuple, a struct of the cells as names() says; NULL where the row has an error. The first error in schema order is told, with its path; no row ends the query."""
+        source = Compiled(self.source, self.target, self.maps, [])
+        out, t, at = source._staged(df, [F.col(f"`{k}`") for k in keep], checked=True)
+        cells, names = Compiler().cells(t, at), [n for n, _ in layout.cells(replace(t, nullable=False))]
+        made = F.struct(*[x.alias(n) for x, n in zip(cells, names, strict=True)])
+        return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keep, 1)], F.col("__k0").isNull().alias("ok"), F.col("__k0").alias("error"), F.when(F.col("__k0").isNull(), made).alias("tuple"))
+
     def flatten(self, df: DataFrame, service: list[str | Column] = ()) -> DataFrame:
         """Service columns, then a column for each cell, named as names() says but for the service ones, which keep theirs."""
         if len(service) != len(self.service):

@@ -192,6 +192,18 @@ def enum_unknown_symbols(spark, sf_dir):
     return out.select("order", "line", F.col("flag").isNotNull().alias("ok"))
 
 
+@query(
+    "SELECT l_orderkey AS \"order\", l_linenumber AS line, l_returnflag <> 'N' AND l_linenumber % 3 <> 0 AS ok, CASE WHEN l_returnflag = 'N' THEN 'flag: Bad value: \"N\" (schema versioning)' WHEN l_linenumber % 3 = 0 THEN 'Key missing: \"status\"' END AS error, "
+    "CASE WHEN l_returnflag <> 'N' AND l_linenumber % 3 <> 0 THEN CAST(list_position(['R', 'A'], l_returnflag) - 1 AS INTEGER) END AS flag FROM lineitem"
+)
+def flatten_checked_rows(spark, sf_dir):
+    """Typed rows that carry their error instead of ending the query."""
+    b = Schema(rec("L", fld("order", "long"), fld("line", "int"), fld("flag", enum("Flag", "R", "A")), fld("status", enum("LSt", "F", "O"))))
+    df = lines(spark, sf_dir).withColumn("status", F.when(F.col("line") % 3 != 0, F.col("status")))
+    out = api.compile(FLAGS, b).flatten_checked(df.select("*", F.col("order").alias("o"), F.col("line").alias("l")), ["o", "l"])
+    return out.select(F.col("o").alias("order"), F.col("l").alias("line"), "ok", "error", F.col("tuple.flag").alias("flag"))
+
+
 # Unions: value, count and name of an event, by its type
 
 

@@ -4,7 +4,8 @@ A record is a struct column whose fields are the schema's; a union is a struct w
 a column for each branch that isn't null. NULL means absent: where the target has a default, it takes its place. With
 strict=True a value that doesn't suit the schema (a missing required field, an unknown symbol, a wrong length) ends the
 query with the message that the exact path gives; otherwise it becomes NULL. As pruned columns aren't computed, they
-aren't checked either, unless strict expressions are kept in the result.
+aren't checked either, unless strict expressions are kept in the result. problems() gives the same messages, with paths,
+as texts, so that a row can carry its error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from schemaloom.operators.paths import below, first_of, located
 from schemaloom.plans.ast import SchemaError, Type
 from schemaloom.plans.layout import TAG, holds_any, recursive, width
 from schemaloom.plans.mapping import Map
@@ -191,6 +193,47 @@ class Compiler:
     def versioning(s: Type, tag: Column) -> Column:
         return F.concat(F.lit('Unknown key: "'), F.get(F.array(*[F.lit(b.tag) for b in s.branches]), tag), F.lit('" (schema versioning)'))
 
+    # What doesn't suit, as texts
+
+    def problems(self, m: Map, c: Column, path: Column | None) -> list[Column]:
+        """Texts that are NULL where nothing is wrong with an object of the source, in schema order; none if nothing can be."""
+        s = m.source
+        if m.union:
+            return self._union_problems(m, c, path) if s.kind == "union" else self.problems(m.parts[0], c, path)
+        if s.kind == "fixed":
+            n = F.octet_length(c)
+            return [F.when(n != s.body.size, located(path, F.concat(F.lit(f"Expecting BIN of length {s.body.size}. Encountered BIN of length "), n.cast("string"), F.lit("."))))]
+        if s.kind == "enum":
+            common = [x for x, p in zip(s.body.symbols, m.places, strict=True) if p is not None]
+            late = F.when(c.isin(*s.body.symbols), F.lit(" (schema versioning)")).otherwise("")
+            return [F.when(~c.isin(*common), located(path, F.concat(F.lit('Bad value: "'), c, F.lit('"'), late)))]
+        if s.kind in ("array", "map") and self.problems(m.parts[0], F.lit(None), path):
+            if s.kind == "array":
+                return [first_of(F.transform(c, lambda x, i: F.coalesce(*self.problems(m.parts[0], x, below(path, (i + 1).cast("string"))))))]
+            return [first_of(F.transform(F.map_entries(c), lambda e: F.coalesce(*self.problems(m.parts[0], e["value"], below(path, e["key"])))))]
+        if s.kind == "record":
+            return [F.when(c.isNotNull(), x) for x in self.field_problems(m, c.__getitem__, path)]
+        return []
+
+    def _union_problems(self, m: Map, c: Column, path: Column | None) -> list[Column]:
+        lost, out = [i for i, p in enumerate(m.places) if p is None], []
+        if lost:
+            out.append(F.when(self.branch(m.source, lost, c[TAG]), located(path, self.versioning(m.source, c[TAG]))))
+        for i, (b, part) in enumerate(zip(m.source.branches, m.parts, strict=True)):
+            if part is not None and b.kind != "null":
+                out += [F.when(c[TAG] == i, x) for x in self.problems(part, c[b.tag], below(path, b.tag))]
+        return out
+
+    def field_problems(self, m: Map, at: Callable[[str], Column], path: Column | None) -> list[Column]:
+        """Those of a record's fields, and then of the ones that are missing; `at` gives the source's field of a name."""
+        out = [x for f, part in zip(m.source.fields, m.parts, strict=True) for x in self.problems(part, at(f.name), below(path, f.name))]
+        back = {p: i for i, p in enumerate(m.places) if p is not None}
+        for o, f in enumerate(m.target.fields):
+            if o in back and not (f.has_default and f.default is not None) and not f.type.nullable and f.type.kind not in ("null", "union"):
+                name = m.source.fields[back[o]].name
+                out.append(F.when(at(name).isNull(), located(path, f'Key missing: "{name}"')))
+        return out
+
     # Objects of the target to tuples
 
     def cell(self, t: Type, c: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from schemaloom.operators.paths import below, first_of, located
 from schemaloom.operators.typed import default_object, object_type
 from schemaloom.plans.ast import Type
 from schemaloom.plans.layout import TAG
@@ -85,16 +86,6 @@ def scalar_bad(t: Type, v: Column, k: Column) -> Column:
     return k != "STRING"
 
 
-def located(path: Column | None, message: Column | str) -> Column:
-    message = F.lit(message) if isinstance(message, str) else message
-    return message if path is None else F.concat(path, F.lit(": "), message)
-
-
-def below(path: Column | None, key: Column | str) -> Column:
-    key = F.lit(key) if isinstance(key, str) else key
-    return key if path is None else F.concat(path, F.lit("/"), key)
-
-
 def error(t: Type, v: Column, path: Column | None = None) -> Column:
     """What is wrong with a variant, NULL if nothing is."""
     bad = located(path, F.concat(F.lit(f"Not a {t.label}: "), text(v)))
@@ -103,18 +94,14 @@ def error(t: Type, v: Column, path: Column | None = None) -> Column:
     elif t.kind == "record":
         found = bound(entries(v), lambda m: F.when(m.isNull(), bad).otherwise(_record_error(t, m, path)))
     elif t.kind == "array":
-        found = bound(items(v), lambda a: F.when(a.isNull(), bad).otherwise(_first(F.transform(a, lambda x, i: error(t.items, x, below(path, (i + 1).cast("string")))))))
+        found = bound(items(v), lambda a: F.when(a.isNull(), bad).otherwise(first_of(F.transform(a, lambda x, i: error(t.items, x, below(path, (i + 1).cast("string")))))))
     elif t.kind == "map":
-        found = bound(entries(v), lambda m: F.when(m.isNull(), bad).otherwise(_first(F.transform(F.map_entries(m), lambda e: error(t.items, e["value"], below(path, e["key"]))))))
+        found = bound(entries(v), lambda m: F.when(m.isNull(), bad).otherwise(first_of(F.transform(F.map_entries(m), lambda e: error(t.items, e["value"], below(path, e["key"]))))))
     else:
         found = F.when(bound(kind_of(v), lambda k: scalar_bad(t, v, k)), bad)
     return F.when(is_null(v), F.lit(None).cast("string")).otherwise(found) if t.nullable else found
 
 
-def _first(errors: Column) -> Column:
-    return F.get(F.filter(errors, lambda e: e.isNotNull()), 0)
-
-
 def _union_error(t: Type, v: Column, path: Column | None) -> Column:
     def of(m: Column) -> Column:
         keys = F.map_keys(m)

@@ -128,6 +128,28 @@ def test_strict_refuses(spark):
         api.compile(s, strict=True).unflatten(spark.createDataFrame([(1, 9)], "a int, e int")).collect()
 
 
+def test_rows_carry_their_errors(spark):
+    """flatten_checked says of each row what the exact path says of its object."""
+    hue = lambda *x: {"type": "enum", "name": "hue", "symbols": list(x)}
+    fields = lambda h, u: rec(f("k"), f("h", h), f("l", ARRAY(rec(f("x", "hue"), f("b", {"type": "fixed", "name": "two", "size": 2}), name="In"))), f("m", MAP("hue")), f("u", u), f("r", "In*"), name="foo")
+    a, b = Schema(fields(hue("RED", "BLUE", "TAN"), ["null", "hue", "string"])), Schema(fields(hue("BLUE", "RED"), ["null", "hue"]))
+    one = lambda x="RED", b=b"ab": {"x": x, "b": b}
+    good = {"k": 1, "h": "RED", "l": [one()], "m": {"a": "BLUE"}, "u": {"hue": "RED"}, "r": None}
+    data = [good, good | {"h": "TAN"}, good | {"h": "PINK"}, good | {"l": [one(), one(b=b"abc")]}, good | {"l": [one("TAN")]}, good | {"m": {"a": "RED", "z": "GREY"}}, good | {"u": {"string": "x"}}, good | {"u": {"hue": "TAN"}}, good | {"r": one("TAN")}, good | {"u": None, "r": one()}]
+    typed = [(d["k"], d["h"], d["l"], d["m"], {"$type$": 0 if d["u"] is None else 1 if "hue" in d["u"] else 2, "hue": (d["u"] or {}).get("hue"), "string": (d["u"] or {}).get("string")}, d["r"]) for d in data]
+    c = api.compile(a, b)
+    out = c.flatten_checked(spark.createDataFrame(typed, a.spark_type()).coalesce(1), ["k"]).collect()
+    for r, d in zip(out, data, strict=True):
+        try:
+            c.flatten_object(d)
+            want = None
+        except DataError as e:
+            want = str(e)
+        assert (r.ok, r.error, r.tuple is None) == (want is None, want, want is not None), d
+    missing = c.flatten_checked(spark.createDataFrame([(None, "RED", [], {}, None, None)], a.spark_type())).first()
+    assert missing.error == 'Key missing: "k"'
+
+
 def test_typed_agrees_with_objects(spark):
     """A pair of revisions, typed and one by one."""
     a = Schema(rec(f("A"), f("E", {"type": "enum", "name": "v", "symbols": ["X", "Y", "Z"]}), f("U", ["null", "int", "string"]), f("N", rec(f("p", "float"), name="N")), name="foo"))
