@@ -82,7 +82,8 @@ class Model:
         return np.array([sum(float(self.weights[i]) * min(n, MOST) for i, n in c.items()) for c in counts])
 
 
-Words = frozenset[str]
+#: A text's distinct words in order; equal words of texts are one object.
+Words = tuple[str, ...]
 
 
 def tally(texts: list[Words], index: dict[str, int]) -> list[Counter]:
@@ -102,6 +103,20 @@ def tally(texts: list[Words], index: dict[str, int]) -> list[Counter]:
     return counts
 
 
+def frequent(texts: list[Words], most: float) -> dict[str, int]:
+    """How many texts have each feature that at least so many have. Longer beginnings are counted only where shorter ones are frequent, so few are held."""
+    often: dict[str, int] = {}
+    for n in range(SHORTEST, LONGEST + 1):
+        has: Counter = Counter()
+        for words in texts:
+            has.update({w[:n] for w in words if len(w) >= n and (n == SHORTEST or w[: n - 1] + "*" in often)})
+        often.update({p + "*": k for p, k in has.items() if k >= most})
+    has = Counter()
+    for words in texts:
+        has.update({w for w in words if len(w) < SHORTEST or w[:LONGEST] + "*" in often})
+    return often | {p: k for p, k in has.items() if k >= most}
+
+
 def select(texts: list[Words], toxic: np.ndarray, features: int, least: int = 4, share: float = 0.015, gain: float = 20.0) -> dict[str, int]:
     """The features that toxic texts have more often than clean ones, most telling first.
 
@@ -109,11 +124,7 @@ def select(texts: list[Words], toxic: np.ndarray, features: int, least: int = 4,
     make all its words telling. Only features that enough toxic texts have are counted among the clean ones.
     """
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    has: Counter = Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        if y:
-            has.update({p for w in words for p in parts(w)})
-    often = {p: k for p, k in has.items() if k >= max(least, share * n1)}
+    often = frequent([t for t, y in zip(texts, toxic, strict=True) if y], max(least, share * n1))
     names = sorted(often)
     rest: Counter = Counter()
     for c in tally([t for t, y in zip(texts, toxic, strict=True) if not y], {p: i for i, p in enumerate(names)}):
@@ -160,7 +171,7 @@ def weighed(index: dict[str, int], counts: list[Counter], grade: np.ndarray, rou
 
 def severity(texts: list[Words], toxic: np.ndarray, features: int, rounds: int, decay: float) -> np.ndarray:
     """Grades: 0 for clean texts, and for toxic ones 1 to GRADES - 1 by the rank of the score that a model without their fold gives."""
-    fold = np.array([zlib.crc32(" ".join(sorted(t)).encode()) % FOLDS for t in texts])
+    fold = np.array([zlib.crc32(" ".join(t).encode()) % FOLDS for t in texts])
     score = np.zeros(len(texts))
     for k in range(FOLDS):
         own, rest = np.flatnonzero((fold == k) & toxic), np.flatnonzero(fold != k)
@@ -182,8 +193,8 @@ def fit(texts: list[Words], toxic: np.ndarray, features: int = 4096, rounds: int
     none = Model({}, *NOTHING)
     if not toxic.any() or toxic.all():
         return none
-    once = sorted({(tuple(sorted(t)), bool(y)) for t, y in zip(texts, toxic, strict=True)})  # a copy says nothing new
-    texts, toxic = [frozenset(t) for t, _ in once], np.array([y for _, y in once])
+    once = sorted(set(zip(texts, map(bool, toxic), strict=True)))  # a copy says nothing new
+    texts, toxic = [t for t, _ in once], np.array([y for _, y in once])
     index = select(texts, toxic, features)
     if not index:
         return none
@@ -206,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
 
     rows = some.mapInArrow(distinct_words, "id long, words string, toxic int").collect()  # a row for each id of the sample
     rows.sort(key=lambda r: r["id"])
-    texts, toxic = [frozenset(r["words"].split()) for r in rows], np.array([r["toxic"] > 0 for r in rows], bool)
-    del rows
+    known: dict[str, str] = {}
+    texts, toxic = [tuple(known.setdefault(w, w) for w in r["words"].split()) for r in rows], np.array([r["toxic"] > 0 for r in rows], bool)
+    del rows, known
     model = fit(texts, toxic)
     del texts
     give_back()
