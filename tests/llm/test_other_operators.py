@@ -171,7 +171,7 @@ def test_packing_and_marks():
     assert marks.has(x).all() and marks.has(x + np.uint64(1)).mean() < 0.2
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in queries() if n != "pipeline" and n not in oracles.SQL])
 def test_queries_run(spark, name):
     out = queries()[name](spark, SF)
     key = {"op1_embedding_dedup": "embeddings", "op7_html_extraction": "pages"}.get(name, "documents")
