@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,17 +315,18 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     texts = written.where("kind = 1").select("run", "doc", "id", "text")
     answers = written.where("kind = 3").select("run", "r", "n", "first", "blob").groupBy("r").applyInArrow(answer, "run long, n int, blob binary")
     own = written.where("kind = 2").select("run", "n", "first", "blob", "ids")
-    claims = tables.cut(own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda o, a: claims_of(o, a, width), CLAIM))
+    # Claims are kept on the executors' disks till they are checked; if some are lost, they are worked out again from the written tables.
+    claims = own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda o, a: claims_of(o, a, width), CLAIM).persist(StorageLevel.DISK_ONLY)
     mine = claims.withColumn("mine", F.lit(True))
     theirs = claims.select(F.col("s_run").alias("run"), F.col("s_doc").alias("doc"), F.col("s_start").alias("start"), "words", "s_run", "s_doc", "s_start").distinct().withColumn("mine", F.lit(False))
     done = tables.cut(by_run(texts, mine.unionByName(theirs), full))
     digests = done.where("digest IS NOT NULL").groupBy("s_run", "s_doc", "s_start", "words").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    failed = tables.cut(digests.where("a <> b").select("s_run", "s_doc", "s_start", "words"))
+    failed = digests.where("a <> b").select("s_run", "s_doc", "s_start", "words")
     results = done.where("id IS NOT NULL")
     if not failed.isEmpty():
-        anew = tables.cut(judged_by_words(tables, texts, claims, failed, width, bits, many, full))
+        anew = tables.cut(judged_by_words(tables, texts, claims, tables.cut(failed), width, bits, many, full))
         results = results.join(anew.select("run", "doc"), ["run", "doc"], "left_anti").unionByName(anew, allowMissingColumns=True)
-    tables.drop(claims)
+    claims.unpersist()
     columns = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if full else [])]
     plain = written.where("kind = 0").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept"))
     return plain.select(*columns).unionByName(results.select(*columns))
