@@ -65,7 +65,12 @@ def looked_up(rows: DataFrame, key: str, other: str, found: DataFrame, heavy: Da
     return out.select(*rows.columns, F.when(F.col("__light"), F.col("m")).otherwise(F.col("__m")).alias("m"))
 
 
-def connected(tables: Tables, links: DataFrame) -> DataFrame:
+def downward(links: DataFrame) -> DataFrame:
+    """Each link (u, v) once, from the larger node to the smaller; none from a node to itself."""
+    return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
+
+
+def connected(tables: Tables, links: DataFrame, ready: bool = False) -> DataFrame:
     """(node, component): the least node that each node of links (u, v) reaches, for nodes that have a link.
 
     Alternates the large-star and small-star steps (Kiveris and others, "Connected Components in MapReduce and Beyond",
@@ -73,10 +78,10 @@ def connected(tables: Tables, links: DataFrame) -> DataFrame:
     neighbour of v, small-star sends u and its neighbours to the least of these. A step takes a minimum for each node,
     which is combined before the shuffle, and looks it up for the links; links of heavy nodes are spread. Nodes with
     more than 1 / partitions of the links are heavy, so there are at most twice as many as partitions. Each round is
-    written to the shared folder.
+    written to the shared folder. ready: links are a table of tables.cut() made by downward(), which stays.
     """
     tell = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    now = tables.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    now = first = links if ready else tables.cut(downward(links))
     seen = tell(now)
     while seen[0]:
         heavy = {end: heavy_keys(now.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, seen[0]) for end in "uv"}
@@ -84,9 +89,10 @@ def connected(tables: Tables, links: DataFrame) -> DataFrame:
         large = looked_up(now, "v", "u", least, heavy["v"]).select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = looked_up(large, "u", "v", least, heavy["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
-        past, now = now, tables.cut(small)
+        past, now = now, tables.cut(small, seen[0])
         found = tell(now)
-        tables.drop(past)
+        if past is not first or not ready:
+            tables.drop(past)
         if found == seen:
             break
         seen = found

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.components import Groups, connected, heavy_keys, looked_up
+from schemaloom.llm.components import Groups, connected, downward, heavy_keys, looked_up
 from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
 from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, unpack
 
@@ -320,9 +320,9 @@ def forest_of(line: np.ndarray, groups: Groups) -> pa.Table:
 
 def with_sizes(tables: Tables, found: DataFrame) -> DataFrame:
     """(node, component, m): components with the number of their nodes; large ones are looked up apart."""
-    found = tables.cut(found)
-    counts = tables.cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    return tables.cut(looked_up(found, "component", "node", counts.select(F.col("component").alias("k"), F.col("n").alias("m")), heavy_keys(counts, "component", found.count())))
+    counts = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    rows = found.count()
+    return tables.cut(looked_up(found, "component", "node", counts.select(F.col("component").alias("k"), F.col("n").alias("m")), heavy_keys(counts, "component", rows)), rows)
 
 
 def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, similarity: float, sets_of: Callable[[list[str]], list[np.ndarray]] = shingle_sets) -> DataFrame:
@@ -398,8 +398,8 @@ def removed(tables: Tables, rows: DataFrame, similarity: float) -> DataFrame:
     many = ranges(rows)
     size = max(64, FILTER_BYTES // many)
     known = rows.where("id IS NOT NULL")
-    links = tables.cut(candidates(known, many))
-    found = with_sizes(tables, connected(tables, links))
+    links = tables.cut(downward(candidates(known, many)))
+    found = with_sizes(tables, connected(tables, links, True))
     marks = filter_of(found, "node", many, size)
     sent = tables.spark.sparkContext.broadcast((size, marks.bits.tobytes()))
     again = tables.cut(second_reading(known, sent, many))
@@ -408,9 +408,9 @@ def removed(tables: Tables, rows: DataFrame, similarity: float) -> DataFrame:
     occurring = tables.cut(occurrences(again.where("r IS NOT NULL").select("r", "n", "blob"), sent, many))
     lines = occurring.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "number")).alias("first"))
     led = tables.cut(lines.join(sure, lines["line"] == sure["node"], "left").select("line", "n", "first", F.coalesce("component", "line").alias("root")))
-    heads = tables.cut(led.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).where("all > 1"))
+    heads = led.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).where("all > 1")
     led = looked_up(led.select("line", "root"), "root", "line", heads.select(F.col("root").alias("k"), F.col("head").alias("m")), heavy_keys(heads, "root", led.count()))
-    lost = tables.cut(led.where("m IS NOT NULL").select(F.col("line").alias("__line"), F.col("m").alias("head")))
+    lost = led.where("m IS NOT NULL").select(F.col("line").alias("__line"), F.col("m").alias("head"))
     gone = occurring.join(lost, occurring["line"] == lost["__line"]).where(F.struct("id", "tag", "number") != F.col("head"))
     return gone.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("number")).alias("numbers"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.components import Groups, connected
+from schemaloom.llm.components import Groups, connected, downward
 from schemaloom.llm.line_dedup import verified, with_sizes
 from schemaloom.llm.words import mixed, span_hashes, window_hashes
 from schemaloom.llm.work import Tables, as_bytes, partitions
@@ -199,8 +199,8 @@ def headed(tables: Tables, docs: DataFrame, similarity: float, id_col: str, text
     prints = tables.cut(fingerprints(rows, "id", "text", WIDTH, PARTS, ("tag",)))
     # Equal texts are one class; its text is that of its least id.
     classes = tables.cut(prints.groupBy(*names, "tag").agg(F.min("id").alias("first")).withColumn("ones", F.bit_count("fp").cast("int")).withColumn("node", F.monotonically_increasing_id()))
-    links = tables.cut(candidate_links(classes, names, RADIUS, MOST))
-    found = with_sizes(tables, connected(tables, links))
+    links = tables.cut(downward(candidate_links(classes, names, RADIUS, MOST)))
+    found = with_sizes(tables, connected(tables, links, True))
     about = classes.join(found, "node").select(F.col("first").alias("__i"), F.col("tag").alias("__t"), F.col("node").alias("line"), "component", "m")
     texts = rows.join(about, (rows["id"] == about["__i"]) & (rows["tag"] == about["__t"])).dropDuplicates(["line"]).select("line", "component", "m", "text")
     sure = connected(tables, verified(texts, links, tables, partitions(tables.spark), similarity, word_sets))

@@ -35,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Short rows of a file, at least, where their number is known.
+FILE_ROWS = 1 << 16
+
+
 class Tables:
     """Tables of one run under the shared folder. cut() writes a frame and reads it back, so that what follows starts from files that outlive executors.
 
@@ -61,8 +65,11 @@ class Tables:
             for t in made:
                 t._remove(t.root)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: how many short rows there are, about, if that is known; few of them go into few files."""
         self.n += 1
+        if rows is not None and rows // FILE_ROWS < partitions(self.spark):
+            df = df.coalesce(rows // FILE_ROWS + 1)
         path = f"{self.root}/t{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
