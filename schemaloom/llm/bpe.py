@@ -78,25 +78,29 @@ class Automaton:
         self._tabulate()
 
     def _tabulate(self) -> None:
-        """The table of transitions: rows of 256, of which each entry is the place of the next state's row."""
+        """The table of transitions, in rows of 256 states. States that no longer beginning follows share the row of their longest proper ending."""
         starts = sorted({label[:n] for label in self.arcs for n in range(len(label) + 1)}, key=lambda x: (len(x), x))
         number = {x: i for i, x in enumerate(starts)}
         parent, byte, depth = (np.array([f(x) for x in starts]) for f in (lambda x: number[x[:-1]], lambda x: x[-1] if x else 0, len))
-        table, fail = np.zeros((len(starts), 256), np.int32), np.zeros(len(starts), np.int64)
+        inner = np.zeros(len(starts), bool)
+        inner[parent] = True
+        row, fail = np.cumsum(inner) - 1, np.zeros(len(starts), np.int64)
+        table = np.zeros((int(inner.sum()), 256), np.int32)
         ends = np.array([self.arcs.get(x, -1) for x in starts])  # the longest label that ends at a state
         levels = np.searchsorted(depth, np.arange(depth[-1] + 2))
         for d in range(depth[-1] + 1):
             own = np.arange(levels[d], levels[d + 1])
             if d > 1:  # where the longest proper ending of a state's bytes leads
-                fail[own] = table[fail[parent[own]], byte[own]]
+                fail[own] = table[row[fail[parent[own]]], byte[own]]
             if d:
-                table[own] = table[fail[own]]
+                row[own] = np.where(inner[own], row[own], row[fail[own]])
+                some = own[inner[own]]
+                table[row[some]] = table[row[fail[some]]]
                 ends[own] = np.where(ends[own] < 0, ends[fail[own]], ends[own])
-            if d <= depth[-1] - 1:
+            if d < depth[-1]:
                 after = np.arange(levels[d + 1], levels[d + 2])
-                table[parent[after], byte[after]] = after
-        self.table = memoryview((table.ravel() << 8).astype(np.int32))
-        self.ends = ends.tolist()
+                table[row[parent[after]], byte[after]] = after
+        self.table, self.rows, self.ends = memoryview(table.reshape(-1)), (row * 256).tolist(), ends.tolist()
         #: For each label the longest other one that it ends with.
         self.shorter = [-1] * len(self.labels)
         for label, i in self.arcs.items():
@@ -121,7 +125,7 @@ class Automaton:
     def arc(self, state: int, label: int) -> bool:
         key = state << 20 | label
         if (found := self.known.get(key)) is None:
-            if len(self.known) > 4_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             found = self.known[key] = self._arc(state, label)
         return found
@@ -130,14 +134,14 @@ class Automaton:
         """The labels of the one path that spells the word."""
         if (whole := self.arcs.get(word)) is not None:  # a live label spells its own bytes
             return [whole]
-        table, ends, shorter, sizes, known = self.table, self.ends, self.shorter, self.sizes, self.known
+        table, rows, ends, shorter, sizes, known = self.table, self.rows, self.ends, self.shorter, self.sizes, self.known
         if len(self.spelled) < 256 and (odd := word.translate(None, self.spelled)):
             raise ValueError(f"no arc spells byte {odd[0]}")
-        row, last, at = 0, [0], 0
+        state, last, at = 0, [0], 0
         for byte in word:
             at += 1
-            row = table[row + byte]
-            label = ends[row >> 8]
+            state = table[rows[state] + byte]
+            label = ends[state]
             while (start := at - sizes[label]) > 0:
                 key = last[start] << 20 | label
                 if (has := known.get(key)) is None:
