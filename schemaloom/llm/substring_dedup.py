@@ -311,7 +311,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = gathered_marks(anchors(rows.where("id IS NOT NULL"), width, many, size), many, size)
     sent = spark.sparkContext.broadcast((size, marks.bits.tobytes()))
-    written = tables.cut(probe(rows, sent, width, bits, many, full))
+    written = tables.cut(probe(rows, sent, width, bits, many, full), codec="zstd")
     texts = written.where("kind = 1").select("run", "doc", "id", "text")
     answers = written.where("kind = 3").select("run", "r", "n", "first", "blob").groupBy("r").applyInArrow(answer, "run long, n int, blob binary")
     own = written.where("kind = 2").select("run", "n", "first", "blob", "ids")
