@@ -347,10 +347,10 @@ def verified(lines: DataFrame, links: DataFrame, tables: Tables, many: int, simi
     # Lines that share a bucket's least line, with the number of tiles that they fill. Leads of many lines are looked up apart.
     shared = links.select(F.col("u").alias("line"), F.col("v").alias("lead")).unionByName(links.select(F.col("v").alias("line"), F.col("v").alias("lead")).distinct())
     shared = tables.cut(large.select("line").join(shared, "line").distinct())
-    counts = tables.cut(shared.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
-    heavy = heavy_keys(counts, "lead", shared.count())
+    counts, rows = shared.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), shared.count()
+    heavy = heavy_keys(counts, "lead", rows)
     shared = looked_up(shared, "lead", "line", counts.select(F.col("lead").alias("k"), F.ceil(F.col("n") / TILE).cast("int").alias("m")), heavy).withColumnRenamed("m", "tiles")
-    shared = tables.cut(shared.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")))
+    shared = tables.cut(shared.withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int")), rows)
     texts = large.withColumnRenamed("line", "__line")
     first = shared.where("line = lead").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     first = first.unionByName(shared.where("line <> lead")).join(texts, F.col("line") == F.col("__line")).select("lead", "tile", "line", "text")
