@@ -42,7 +42,7 @@ WIDTH = 50
 #: Windows that a task gathers before it sends them, and bytes of the filters.
 GATHER, FILTER_BYTES = 3 << 20, 16 << 20
 #: Text of a run.
-RUN_BYTES = 6 << 20
+RUN_BYTES = 3 << 20
 #: A probe's record: 44 bits of hash, then 19 of the document within the gathered run, then whether it is a block.
 DOC_BITS = 19
 

@@ -20,7 +20,7 @@ class Kept(dict):
 #: Powers that were worked out before, by base; a task uses them slice after slice.
 KNOWN = Kept()
 #: So many are worked out at once and kept; a longer run's are worked out for that run only.
-MOST_KNOWN = (2 << 20) + 1
+MOST_KNOWN = (1 << 20) + 1
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

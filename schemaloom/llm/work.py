@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that the numpy code looks at in one go; a longer single text is looked at whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 #: By application, the folder of a Spark in one process that names none; a running session's setting can't be changed.
