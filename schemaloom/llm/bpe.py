@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.work import slices
+from schemaloom.llm.work import give_back, slices, tidy
 
 #: Fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps at most; beyond that it begins anew.
 KEPT_WORDS = 400_000
+#: Answers about arcs that are kept, each in a place of its own; a new one replaces what was there.
+KEPT_ARCS = 1 << 19
 NEVER = 1 << 40
 
 
@@ -65,7 +68,7 @@ class Automaton:
             self.labels[i] = w.encode()
         self.born, self.head, self.tail = [0] * size, list(range(size)), list(range(size))
         self.cut: dict[int, int] = {}
-        self.known: dict[int, bool] = {}
+        self.known = array("q", [-1]) * KEPT_ARCS  # (state, label) twice, and one more if there is an arc
         alive = {vocab[w] for w, label in spelled.items() if len(label) == 1}
         for time, pair in enumerate(model["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -78,29 +81,37 @@ class Automaton:
         self._tabulate()
 
     def _tabulate(self) -> None:
-        """The table of transitions, in rows of 256 states. States that no longer beginning follows share the row of their longest proper ending."""
+        """The table of transitions: a row names 16 blocks of 16 states. States that no longer beginning follows share the row of their longest proper ending; rows share the blocks in which they don't differ."""
         starts = sorted({label[:n] for label in self.arcs for n in range(len(label) + 1)}, key=lambda x: (len(x), x))
         number = {x: i for i, x in enumerate(starts)}
         parent, byte, depth = (np.array([f(x) for x in starts]) for f in (lambda x: number[x[:-1]], lambda x: x[-1] if x else 0, len))
         inner = np.zeros(len(starts), bool)
         inner[parent] = True
         row, fail = np.cumsum(inner) - 1, np.zeros(len(starts), np.int64)
-        table = np.zeros((int(inner.sum()), 256), np.int32)
+        index = np.zeros((int(inner.sum()), 16), np.int32)  # of each row the numbers of its blocks
+        blocks, many = np.zeros((len(starts), 16), np.int32), 1  # the first leads to the empty beginning
+        to = lambda rows, bytes_: blocks[index[rows, bytes_ >> 4], bytes_ & 15]
         ends = np.array([self.arcs.get(x, -1) for x in starts])  # the longest label that ends at a state
         levels = np.searchsorted(depth, np.arange(depth[-1] + 2))
         for d in range(depth[-1] + 1):
             own = np.arange(levels[d], levels[d + 1])
             if d > 1:  # where the longest proper ending of a state's bytes leads
-                fail[own] = table[row[fail[parent[own]]], byte[own]]
+                fail[own] = to(row[fail[parent[own]]], byte[own])
             if d:
                 row[own] = np.where(inner[own], row[own], row[fail[own]])
                 some = own[inner[own]]
-                table[row[some]] = table[row[fail[some]]]
+                index[row[some]] = index[row[fail[some]]]
                 ends[own] = np.where(ends[own] < 0, ends[fail[own]], ends[own])
             if d < depth[-1]:
                 after = np.arange(levels[d + 1], levels[d + 2])
-                table[row[parent[after]], byte[after]] = after
-        self.table, self.rows, self.ends = memoryview(table.reshape(-1)), (row * 256).tolist(), ends.tolist()
+                changed, which = np.unique(row[parent[after]] * 16 + (byte[after] >> 4), return_inverse=True)
+                new = blocks[index.reshape(-1)[changed]]
+                new[which, byte[after] & 15] = after
+                blocks[many : many + len(new)] = new
+                index.reshape(-1)[changed] = np.arange(many, many + len(new))
+                many += len(new)
+        self.index, self.table = array("i", (index * 16).tobytes()), array("i", blocks[:many].tobytes())
+        self.rows, self.ends = (row * 16).tolist(), ends.tolist()
         #: For each label the longest other one that it ends with.
         self.shorter = [-1] * len(self.labels)
         for label, i in self.arcs.items():
@@ -124,29 +135,26 @@ class Automaton:
 
     def arc(self, state: int, label: int) -> bool:
         key = state << 20 | label
-        if (found := self.known.get(key)) is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[key] = self._arc(state, label)
-        return found
+        has = self._arc(state, label)
+        self.known[(key ^ key >> 13) & KEPT_ARCS - 1] = key << 1 | has
+        return has
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the one path that spells the word."""
         if (whole := self.arcs.get(word)) is not None:  # a live label spells its own bytes
             return [whole]
-        table, rows, ends, shorter, sizes, known = self.table, self.rows, self.ends, self.shorter, self.sizes, self.known
+        index, table, rows, ends, shorter, sizes, known, places = self.index, self.table, self.rows, self.ends, self.shorter, self.sizes, self.known, KEPT_ARCS - 1
         if len(self.spelled) < 256 and (odd := word.translate(None, self.spelled)):
             raise ValueError(f"no arc spells byte {odd[0]}")
         state, last, at = 0, [0], 0
         for byte in word:
             at += 1
-            state = table[rows[state] + byte]
+            state = table[index[rows[state] + (byte >> 4)] + (byte & 15)]
             label = ends[state]
             while (start := at - sizes[label]) > 0:
                 key = last[start] << 20 | label
-                if (has := known.get(key)) is None:
-                    has = self.arc(last[start], label)
-                if has:
+                noted = known[(key ^ key >> 13) & places]
+                if noted & 1 if noted >> 1 == key else self.arc(last[start], label):
                     break
                 label = shorter[label]
             last.append(label)
@@ -199,6 +207,7 @@ class Codecs(dict):
     def __missing__(self, file: str) -> Codec:
         self.clear()
         self[file] = Codec(Automaton(json.loads(file)))
+        give_back()  # what earlier stages and the making of the tables have left
         return self[file]
 
     def __reduce__(self):
@@ -240,4 +249,4 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x, kinds[c][1]) for c, x in out.items()], names=[*keep, *made])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {k}" for c, (k, _) in kinds.items())])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), schema)

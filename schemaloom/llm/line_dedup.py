@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.components import Groups, connected, downward, heavy_keys, looked_up
 from schemaloom.llm.words import IS_SPACE, inverse, mixed, powers, span_hashes, sums
-from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, unpack
+from schemaloom.llm.work import Marks, Tables, buffers, by_range, filter_of, pack, partitions, ranges, rises, slices, tidy, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 14, 4, 0.8
 TILE, SMALL = 256, 64
@@ -170,7 +170,7 @@ def candidates(rows: DataFrame, many: int) -> DataFrame:
         pairs = np.unique(np.stack([lines[other], least[other]], axis=1), axis=0)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return rows.select("text").mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(star, "u long, v long")
+    return rows.select("text").mapInArrow(tidy(send), "r int, n int, blob binary").groupBy("r").applyInArrow(star, "u long, v long")
 
 
 def second_reading(rows: DataFrame, marks, many: int) -> DataFrame:
@@ -211,7 +211,7 @@ def second_reading(rows: DataFrame, marks, many: int) -> DataFrame:
         if count:
             yield flush()
 
-    return rows.mapInArrow(run, "r int, n int, blob binary, line long, text string")
+    return rows.mapInArrow(tidy(run), "r int, n int, blob binary, line long, text string")
 
 
 def occurrences(blobs: DataFrame, marks, many: int) -> DataFrame:

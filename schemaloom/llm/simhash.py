@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from schemaloom.llm.components import Groups, connected, downward
 from schemaloom.llm.line_dedup import verified, with_sizes
 from schemaloom.llm.words import mixed, span_hashes, window_hashes
-from schemaloom.llm.work import Tables, as_bytes, partitions
+from schemaloom.llm.work import Tables, as_bytes, partitions, tidy
 
 LEAST_TILE, MOST_TILE, TILES = 4096, 65536, 24
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(parts))], names=["id", *keep, *names])
 
     schema = ", ".join(["id long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in names)])
-    return docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def near(a: np.ndarray, b: np.ndarray | None, radius: int, more=None, most: int = 0, rows: int = 128, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:

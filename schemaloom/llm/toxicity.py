@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.work import give_back
+from schemaloom.llm.work import give_back, tidy
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 SHORTEST, LONGEST = 3, 8
@@ -243,7 +243,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str,
 
     kinds = ("double", "int", "boolean")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -19,16 +19,18 @@ class Kept(dict):
 
 #: Powers that were worked out before, by base; a task uses them slice after slice.
 KNOWN = Kept()
-#: So many are worked out at once and kept; a longer run's are worked out for that run only.
+#: So many are kept at most; a longer run's are worked out for that run only.
 MOST_KNOWN = (1 << 20) + 1
+#: Bytes, or words, that are hashed in one go, so that work arrays stay small; a hash doesn't depend on where its span lies.
+PIECE = 1 << 17
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     if n > MOST_KNOWN:
         return raised(base, n)
-    if int(base) not in KNOWN:
-        KNOWN[int(base)] = raised(base, MOST_KNOWN)
+    if len(KNOWN.get(int(base), ())) < max(n, 1):
+        KNOWN[int(base)] = raised(base, min(max(PIECE + 1, 2 * n), MOST_KNOWN))
     return KNOWN[int(base)][: max(n, 1)]
 
 
@@ -78,20 +80,25 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    pw = powers(BASE, len(data))
-    c = sums((data.astype(np.uint64) + np.uint64(1)) * pw)
-    pi = powers(inverse(BASE), len(data))
-    h = (c[ends] - c[starts]) * pi[starts]
-    return mixed(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """A 64-bit hash of each span of bytes, in order of starts; equal spans have equal hashes."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        low, high = int(starts[at]), int(ends[at:end].max())
+        c = sums((data[low:high].astype(np.uint64) + np.uint64(1)) * powers(BASE, high - low)[: high - low])
+        first, last = starts[at:end] - low, ends[at:end] - low
+        h = (c[last] - c[first]) * powers(inverse(BASE), high - low + 1)[first]
+        out[at:end] = mixed(h ^ ((last - first).astype(np.uint64) << np.uint64(48)))
+        at = end
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every run of width word hashes (len - width + 1 of them; text bounds are up to the caller)."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    c = sums(hashes * powers(STEP, len(hashes)))
-    return mixed((c[width:] - c[:n]) * powers(inverse(STEP), len(hashes))[:n])
+    out = np.empty(max(len(hashes) - width + 1, 0), np.uint64)
+    for at in range(0, len(out), PIECE):
+        some = hashes[at : at + PIECE + width - 1]
+        n = len(some) - width + 1
+        c = sums(some * powers(STEP, len(some)))
+        out[at : at + n] = mixed((c[width:] - c[:n]) * powers(inverse(STEP), len(some))[:n])
+    return out

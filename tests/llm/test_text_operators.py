@@ -1,9 +1,11 @@
 """Operators on documents against plain versions, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm import bpe, line_dedup, lm_score, mixing, quality_rules, simhash, substring_dedup, toxicity
 from schemaloom.llm.queries import table, vocabulary
+from schemaloom.llm.words import span_hashes, window_hashes, word_places
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -404,6 +407,44 @@ def test_bpe_automaton_against_the_library():
         assert codec.decode(code).decode() == tok.decode(e.ids, skip_special_tokens=False)
 
 
+def peak_mb(run):
+    """MB that a call takes at most, and what it returns."""
+    gc.collect()
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most, out
+
+
+def test_tokenizer_tables_take_little_memory():
+    """Each worker of an executor holds them beside its JVM."""
+    file = bpe.read_file(vocabulary())
+
+    def made():
+        machine = bpe.Automaton(file)
+        for n in range(300_000):  # answers about arcs are kept beside the tables
+            machine.arc(n % 50_000, n // 6)
+        return machine, tracemalloc.get_traced_memory()[0] / 1e6
+
+    most, (_, kept) = peak_mb(made)
+    assert kept < 60 and most < 90, (kept, most)
+
+
+def test_hashes_of_long_texts_take_little_memory():
+    """Equal spans and windows have equal hashes wherever they lie, a very long word too."""
+    text = [b"w" * 400_000, *(b"%d" % (k % 70_000) for k in range(350_000)), b"w" * 400_000]
+    data = np.frombuffer(b" ".join(text), np.uint8)
+    starts, ends, _ = word_places(data, np.array([0, len(data)]))
+    most, hashes = peak_mb(lambda: span_hashes(data, starts, ends))
+    assert most < 60, most
+    assert hashes[0] == hashes[-1] and (hashes[1:280_001] == hashes[70_001:-1]).all() and len(np.unique(hashes)) == 70_001
+    assert (hashes[[0, 5]] == [span_hashes(np.frombuffer(w, np.uint8), np.zeros(1, int), np.array([len(w)]))[0] for w in (text[0], text[5])]).all()
+    most, wide = peak_mb(lambda: window_hashes(hashes, 50))
+    assert most < 12, most
+    assert len(wide) == len(hashes) - 49 and (wide[1:279_952] == wide[70_001:349_952]).all() and len(np.unique(wide)) == 70_000 + 2
+
+
 def test_automaton_by_gadgets_on_a_toy_vocabulary():
     """Against the definition: merge the leftmost pair of the least rank until none is left."""
     merges = [("a", "b"), ("a", "a"), ("ab", "a"), ("b", "b"), ("aa", "b"), ("ab", "ab")]
