@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.words import span_hashes, window_hashes, word_places
-from schemaloom.llm.work import Marks, Tables, as_bytes, buffers, by_range, filter_of, gathered_marks, pack, ranges, rises, slices, unpack
+from schemaloom.llm.work import Marks, Tables, as_bytes, buffers, by_range, filter_of, gathered_marks, pack, ranges, rises, slices, tidy, unpack
 
 WIDTH = 50
 #: Windows that a task gathers before it sends them, and bytes of the filters.
 GATHER, FILTER_BYTES = 3 << 20, 16 << 20
+#: Windows that are looked at in one go.
+PIECE = 1 << 17
 #: Text of a run.
 RUN_BYTES = 3 << 20
 #: A probe's record: 44 bits of hash, then 19 of the document within the gathered run, then whether it is a block.
@@ -62,6 +64,17 @@ def passages(hashes: np.ndarray, width: int, bits: int) -> np.ndarray:
     return out if bits == 64 else out & ~np.uint64((1 << 64 - bits) - 1)
 
 
+def in_pieces(records: np.ndarray, many: int) -> Iterator[np.ndarray]:
+    """Sorted records in runs of whole hash ranges, of PIECE records or of one range."""
+    at = 0
+    while at < len(records):
+        after, end = int(Marks.range_of(records[min(at + PIECE, len(records)) - 1 :][:1], many)[0]) + 1, len(records)
+        if after < many:
+            end = int(np.searchsorted(records, np.uint64(-((-after << 32) // many) << 32)))  # the least hash of the range after
+        yield records[at:end]
+        at = end
+
+
 def anchors(rows: DataFrame, width: int, many: int, size: int) -> DataFrame:
     """(r, bits): the filter's segments of blocks that occur in two documents."""
     block = width // 2
@@ -71,18 +84,21 @@ def anchors(rows: DataFrame, width: int, many: int, size: int) -> DataFrame:
         count = docs = 0
 
         def flush():
-            records = np.sort(np.concatenate(kept))
-            keys = records >> np.uint64(DOC_BITS + 1)
-            at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-            last = np.append(at[1:], len(keys)) - 1
-            doc = (records >> np.uint64(1)) & np.uint64((1 << DOC_BITS) - 1)
-            flags = (doc[at] != doc[last]).astype(np.uint64) * np.uint64(2) | np.bitwise_or.reduceat(records & np.uint64(1), at)
-            whole = keys[at] << np.uint64(DOC_BITS + 1)
+            sorted_ = np.concatenate(kept)
+            kept.clear()
+            sorted_.sort()
             rs, ns, blobs = [], [], []
-            for r, part in by_range(whole, many):
-                rs.append(r)
-                ns.append(part.stop - part.start)
-                blobs.append(pack(rises(keys[at[part]] << np.uint64(2) | flags[part])))
+            for records in in_pieces(sorted_, many):
+                keys = records >> np.uint64(DOC_BITS + 1)
+                at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+                last = np.append(at[1:], len(keys)) - 1
+                doc = (records >> np.uint64(1)) & np.uint64((1 << DOC_BITS) - 1)
+                flags = (doc[at] != doc[last]).astype(np.uint64) * np.uint64(2) | np.bitwise_or.reduceat(records & np.uint64(1), at)
+                whole = keys[at] << np.uint64(DOC_BITS + 1)
+                for r, part in by_range(whole, many):
+                    rs.append(r)
+                    ns.append(part.stop - part.start)
+                    blobs.append(pack(rises(keys[at[part]] << np.uint64(2) | flags[part])))
             return pa.RecordBatch.from_arrays([pa.array(rs, pa.int32()), pa.array(ns, pa.int32()), pa.array(blobs, pa.binary())], names=["r", "n", "blob"])
 
         for whole in batches:
@@ -115,7 +131,7 @@ def anchors(rows: DataFrame, width: int, many: int, size: int) -> DataFrame:
         shared = (flags & np.uint64(1) > 0) & ((count > 1) | (flags & np.uint64(2) > 0))
         return pa.table({"r": table.column("r")[:1], "bits": pa.array([Marks.segment(keys[at[shared]] << np.uint64(DOC_BITS + 1), size)], pa.binary())})
 
-    return rows.select("text").mapInArrow(send, "r int, n int, blob binary").groupBy("r").applyInArrow(find, "r int, bits binary")
+    return rows.select("text").mapInArrow(tidy(send), "r int, n int, blob binary").groupBy("r").applyInArrow(find, "r int, bits binary")
 
 
 def sha(words: list[bytes]) -> str:
@@ -161,8 +177,9 @@ def probe(rows: DataFrame, marks, width: int, bits: int, many: int, full: bool)
                 has[doc] = True
                 none, some = batch.take(pa.array(np.flatnonzero(~has))), batch.take(pa.array(np.flatnonzero(has)))
                 if none.num_rows:
-                    texts = [x.split() for x in as_bytes(none.column("text"))]
-                    yield made(none.num_rows, kind=0, id=none.column("id"), n_words=[len(w) for w in texts], kept_sha256=[sha(w) for w in texts], text=[b" ".join(w).decode() for w in texts] if full else None)
+                    answers = [(len(w), sha(w), b" ".join(w).decode() if full else None) for w in map(bytes.split, as_bytes(none.column("text")))]
+                    n_words, shas, texts = map(list, zip(*answers, strict=True))
+                    yield made(none.num_rows, kind=0, id=none.column("id"), n_words=n_words, kept_sha256=shas, text=texts if full else None)
                 if not some.num_rows:
                     continue
                 yield made(some.num_rows, kind=1, run=run, doc=np.arange(some.num_rows), id=some.column("id"), text=some.column("text"))
@@ -175,7 +192,7 @@ def probe(rows: DataFrame, marks, width: int, bits: int, many: int, full: bool)
                 parts = list(by_range(keys, many))
                 yield made(len(parts), kind=3, run=run, r=[r for r, _ in parts], n=[p.stop - p.start for _, p in parts], first=[p.start for _, p in parts], blob=[pack(rises(keys[p]), ids[doc[least[p]]], doc[least[p]], place[least[p]]) for _, p in parts])
 
-    return rows.mapInArrow(send, ", ".join(f"{c} {SPARK[t]}" for c, t in WRITTEN.items()))
+    return rows.mapInArrow(tidy(send), ", ".join(f"{c} {SPARK[t]}" for c, t in WRITTEN.items()))
 
 
 def first_of(number: np.ndarray, ids: np.ndarray, *ties: np.ndarray) -> np.ndarray:
@@ -304,6 +321,16 @@ def judged_by_words(tables: Tables, texts: DataFrame, claims: DataFrame, failed:
     return by_run(texts.join(docs, ["run", "doc"]), needs, full).where("id IS NOT NULL")
 
 
+#: Bytes of the table's files that are written to one file, at least, if every core has work; bytes of such a file's row groups.
+FILE_BYTES, GROUP_BYTES = 128 << 20, 16 << 20
+
+
+def few_files(rows: DataFrame) -> int:
+    """How many tasks write a table that is read once more: executors start processes for each folder and file that they write, and a file for every few MB is too many for a large table, too."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 20))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", full: bool = True, bits: int = 64) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256 and, if full, kept): a row for each row of docs, read from work tables; kept is the words that stay, joined by one space. With fewer bits of the windows' hashes more of them agree by chance, and the result is the same."""
     many, tables = ranges(docs), Tables(spark, "substring")
@@ -311,7 +338,8 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = gathered_marks(anchors(rows.where("id IS NOT NULL"), width, many, size), many, size)
     sent = spark.sparkContext.broadcast((size, marks.bits.tobytes()))
-    written = tables.cut(probe(rows, sent, width, bits, many, full), codec="zstd")
+    few = few_files(docs)
+    written = tables.cut(probe(rows.coalesce(few), sent, width, bits, many, full), codec="zstd", group=GROUP_BYTES)
     texts = written.where("kind = 1").select("run", "doc", "id", "text")
     answers = written.where("kind = 3").select("run", "r", "n", "first", "blob").groupBy("r").applyInArrow(answer, "run long, n int, blob binary")
     own = written.where("kind = 2").select("run", "n", "first", "blob", "ids")
@@ -319,7 +347,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     claims = own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(lambda o, a: claims_of(o, a, width), CLAIM).persist(StorageLevel.DISK_ONLY)
     mine = claims.withColumn("mine", F.lit(True))
     theirs = claims.select(F.col("s_run").alias("run"), F.col("s_doc").alias("doc"), F.col("s_start").alias("start"), "words", "s_run", "s_doc", "s_start").distinct().withColumn("mine", F.lit(False))
-    done = tables.cut(by_run(texts, mine.unionByName(theirs), full))
+    done = tables.cut(by_run(texts, mine.unionByName(theirs), full).coalesce(few))
     digests = done.where("digest IS NOT NULL").groupBy("s_run", "s_doc", "s_start", "words").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
     failed = digests.where("a <> b").select("s_run", "s_doc", "s_start", "words")
     results = done.where("id IS NOT NULL")
@@ -329,4 +357,4 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, id_col: str
     claims.unpersist()
     columns = ["id", "n_words", "n_removed", "kept_sha256", *(["kept"] if full else [])]
     plain = written.where("kind = 0").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept"))
-    return plain.select(*columns).unionByName(results.select(*columns))
+    return plain.select(*columns).unionByName(results.select(*columns)).coalesce(few)

@@ -65,13 +65,13 @@ class Tables:
             for t in made:
                 t._remove(t.root)
 
-    def cut(self, df: DataFrame, rows: int | None = None, codec: str = "snappy") -> DataFrame:
-        """rows: how many short rows there are, about, if that is known; few of them go into few files. codec: Parquet's compression; zstd for tables that hold texts."""
+    def cut(self, df: DataFrame, rows: int | None = None, codec: str = "snappy", group: int = 128 << 20) -> DataFrame:
+        """rows: how many short rows there are, about, if that is known; few of them go into few files. codec: Parquet's compression; zstd for tables that hold texts. group: bytes of a row group, which a task holds till it is full."""
         self.n += 1
         if rows is not None and rows // FILE_ROWS < partitions(self.spark):
             df = df.coalesce(rows // FILE_ROWS + 1)
         path = f"{self.root}/t{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", group).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, line_dedup, lm_score, mixing, quality_rules, simhash, substring_dedup, toxicity
+from schemaloom.llm import bpe, line_dedup, lm_score, mixing, quality_rules, simhash, substring_dedup, toxicity, work
 from schemaloom.llm.queries import table, vocabulary
 from schemaloom.llm.words import span_hashes, window_hashes, word_places
 
@@ -121,6 +121,32 @@ def plain_components(nodes, near):
     return {n: top(n) for n in nodes}
 
 
+def test_many_small_files_of_documents_don_t_make_many_work_files(spark, docs, tmp_path, monkeypatch):
+    """Executors start processes for each folder and file that they write."""
+    monkeypatch.setattr(work, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs.select("doc_id", "text").repartition(40).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = substring_dedup.dedup(spark, spark.read.parquet(f"{tmp_path}/docs"), full=False)
+        most = 2 * spark.sparkContext.defaultParallelism
+        assert got.rdd.getNumPartitions() <= most
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tables = list(tmp_path.glob("*/t*"))
+    assert len(tables) == 2 and all(len(list(t.glob("*.parquet"))) <= most for t in tables)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, substring_dedup.dedup(spark, docs, full=False).collect()))
+
+
+def test_pieces_hold_whole_ranges():
+    records = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 400_000, np.uint64))
+    records[1000:200_000] = records[1000]  # one range that is larger than a piece
+    for many in (1, 7, 51, 70_000):
+        pieces = list(substring_dedup.in_pieces(records, many))
+        assert (np.concatenate(pieces) == records).all() and (many == 1) == (len(pieces) == 1)
+        assert [(r, p.stop - p.start) for x in pieces for r, p in work.by_range(x, many)] == [(r, p.stop - p.start) for r, p in work.by_range(records, many)]
+    assert not list(substring_dedup.in_pieces(records[:0], 7))
+
+
 def test_simhash(spark, docs, empty):
     rows = docs.select("doc_id", "text").collect()
     prints = {(r.doc_id, r.text): plain_fingerprint(r.text, 4) for r in rows}
