@@ -31,6 +31,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores by a unique key: few bytes can hold much work for the exact path, and a scan has one task for some MB or a row group."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def rec(name: str, *fields: dict, **more) -> dict:
     return {"type": "record", "name": name, "fields": list(fields), **more}
 
@@ -613,7 +618,7 @@ def schema_checks(spark, sf_dir):
 @query("SELECT c_custkey AS id, TRUE AS ok, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
 def msgpack_roundtrip(spark, sf_dir):
     c = api.compile(CUSTOMER)
-    df = customers(spark, sf_dir).select(F.col("key").alias("id"), F.to_json(F.struct("key", "name", "geo", "acct")).alias("doc"))
+    df = dealt(customers(spark, sf_dir), "key").select(F.col("key").alias("id"), F.to_json(F.struct("key", "name", "geo", "acct")).alias("doc"))
     packed = c.flatten_msgpack(df, "doc", ["id"], "json").select("id", F.col("value").alias("tuple"))
     back = c.unflatten_msgpack(packed, "tuple", ["id"]).select("id", F.col("value").alias("object"))
     out = exact.apply(back, "object", lambda x: x, "msgpack", "json", ["id"])
@@ -624,7 +629,7 @@ def msgpack_roundtrip(spark, sf_dir):
 @query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '[' || c_custkey || ',\"' || c_name || '\",' || c_nationkey || ',' || (list_position({listed(SEGMENTS)}, c_mktsegment) - 1) || ']' END AS value, CASE WHEN c_custkey % 2 <> 0 THEN 'Key missing: \"segment\"' END AS error FROM customer")
 def flatten_json_exact(spark, sf_dir):
     s = Schema(rec("C", fld("key", "long"), fld("name", "string"), fld("nation", "int"), fld("segment", enum("Sg", *SEGMENTS))))
-    c = read(spark, sf_dir, "customer")
+    c = dealt(read(spark, sf_dir, "customer"), "c_custkey")
     doc = F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("key")))
     return api.compile(s).flatten_json(c.select(F.col("c_custkey").alias("id"), doc.alias("doc")), "doc", ["id"]).select("id", "value", "error")
 
@@ -723,7 +728,7 @@ def xflatten_msgpack(spark, sf_dir):
     """Updates in the order of the input's keys, from MessagePack to MessagePack."""
     c = api.compile(Schema(rec("E", fld("kind", "string"), fld("rest", "long"), fld("more", "string"))))
     doc = F.concat(F.lit('{"rest":'), (F.col("event_id") % 7).cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}'))
-    packed = exact.apply(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), doc.alias("doc")), "doc", lambda x: x, "json", "msgpack", ["id"]).select("id", F.col("value").alias("doc"))
+    packed = exact.apply(dealt(read(spark, sf_dir, "events"), "event_id").select(F.col("event_id").alias("id"), doc.alias("doc")), "doc", lambda x: x, "json", "msgpack", ["id"]).select("id", F.col("value").alias("doc"))
     out = c.xflatten_msgpack(packed, "doc", ["id"]).select("id", F.col("value").alias("updates"))
     return exact.apply(out, "updates", lambda x: x, "msgpack", "json", ["id"]).select("id", "ok", "value")
 
@@ -738,7 +743,7 @@ def broken_rows(spark, sf_dir):
     """Text that can't be read is an error of its row, however it is broken."""
     deep = [F.lit('{"b": null, "k": ' + "[" * 20_000 + "]" * 20_000 + "}"), F.concat(F.repeat(F.lit('{"k":'), 12_000), F.lit("1"), F.repeat(F.lit("}"), 12_000))]
     texts = F.array(*[F.lit(x) for x, _ in BROKEN], *deep)
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.get(texts, (F.col("c_custkey") % 8).cast("int")).alias("doc"))
+    c = dealt(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("id"), F.get(texts, (F.col("c_custkey") % 8).cast("int")).alias("doc"))
     return api.compile(Schema(rec("B", fld("b", "bytes*"), fld("k", "long")))).flatten_json(c, "doc", ["id"]).select("id", "ok", "error", "value")
 
 

@@ -1,11 +1,15 @@
 """One object at a time: validation, flattening and back, updates, evolution, MessagePack."""
 
+import sys
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from schemaloom import api
 from schemaloom.api import DataError, Schema, SchemaError
+from schemaloom.operators import exact
 from schemaloom.plans.objects import Single
 from schemaloom.sources import msgpack
 from tests.test_definitions import f, rec
@@ -212,3 +216,44 @@ def test_descriptions():
     for line in ("foo -> foo", "  (A aka B): int -> long", "    SPADES: 0 -> refused", "    HEARTS: 1 -> 0", "    branch 0 null: refused", "    branch 1 -> 0: int -> int", "    (checked and dropped)", "  new: default", "(as above)"):
         assert line in text
     assert msgpack.dump(msgpack.encode({"a": [1, None, "x"]})) == [". MAP 1", "a ARRAY 3", "a/1 LONG 1", "a/2 NIL null", "a/3 STR x"]
+
+
+N = exact.SURE_LEVELS
+DEEP = [
+    ("[" * N, True), ("[" * N + "]" * N, True), ('{"k":' * N + "1" + "}" * N, True), ('[ {"k" :\n' * N, True), ('{"b": null, "k": ' + "[" * N, True), ('[{"a": [1]}, "é😀", ' + "[" * N, True), ('["' + "x" * N + '", ' + "[" * N, True), ("[[1]," * N + "[" * N, False),
+    ('[{"k": 1, "k": 2}, ' + "[" * N, False), ("[1" + "[" * N, False), ("[NaN, " + "[" * N, False), ("null" + "[" * N, False), ('["' + "[" * N + '"]', False), ('{"a"' + "[" * N, False), ("-" + "[" * N, False), ("[" * 99 + "]" * 99, False), ("[" + "[[]]," * N + "1]", False), ('["' + "x" * N + '"]', False),
+]
+
+
+@pytest.mark.parametrize("text,early", DEEP)
+def test_deep_text_is_found_early_and_read_the_same(monkeypatch, text, early):
+    def read():
+        try:
+            return exact.loads(text)
+        except (DataError, RecursionError) as e:
+            return type(e), str(e) if isinstance(e, DataError) else ""
+
+    said, sinks = [], exact.sinks
+    monkeypatch.setattr(exact, "sinks", lambda *x: said.append(sinks(*x)) or said[-1])
+    found = read()
+    assert said == [early and exact.ends_early(sys.getrecursionlimit())]
+    monkeypatch.setattr(exact, "sinks", lambda *_: False)
+    assert found == read()
+
+
+def test_deep_text_takes_less_than_reading_it(monkeypatch):
+    """Most of the time of rows nested too deeply."""
+
+    def seconds(text):
+        best = 9.0
+        for _ in range(9):
+            began = time.process_time()
+            with pytest.raises(RecursionError):
+                exact.loads(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    if exact.ends_early(sys.getrecursionlimit()):
+        fast = seconds("[" * 20_000)
+        monkeypatch.setattr(exact, "sinks", lambda *_: False)
+        assert fast < seconds("[" * 20_000) / 2

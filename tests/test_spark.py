@@ -39,6 +39,15 @@ def test_catalogue(spark, duck, name):
     assert as_rows(tuple(r[c] for c in names) for r in df.collect()) == as_rows(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["broken_rows", "flatten_json_exact", "msgpack_roundtrip", "xflatten_msgpack"])
+def test_exact_queries_use_all_cores(spark, name):
+    """A file of one row group is one task's; the rows' work isn't."""
+    tasks = catalogue.QUERIES[name](spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+    rows = [r["count"] for r in tasks]
+    assert max(rows) < sum(rows) / 4
+
+
 def test_every_query_is_registered(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
